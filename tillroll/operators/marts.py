@@ -54,8 +54,11 @@ def _wn(c: Column) -> Column:
     return c.cast("bigint") * F.col("_w")
 
 
-def _payment_counters(prefix: str = "transactions_using_") -> list[Column]:
-    return [F.sum(F.col(f"_n_{s}")).cast("bigint").alias(f"{prefix}{s}") for s in PAYMENT_TYPES.values()]
+def _payment_counters(per_order: bool = False) -> list[Column]:
+    """Payment rows per type: per fact line (faithful fan-out) or once per order (``max`` of the
+    per-order count, constant within an order)."""
+    agg = F.max if per_order else F.sum
+    return [agg(F.col(f"_n_{s}")).cast("bigint").alias(f"transactions_using_{s}") for s in PAYMENT_TYPES.values()]
 
 
 def _profit_line() -> Column:
@@ -97,16 +100,23 @@ def customer_360(customers: DataFrame, fact: DataFrame, payments: DataFrame, ded
         F.countDistinct("category").alias("distinct_categories_purchased"),
         F.countDistinct("delivered_storeid").alias("distinct_stores_purchased"),
         F.countDistinct("seller_city").alias("distinct_cities_purchased"),
-        *[F.sum(F.col(f"_n_{s}") * F.col("_nc")).cast("bigint").alias(f"transactions_using_{s}")
-          for s in PAYMENT_TYPES.values()],
+        *([] if dedupe_payments else
+          [F.sum(F.col(f"_n_{s}") * F.col("_nc")).cast("bigint").alias(f"transactions_using_{s}")
+           for s in PAYMENT_TYPES.values()]),
     )
-    # Distinct payment types per customer: (customer, order) pairs against (order, type) pairs.
+    # Payment types per customer: (customer, order) pairs against the per-order payment summary.
+    # Distinct types are exact over the pairs joined with the (order, type) pairs.
     pairs = fact.select("customer_id", "order_id").distinct()
     types = payments.select("order_id", F.lower("payment_type").alias("_t")).distinct()
-    per_cust_types = pairs.join(types, "order_id").groupBy("customer_id").agg(
+    per_cust_pay = pairs.join(types, "order_id").groupBy("customer_id").agg(
         F.countDistinct("_t").alias("different_payment_types_used"))
+    if dedupe_payments:
+        # Each payment row once: counters summed over the customer's distinct orders.
+        counters = pairs.join(pays, "order_id").groupBy("customer_id").agg(
+            *[F.sum(F.col(f"_n_{s}")).cast("bigint").alias(f"transactions_using_{s}") for s in PAYMENT_TYPES.values()])
+        per_cust_pay = per_cust_pay.join(counters, "customer_id", "full")
     last = _global_last_date(fact)
-    out = per_cust.join(per_cust_types, F.col("custid") == F.col("customer_id"), "left").drop("customer_id")
+    out = per_cust.join(per_cust_pay, F.col("custid") == F.col("customer_id"), "left").drop("customer_id")
     return out.select(
         F.col("custid").alias("customer_id"), "customer_city", "customer_state", "gender",
         "first_transaction_date", "last_transaction_date",
@@ -140,7 +150,7 @@ def orders_360(fact: DataFrame, payments: DataFrame, dedupe_payments: bool = Fal
         F.countDistinct("delivered_storeid").alias("distinct_delivered_stores"),
         F.countDistinct("product_id").alias("distinct_products_in_order"),
         F.max("_ntypes").alias("different_payment_types_used"),
-        *_payment_counters(),
+        *_payment_counters(per_order=dedupe_payments),
     )
     return agg.select(
         "order_id", "customer_id", "channel", "bill_date_timestamp",

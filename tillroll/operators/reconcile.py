@@ -177,7 +177,9 @@ def multi_store_insert(multi: DataFrame, products: DataFrame, payments: DataFram
         .join(rev, "order_id")
         .join(store, F.col("delivered_storeid") == F.col("storeid"))
     )
-    mult = reduce(lambda a, b: a * b, [F.col(f"_n{i}") for i in range(1, 6)])
+    # decimal(19,0) holds any bigint; decimal(18,8) × decimal(19,0) stays within 38 digits, so
+    # Spark keeps all 8 decimals (a bigint factor would make it drop one).
+    mult = reduce(lambda a, b: a * b, [F.col(f"_n{i}") for i in range(1, 6)]).cast("decimal(19,0)")
     return joined.select(
         *[c for c in ORDER_COLS if c not in ("quantity", "total_amount")],
         (F.col("net_qty") * mult).cast("int").alias("quantity"),
