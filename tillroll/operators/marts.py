@@ -73,19 +73,16 @@ def _global_last_date(fact: DataFrame) -> Column:
 def customer_360(customers: DataFrame, fact: DataFrame, payments: DataFrame, dedupe_payments: bool = False) -> DataFrame:
     """M1 — one row per customer with at least one paid fact line.
 
-    A customer listed n times in the customer table multiplies the additive metrics by n, as the
-    reference's inner join does; the customer side is joined pre-aggregated with that count.
+    The fact lines are aggregated per ``customer_id`` (a bigint key, through the Expand of the
+    distinct counts) and the customer attributes are joined to the much smaller per-customer
+    rows afterwards. A customer listed n times in the customer table multiplies the additive
+    metrics by n, as the reference's inner join does.
     """
     pays = payment_summary(payments, dedupe_payments)
-    cust = customers.groupBy(*CUSTOMER_COLS).agg(F.count(F.lit(1)).alias("_nc"))
-    lines = (
-        fact.drop(*CUSTOMER_COLS[1:]).join(pays, "order_id")
-        .join(cust, F.col("customer_id") == F.col("custid"))
-        .withColumn("_w", F.col("_np") * F.col("_nc"))
-    )
+    lines = fact.join(pays, "order_id").withColumn("_w", F.col("_np"))
     ts = F.col("bill_date_timestamp")
     one = F.lit(1)
-    per_cust = lines.groupBy(*CUSTOMER_COLS).agg(
+    per_cust = lines.groupBy("customer_id").agg(
         F.min(ts).alias("first_transaction_date"),
         F.max(ts).alias("last_transaction_date"),
         F.sum(_wn(F.when(is_weekend(ts), one).otherwise(0))).alias("weekend_transactions"),
@@ -100,12 +97,9 @@ def customer_360(customers: DataFrame, fact: DataFrame, payments: DataFrame, ded
         F.countDistinct("category").alias("distinct_categories_purchased"),
         F.countDistinct("delivered_storeid").alias("distinct_stores_purchased"),
         F.countDistinct("seller_city").alias("distinct_cities_purchased"),
-        *([] if dedupe_payments else
-          [F.sum(F.col(f"_n_{s}") * F.col("_nc")).cast("bigint").alias(f"transactions_using_{s}")
-           for s in PAYMENT_TYPES.values()]),
+        *([] if dedupe_payments else _payment_counters()),
     )
-    # Payment types per customer: (customer, order) pairs against the per-order payment summary.
-    # Distinct types are exact over the pairs joined with the (order, type) pairs.
+    # Payment types per customer: (customer, order) pairs against (order, type) pairs.
     pairs = fact.select("customer_id", "order_id").distinct()
     types = payments.select("order_id", F.lower("payment_type").alias("_t")).distinct()
     per_cust_pay = pairs.join(types, "order_id").groupBy("customer_id").agg(
@@ -115,22 +109,37 @@ def customer_360(customers: DataFrame, fact: DataFrame, payments: DataFrame, ded
         counters = pairs.join(pays, "order_id").groupBy("customer_id").agg(
             *[F.sum(F.col(f"_n_{s}")).cast("bigint").alias(f"transactions_using_{s}") for s in PAYMENT_TYPES.values()])
         per_cust_pay = per_cust_pay.join(counters, "customer_id", "full")
+    cust = customers.groupBy(*CUSTOMER_COLS).agg(F.count(F.lit(1)).alias("_nc"))
+    nc = F.col("_nc")
+    ncd = nc.cast("decimal(9,0)")
     last = _global_last_date(fact)
-    out = per_cust.join(per_cust_pay, F.col("custid") == F.col("customer_id"), "left").drop("customer_id")
+    out = (cust.join(per_cust, F.col("custid") == F.col("customer_id"))
+           .drop("customer_id")
+           .join(per_cust_pay, F.col("custid") == F.col("customer_id"), "left")
+           .drop("customer_id"))
+
+    def money(c: str) -> Column:
+        # per-customer sums fit in decimal(28,8); times decimal(9,0) stays within 38 digits
+        return (F.col(c).cast("decimal(28,8)") * ncd).cast("decimal(38,8)").alias(c)
+
     return out.select(
         F.col("custid").alias("customer_id"), "customer_city", "customer_state", "gender",
         "first_transaction_date", "last_transaction_date",
         days_between("first_transaction_date", "last_transaction_date").alias("tenure"),
         days_between("last_transaction_date", last).alias("inactive_days"),
-        "weekend_transactions", "weekday_transactions", "total_transactions", "total_distinct_transactions",
-        "total_revenue", "total_quantity_purchased", "total_discount_taken",
+        *[(F.col(c) * nc).alias(c) for c in ("weekend_transactions", "weekday_transactions", "total_transactions")],
+        "total_distinct_transactions",
+        money("total_revenue"),
+        (F.col("total_quantity_purchased") * nc).alias("total_quantity_purchased"),
+        money("total_discount_taken"),
         percent("total_discount_taken", "total_revenue").alias("average_discount_percent"),
         ratio("total_revenue", "total_distinct_transactions").alias("average_order_value"),
-        "profit",
+        money("profit"),
         "distinct_items_purchased", "distinct_categories_purchased", "distinct_stores_purchased",
         "distinct_cities_purchased",
         F.coalesce(F.col("different_payment_types_used"), F.lit(0)).alias("different_payment_types_used"),
-        *[f"transactions_using_{s}" for s in PAYMENT_TYPES.values()],
+        *[(F.col(f"transactions_using_{s}") * (F.lit(1) if dedupe_payments else nc)).alias(f"transactions_using_{s}")
+          for s in PAYMENT_TYPES.values()],
     )
 
 

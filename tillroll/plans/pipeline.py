@@ -18,14 +18,18 @@ from tillroll.sources.tables import RetailTables, fixture_tables
 
 
 class RetailPipeline:
-    def __init__(self, spark: SparkSession, tables: RetailTables, key: str, stage_sources: bool = True):
+    """The staged cleaning batch over six source tables.
+
+    ``tables`` is a :class:`RetailTables`, or a function ``stage -> RetailTables`` that derives the
+    sources and stages each one as it goes (the fixture mapping). Real source tables are plain
+    scans and are used as they are.
+    """
+
+    def __init__(self, spark: SparkSession, tables, key: str):
         self.spark = spark
         self.store = StageStore(spark, key)
-        if stage_sources:
-            # Sources derived by joins (the fixture mapping) are staged once; real source tables
-            # are plain scans and can be passed with stage_sources=False.
-            tables = RetailTables(**{n: self.store.stage(f"src_{n}", lambda d=d: d)
-                                     for n, d in tables.as_dict().items()})
+        if callable(tables):
+            tables = tables(lambda name, df: self.store.stage(f"src_{name}", lambda: df))
         self.t = tables
 
     # -- C1–C6 ------------------------------------------------------------------------------
@@ -116,6 +120,6 @@ def pipeline_for(spark: SparkSession, sf_dir: str) -> RetailPipeline:
     with _LOCK:
         p = _PIPELINES.get(key)
         if p is None:
-            p = RetailPipeline(spark, fixture_tables(spark, sf_dir), key="fixture:" + key[1])
+            p = RetailPipeline(spark, lambda stage: fixture_tables(spark, sf_dir, stage), key="fixture:" + key[1])
             _PIPELINES[key] = p
         return p

@@ -240,14 +240,19 @@ def fixture_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def fixture_tables(spark: SparkSession, sf_dir: str) -> RetailTables:
-    """The six source tables derived from the driver's parquet files (lazy, not staged)."""
-    orders = fixture_orders(spark, sf_dir)
+def fixture_tables(spark: SparkSession, sf_dir: str, stage=None) -> RetailTables:
+    """The six source tables derived from the driver's parquet files.
+
+    ``stage(name, df) -> df``, when given, materialises each table as it is derived; payments
+    are derived from the staged orders, so the order lines are computed once.
+    """
+    keep = stage or (lambda name, df: df)
+    orders = keep("orders", fixture_orders(spark, sf_dir))
     return RetailTables(
         orders=orders,
-        payments=fixture_payments(spark, sf_dir, orders),
-        reviews=fixture_reviews(spark, sf_dir),
-        products=fixture_products(spark, sf_dir),
-        stores=fixture_stores(spark, sf_dir),
-        customers=fixture_customers(spark, sf_dir),
+        payments=keep("payments", fixture_payments(spark, sf_dir, orders)),
+        reviews=keep("reviews", fixture_reviews(spark, sf_dir)),
+        products=keep("products", fixture_products(spark, sf_dir)),
+        stores=keep("stores", fixture_stores(spark, sf_dir)),
+        customers=keep("customers", fixture_customers(spark, sf_dir)),
     )
