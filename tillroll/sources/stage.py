@@ -51,25 +51,26 @@ class StageStore:
     def __init__(self, spark: SparkSession, key: str):
         self.spark = spark
         app = spark.sparkContext.applicationId
-        digest = hashlib.sha1(key.encode()).hexdigest()[:12]
-        self.root = f"{checkpoint_root(spark)}/tillroll-stages/{app}/{digest}"
+        self.digest = hashlib.sha1(f"{app}:{key}".encode()).hexdigest()[:12]
+        self.root = f"{checkpoint_root(spark)}/tillroll-stages/{app}/{self.digest}"
         self._cache: dict[str, DataFrame] = {}
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
-    def stage(self, name: str, build, partition_cols: list[str] | None = None) -> DataFrame:
-        """Return stage ``name``; build and write it (``build()`` → DataFrame) on first use."""
+    def stage(self, name: str, build) -> DataFrame:
+        """Return stage ``name``; build and write it (``build()`` → DataFrame) on first use.
+
+        Stages are plain parquet, not bucketed tables: a bucket holds every row of its keys, so
+        one hot key (an order or customer with a third of the rows) would sit in one task in
+        every later scan, where AQE cannot split it; a shuffle on the key can be split.
+        """
         with _LOCK:
             if name in self._cache:
                 return self._cache[name]
             path = self.path(name)
             if not _exists(self.spark, path):
-                df = build()
-                writer = df.write.mode("overwrite")
-                if partition_cols:
-                    writer = writer.partitionBy(*partition_cols)
-                writer.parquet(path)
+                build().write.mode("overwrite").parquet(path)
             out = self.spark.read.parquet(path)
             self._cache[name] = out
             return out
