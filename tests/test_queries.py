@@ -71,3 +71,15 @@ def test_plans(spark):
     assert "TakeOrderedAndProject" in _plan(A.top_stores_by_revenue(p.clean_fact()))
     for df in (p.customer_360(), p.orders_360(), p.store_360(), p.clean_fact()):
         assert "CartesianProduct" not in _plan(df) and "BroadcastNestedLoopJoin" not in _plan(df)
+
+
+def test_plan_lint(spark):
+    """No cartesian / nested-loop join, no Python on the data path, and no Window on a single
+    partition except over bounded inputs, in any registered query."""
+    from __spark_entry__ import queries
+    sys_path = os.path.join(os.path.dirname(os.path.dirname(os.path.abspath(__file__))), "scripts")
+    import sys
+    sys.path.insert(0, sys_path)
+    from plan_lint import lint, plan_text
+    bad = {name: lint(name, plan_text(fn(spark, SF))) for name, fn in queries().items()}
+    assert {k: v for k, v in bad.items() if v} == {}
