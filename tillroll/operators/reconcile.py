@@ -82,17 +82,24 @@ def remaining_orders(not_matching: DataFrame, orders: DataFrame) -> DataFrame:
 def reconciled_orders(orders: DataFrame, matched: DataFrame, remaining: DataFrame) -> DataFrame:
     """C6 — all lines of the matched orders UNION ALL the single lines of the corrected orders.
 
-    The first join is a semi-join (C3 is unique per customer and order). The second keeps the
-    reference's inner join: when k lines of one order carry the payment total, C5 has k rows and
-    each such line comes out k times.
+    Faithful to the reference's second join: when k lines of one (customer, order) carry the
+    payment total, C5 has k rows for it and each such line comes out k times.
+
+    One join instead of two: the lines meet a table with one row per (customer, order) — from
+    C3 "every line, once", from C5 "lines whose rounded amount is the payment total, k times"
+    (the two never share an order: a matched order is not in C4) — and the k copies are made by
+    ``explode``. The order lines, the largest input, are shuffled once for both parts.
     """
-    first = orders.join(matched.select("customer_id", "order_id"), ["customer_id", "order_id"], "left_semi")
-    second = (
-        orders.withColumn("paymenttotal", _round0(F.col("total_amount")))
-        .join(remaining, ["customer_id", "order_id", "paymenttotal"])
+    keys = ["customer_id", "order_id"]
+    plan = matched.select(*keys, F.lit(None).cast("decimal(38,0)").alias("_pt"), F.lit(1).alias("_k")).unionByName(
+        remaining.groupBy(*keys, "paymenttotal").agg(F.count(F.lit(1)).cast("int").alias("_k"))
+        .select(*keys, F.col("paymenttotal").cast("decimal(38,0)").alias("_pt"), "_k"))
+    return (
+        orders.join(plan, keys)
+        .where(F.col("_pt").isNull() | (_round0(F.col("total_amount")) == F.col("_pt")))
+        .withColumn("_copy", F.explode(F.array_repeat(F.lit(1), F.col("_k"))))
         .select(*ORDER_COLS)
     )
-    return first.select(*ORDER_COLS).unionByName(second)
 
 
 # ---- C7: enrichment ---------------------------------------------------------------------------
