@@ -97,3 +97,16 @@ def test_dedupe_counts_each_line_once(spark, fact):
     assert dedup[3].total_transactions == faithful[3].total_transactions // 2
     assert dedup[3].transactions_using_voucher == 1
     assert dedup[1].total_revenue == faithful[1].total_revenue
+
+
+def test_approx_marts_skip_the_expand(spark, fact):
+    t, f8 = fact
+    exact = {r.delivered_storeid: r for r in M.store_360(f8, t.stores).collect()}
+    approx_df = M.store_360(f8, t.stores, approx=True)
+    assert "Expand" not in approx_df._jdf.queryExecution().executedPlan().toString()
+    for r in approx_df.collect():
+        e = exact[r.delivered_storeid]
+        assert r.total_revenue == e.total_revenue
+        assert abs(r.total_orders_fulfilled - e.total_orders_fulfilled) <= max(1, 0.1 * e.total_orders_fulfilled)
+    plan = M.orders_360(f8, t.payments, approx=True)._jdf.queryExecution().executedPlan().toString()
+    assert "Expand" not in plan
