@@ -48,23 +48,28 @@ def cumulative_lines(df: DataFrame, keys: list[str] | None = None) -> DataFrame:
     sharing its 9 values, and drops lines with a null key. We return each line once and drop
     null keys explicitly.
 
-    Scale: ``RANK`` is 1 + the number of rows with a larger quantity, so the rank is computed on
-    the counts per (8 keys, quantity) — a partial aggregate — and a window over those distinct
-    quantities only; the lines are then joined back on the 9 values. A hot key group never has
-    to be sorted in one task, and AQE splits a hot key on the join's large side.
+    Scale: only key groups whose quantities differ can hold a rank above 1, so they are found
+    first with a partial aggregate (``min < max``) and the lines are narrowed to them by a
+    semi-join; the rank is then 1 + the number of rows with a larger quantity, computed from the
+    counts per (keys, quantity) with a window over the distinct quantities of a group — never
+    over all its rows — and joined back on the 9 values. A hot key group is never sorted in one
+    task, and AQE splits a hot key on the joins' large side.
     """
     keys = keys or CUMULATIVE_KEYS
     cols = keys + ["quantity"]
     not_null = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in cols])
     rows = df.where(not_null)
-    counts = rows.groupBy(*cols).agg(F.count(F.lit(1)).alias("_n"))
+    varied = (rows.groupBy(*keys).agg(F.min("quantity").alias("_lo"), F.max("quantity").alias("_hi"))
+              .where(F.col("_lo") < F.col("_hi")).select(*keys))
+    candidates = rows.join(varied, keys, "left_semi")
+    counts = candidates.groupBy(*cols).agg(F.count(F.lit(1)).alias("_n"))
     larger = Window.partitionBy(*keys).orderBy(F.col("quantity").desc()).rowsBetween(Window.unboundedPreceding, -1)
     ranks = (
         counts.withColumn("rnk", (F.lit(1) + F.coalesce(F.sum("_n").over(larger), F.lit(0))).cast("int"))
         .where(F.col("rnk") > 1)
         .drop("_n")
     )
-    return rows.join(ranks, cols).select(*df.columns, "rnk")
+    return candidates.join(ranks, cols).select(*df.columns, "rnk")
 
 
 def multi_date_orders(df: DataFrame) -> DataFrame:

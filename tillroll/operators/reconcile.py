@@ -218,11 +218,22 @@ def multi_store_records(insert: DataFrame) -> DataFrame:
 
 
 def finalised_records(appended: DataFrame, add_records: DataFrame, integrated: DataFrame) -> DataFrame:
-    """C11 — C9 EXCEPT (C10 rows whose order is in C7): set difference, nulls equal, duplicates
-    removed (``subtract``, never ``exceptAll``). The reference's inner join with C7 only filters
-    (EXCEPT discards its duplicates), so it is a semi-join here."""
-    right = add_records.join(integrated.select("order_id"), "order_id", "left_semi")
-    return appended.select(*FACT_COLS).subtract(right.select(*FACT_COLS))
+    """C11 — C9 EXCEPT (C10 rows whose order is in C7): set difference with nulls equal and
+    duplicates removed (EXCEPT DISTINCT). The reference's inner join with C7 only filters (EXCEPT
+    discards its duplicates), so it is a semi-join here.
+
+    Written as one aggregation: both sides tagged and unioned, grouped by all 19 columns, and a
+    group kept when no row of it came from the right side. GROUP BY treats nulls as equal and
+    removes duplicates, which is EXCEPT's semantics, in a single shuffle hashed on all columns
+    (``subtract`` plans an anti-join and a separate distinct, three shuffles of the fact here).
+    """
+    # distinct(): the order ids are deduplicated map-side, so one row per order is shuffled
+    right = add_records.join(integrated.select("order_id").distinct(), "order_id", "left_semi")
+    tagged = (appended.select(*FACT_COLS, F.lit(0).alias("_right"))
+              .unionByName(right.select(*FACT_COLS, F.lit(1).alias("_right"))))
+    return (tagged.groupBy(*FACT_COLS).agg(F.max("_right").alias("_right"))
+            .where(F.col("_right") == 0)
+            .select(*FACT_COLS))
 
 
 # ---- D3 / D6 / C12: per-order repairs ----------------------------------------------------------
