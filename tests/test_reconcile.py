@@ -142,3 +142,12 @@ def test_order_lookup_pushes_filter(spark, tmp_path, t):
     t.orders.write.parquet(path)
     plan = C.order_lookup(spark.read.parquet(path), 3)._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [IsNotNull(order_id), EqualTo(order_id,3)]" in plan
+
+
+def test_fused_reconcile_and_enrich_equals_two_steps(spark, t, stages):
+    dup_customers = t.customers.unionByName(t.customers.where("custid = 1"))
+    m = C.matched_orders(stages["co"], stages["op"])
+    fused = C.reconciled_integrated(t.orders, m, stages["rem"], t.reviews, t.products, t.stores, dup_customers)
+    two = C.integrated_orders(stages["rec"], t.reviews, t.products, t.stores, dup_customers)
+    assert rows(fused, FACT) == rows(two, FACT)
+    assert sum(1 for r in rows(fused, FACT) if r[0] == 1) == 2 * sum(1 for r in rows(stages["integ"], FACT) if r[0] == 1)

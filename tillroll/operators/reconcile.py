@@ -90,15 +90,49 @@ def reconciled_orders(orders: DataFrame, matched: DataFrame, remaining: DataFram
     (the two never share an order: a matched order is not in C4) — and the k copies are made by
     ``explode``. The order lines, the largest input, are shuffled once for both parts.
     """
+    return _apply_plan(orders, _reconcile_plan(matched, remaining)).select(*ORDER_COLS)
+
+
+def _reconcile_plan(matched: DataFrame, remaining: DataFrame) -> DataFrame:
+    """One row per (customer, order) to keep: ``_pt`` null = every line once; otherwise the lines
+    whose rounded amount is ``_pt``, ``_k`` times each."""
     keys = ["customer_id", "order_id"]
-    plan = matched.select(*keys, F.lit(None).cast("decimal(38,0)").alias("_pt"), F.lit(1).alias("_k")).unionByName(
+    return matched.select(*keys, F.lit(None).cast("decimal(38,0)").alias("_pt"), F.lit(1).alias("_k")).unionByName(
         remaining.groupBy(*keys, "paymenttotal").agg(F.count(F.lit(1)).cast("int").alias("_k"))
         .select(*keys, F.col("paymenttotal").cast("decimal(38,0)").alias("_pt"), "_k"))
+
+
+def _apply_plan(orders: DataFrame, plan: DataFrame) -> DataFrame:
     return (
-        orders.join(plan, keys)
+        orders.join(plan, ["customer_id", "order_id"])
         .where(F.col("_pt").isNull() | (_round0(F.col("total_amount")) == F.col("_pt")))
         .withColumn("_copy", F.explode(F.array_repeat(F.lit(1), F.col("_k"))))
-        .select(*ORDER_COLS)
+    )
+
+
+def reconciled_integrated(orders: DataFrame, matched: DataFrame, remaining: DataFrame, reviews: DataFrame,
+                          products: DataFrame, stores: DataFrame, customers: DataFrame) -> DataFrame:
+    """C6 then C7 in one plan: the same rows as ``integrated_orders(reconciled_orders(…), …)``.
+
+    The mean review (per order) and the customer row (per customer) are joined to the
+    per-(customer, order) plan of C6 — a table of order size — so the order lines pick them up
+    in C6's one join; only the product and store joins remain at line grain. Inner-join
+    semantics are kept: a (customer, order) without a review or customer row drops its lines,
+    and a customer listed twice doubles them, as in the reference.
+    """
+    plan = (
+        _reconcile_plan(matched, remaining)
+        .join(avg_rating_per_order(reviews), "order_id")
+        .join(customers.select(*CUSTOMER_COLS), F.col("customer_id") == F.col("custid"))
+        .drop("custid")
+    )
+    prod = products.select("product_id", "category")
+    store = stores.select(*STORE_COLS).distinct()
+    return (
+        _apply_plan(orders, plan)
+        .join(prod, "product_id")
+        .join(store, F.col("delivered_storeid") == F.col("storeid"))
+        .select(*FACT_COLS)
     )
 
 

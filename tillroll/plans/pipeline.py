@@ -54,14 +54,14 @@ class RetailPipeline:
         return reconcile.remaining_orders(self.orders_not_matching(), self.t.orders)
 
     def reconciled_orders(self) -> DataFrame:
-        # read only by C7, which is staged
+        # C7's stage computes C6 and C7 together (reconcile.reconciled_integrated)
         return reconcile.reconciled_orders(self.t.orders, self.matched_orders(), self.remaining_orders())
 
     # -- C7–C12 ------------------------------------------------------------------------------
     def integrated_orders(self) -> DataFrame:
         t = self.t
-        return self.store.stage("integrated_orders", lambda: reconcile.integrated_orders(
-            self.reconciled_orders(), t.reviews, t.products, t.stores, t.customers))
+        return self.store.stage("integrated_orders", lambda: reconcile.reconciled_integrated(
+            t.orders, self.matched_orders(), self.remaining_orders(), t.reviews, t.products, t.stores, t.customers))
 
     def multi_store_lines(self) -> DataFrame:
         # read only by C9's insert, which is staged
