@@ -29,18 +29,34 @@ PAYMENT_TYPES = {
 }
 
 
-def payment_summary(payments: DataFrame, dedupe: bool = False) -> DataFrame:
-    """One row per order: ``_np`` payment rows (1 if ``dedupe``), ``_n_<type>`` rows per counted
-    type (case-insensitive, as under SQL Server's default collation) and ``_ntypes`` distinct types."""
+SUMMARY_COLS = ["_np", *[f"_n_{s}" for s in PAYMENT_TYPES.values()], "_ntypes"]
+
+
+def payment_summary(payments: DataFrame) -> DataFrame:
+    """One row per order: ``_np`` payment rows, ``_n_<type>`` rows per counted type
+    (case-insensitive, as under SQL Server's default collation) and ``_ntypes`` distinct types."""
     ptype = F.lower(F.col("payment_type"))
     return payments.groupBy("order_id").agg(
-        (F.lit(1) if dedupe else F.count(F.lit(1))).cast("bigint").alias("_np"),
+        F.count(F.lit(1)).cast("bigint").alias("_np"),
         *[F.sum(F.when(ptype == F.lit(t), 1).otherwise(0)).cast("bigint").alias(f"_n_{s}")
           for t, s in PAYMENT_TYPES.items()],
         F.countDistinct(ptype).alias("_ntypes"),
     )
 
 
+def paid_lines(fact: DataFrame, payments: DataFrame, dedupe: bool = False) -> DataFrame:
+    """Fact lines of orders with at least one payment, with the order's payment summary and the
+    weight ``_w`` = payment rows of the order (the reference's fan-out), or 1 with ``dedupe``.
+
+    A fact that already carries the summary columns (the pipeline's fact stage appends them in
+    the per-order join of C12) is only filtered; otherwise the summary is joined here."""
+    if "_np" in fact.columns:
+        lines = fact.where(F.col("_np").isNotNull())
+    else:
+        lines = fact.join(payment_summary(payments), "order_id")
+    return lines.withColumn("_w", F.lit(1).cast("bigint") if dedupe else F.col("_np"))
+
+
 def _w(c: Column) -> Column:
     """A fact-line value repeated once per payment row (and customer row) — ``_w`` rows.
 
@@ -85,8 +101,8 @@ def customer_360(customers: DataFrame, fact: DataFrame, payments: DataFrame, ded
     rows afterwards. A customer listed n times in the customer table multiplies the additive
     metrics by n, as the reference's inner join does.
     """
-    pays = payment_summary(payments, dedupe_payments)
-    lines = fact.join(pays, "order_id").withColumn("_w", F.col("_np"))
+    lines = paid_lines(fact, payments, dedupe_payments)
+    fact = fact.select(*[c for c in fact.columns if c not in SUMMARY_COLS])
     ts = F.col("bill_date_timestamp")
     one = F.lit(1)
     per_cust = lines.groupBy("customer_id").agg(
@@ -113,7 +129,7 @@ def customer_360(customers: DataFrame, fact: DataFrame, payments: DataFrame, ded
         F.countDistinct("_t").alias("different_payment_types_used"))
     if dedupe_payments:
         # Each payment row once: counters summed over the customer's distinct orders.
-        counters = pairs.join(pays, "order_id").groupBy("customer_id").agg(
+        counters = pairs.join(payment_summary(payments), "order_id").groupBy("customer_id").agg(
             *[F.sum(F.col(f"_n_{s}")).cast("bigint").alias(f"transactions_using_{s}") for s in PAYMENT_TYPES.values()])
         per_cust_pay = per_cust_pay.join(counters, "customer_id", "full")
     cust = customers.groupBy(*CUSTOMER_COLS).agg(F.count(F.lit(1)).alias("_nc"))
@@ -153,8 +169,7 @@ def customer_360(customers: DataFrame, fact: DataFrame, payments: DataFrame, ded
 def orders_360(fact: DataFrame, payments: DataFrame, dedupe_payments: bool = False,
                approx: bool = False) -> DataFrame:
     """M2 — one row per (order, customer, channel, bill time) with at least one payment."""
-    pays = payment_summary(payments, dedupe_payments)
-    lines = fact.join(pays, "order_id").withColumn("_w", F.col("_np"))
+    lines = paid_lines(fact, payments, dedupe_payments)
     ts = F.col("bill_date_timestamp")
     agg = lines.groupBy("order_id", "customer_id", "channel", "bill_date_timestamp").agg(
         F.sum(_wn(F.when(F.col("product_id").isNotNull(), F.lit(1)).otherwise(0))).alias("total_products_in_order"),

@@ -295,18 +295,27 @@ def fix_date_to_latest(fact: DataFrame) -> DataFrame:
           else F.col(c) for c in fact.columns])
 
 
-def clean_fact(finalised: DataFrame) -> DataFrame:
+def clean_fact(finalised: DataFrame, order_facts: DataFrame | None = None) -> DataFrame:
     """C12 — F8: C11 with D3 then D6 applied. Both repairs read per-order aggregates that the
-    other does not change, so one aggregate and one join apply both."""
+    other does not change, so one aggregate and one join apply both.
+
+    ``order_facts`` (one row per ``order_id``), when given, is joined to that per-order table
+    and its other columns are appended to every line: the lines pick them up in the join they
+    need anyway, and later readers (the payment-weighted marts) need no join of their own.
+    """
     stats = _per_order(finalised, {"_min_store": F.min("delivered_storeid"),
                                    "_max_date": F.max("bill_date_timestamp")})
+    extra: list[str] = []
+    if order_facts is not None:
+        stats = stats.join(order_facts, "order_id", "left")
+        extra = [c for c in order_facts.columns if c != "order_id"]
     store, ts = F.col("delivered_storeid"), F.col("bill_date_timestamp")
     fixed = {
         "delivered_storeid": F.when(store.isNotNull(), F.col("_min_store")).otherwise(store),
         "bill_date_timestamp": F.when(ts.isNotNull(), F.col("_max_date")).otherwise(ts),
     }
     return finalised.join(stats, "order_id", "left").select(
-        *[fixed[c].alias(c) if c in fixed else F.col(c) for c in FACT_COLS])
+        *[fixed[c].alias(c) if c in fixed else F.col(c) for c in FACT_COLS], *extra)
 
 
 def order_lookup(fact: DataFrame, order_id) -> DataFrame:

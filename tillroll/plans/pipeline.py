@@ -86,8 +86,15 @@ class RetailPipeline:
         """F8 after D3 only (the state the reference's D4 and D5 read)."""
         return reconcile.fix_store_to_min(self.finalised_records())
 
+    def fact_with_payments(self) -> DataFrame:
+        """F8 plus each order's payment summary (``marts.SUMMARY_COLS``), appended in C12's
+        per-order join; the payment-weighted marts read it without a join of their own."""
+        return self.store.stage("clean_fact", lambda: reconcile.clean_fact(
+            self.finalised_records(), marts.payment_summary(self.t.payments)))
+
     def clean_fact(self) -> DataFrame:
-        return self.store.stage("clean_fact", lambda: reconcile.clean_fact(self.finalised_records()))
+        """F8, the 19 columns (the summary columns are pruned at the parquet scan)."""
+        return self.fact_with_payments().select(*reconcile.FACT_COLS)
 
     # -- P8 ----------------------------------------------------------------------------------
     def products_na_fixed(self) -> DataFrame:
@@ -99,18 +106,18 @@ class RetailPipeline:
     # -- marts -------------------------------------------------------------------------------
     def customer_360(self) -> DataFrame:
         return self.store.stage("customer_360", lambda: marts.customer_360(
-            self.t.customers, self.clean_fact(), self.t.payments))
+            self.t.customers, self.fact_with_payments(), self.t.payments))
 
     def customer_360_dedup(self) -> DataFrame:
         return self.store.stage("customer_360_dedup", lambda: marts.customer_360(
-            self.t.customers, self.clean_fact(), self.t.payments, dedupe_payments=True))
+            self.t.customers, self.fact_with_payments(), self.t.payments, dedupe_payments=True))
 
     def orders_360(self) -> DataFrame:
-        return self.store.stage("orders_360", lambda: marts.orders_360(self.clean_fact(), self.t.payments))
+        return self.store.stage("orders_360", lambda: marts.orders_360(self.fact_with_payments(), self.t.payments))
 
     def orders_360_dedup(self) -> DataFrame:
         return self.store.stage("orders_360_dedup", lambda: marts.orders_360(
-            self.clean_fact(), self.t.payments, dedupe_payments=True))
+            self.fact_with_payments(), self.t.payments, dedupe_payments=True))
 
     def store_360(self) -> DataFrame:
         return self.store.stage("store_360", lambda: marts.store_360(self.clean_fact(), self.t.stores))
