@@ -71,3 +71,10 @@ def test_segment_plans_have_no_single_partition_window(p):
     for df in (S.revenue_segments(p.customer_360()), S.rfm_segments(p.clean_fact())):
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert "Window" not in plan  # no global window at all: ranks come from range partitions
+
+
+def test_after_d3_projection_equals_the_repair(p):
+    by_operator = reconcile.fix_store_to_min(p.finalised_records())
+    projected = p.store_fixed()
+    assert projected.count() == by_operator.count()
+    assert projected.subtract(by_operator).count() == 0 and by_operator.subtract(projected).count() == 0

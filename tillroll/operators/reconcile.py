@@ -295,13 +295,18 @@ def fix_date_to_latest(fact: DataFrame) -> DataFrame:
           else F.col(c) for c in fact.columns])
 
 
-def clean_fact(finalised: DataFrame, order_facts: DataFrame | None = None) -> DataFrame:
+BILL_DATE_BEFORE_FIX = "_bill_date_before_fix"
+
+
+def clean_fact(finalised: DataFrame, order_facts: DataFrame | None = None, keep_original_date: bool = False) -> DataFrame:
     """C12 — F8: C11 with D3 then D6 applied. Both repairs read per-order aggregates that the
     other does not change, so one aggregate and one join apply both.
 
     ``order_facts`` (one row per ``order_id``), when given, is joined to that per-order table
     and its other columns are appended to every line: the lines pick them up in the join they
     need anyway, and later readers (the payment-weighted marts) need no join of their own.
+    ``keep_original_date`` also keeps each line's bill date from before D6 (an audit column,
+    ``BILL_DATE_BEFORE_FIX``), so "F8 after D3 only" is a projection of this table.
     """
     stats = _per_order(finalised, {"_min_store": F.min("delivered_storeid"),
                                    "_max_date": F.max("bill_date_timestamp")})
@@ -314,6 +319,8 @@ def clean_fact(finalised: DataFrame, order_facts: DataFrame | None = None) -> Da
         "delivered_storeid": F.when(store.isNotNull(), F.col("_min_store")).otherwise(store),
         "bill_date_timestamp": F.when(ts.isNotNull(), F.col("_max_date")).otherwise(ts),
     }
+    if keep_original_date:
+        extra.append(ts.alias(BILL_DATE_BEFORE_FIX))
     return finalised.join(stats, "order_id", "left").select(
         *[fixed[c].alias(c) if c in fixed else F.col(c) for c in FACT_COLS], *extra)
 

@@ -11,6 +11,7 @@ from __future__ import annotations
 import threading
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tillroll.operators import marts, quality, reconcile
 from tillroll.sources.stage import StageStore
@@ -83,14 +84,18 @@ class RetailPipeline:
             self.append_multi_store(), self.multi_store_records(), self.integrated_orders()))
 
     def store_fixed(self) -> DataFrame:
-        """F8 after D3 only (the state the reference's D4 and D5 read)."""
-        return reconcile.fix_store_to_min(self.finalised_records())
+        """F8 after D3 only (the state the reference's D4 and D5 read): the fact stage with each
+        line's bill date from before D6 — a projection, no recomputation."""
+        return self.fact_with_payments().select(*[
+            F.col(reconcile.BILL_DATE_BEFORE_FIX).alias(c) if c == "bill_date_timestamp" else F.col(c)
+            for c in reconcile.FACT_COLS])
 
     def fact_with_payments(self) -> DataFrame:
         """F8 plus each order's payment summary (``marts.SUMMARY_COLS``), appended in C12's
-        per-order join; the payment-weighted marts read it without a join of their own."""
+        per-order join, and each line's bill date before D6; the payment-weighted marts and the
+        after-D3 checks read it without joins of their own."""
         return self.store.stage("clean_fact", lambda: reconcile.clean_fact(
-            self.finalised_records(), marts.payment_summary(self.t.payments)))
+            self.finalised_records(), marts.payment_summary(self.t.payments), keep_original_date=True))
 
     def clean_fact(self) -> DataFrame:
         """F8, the 19 columns (the summary columns are pruned at the parquet scan)."""

@@ -84,7 +84,7 @@ _PLANS: dict[str, Callable[[RetailPipeline], DataFrame]] = {
     "exact_duplicates": lambda p: quality.exact_duplicates(p.finalised_records()),
     "exact_duplicates_appended": lambda p: quality.exact_duplicates(p.append_multi_store()),
     "multi_store_orders": lambda p: quality.multi_store_orders(p.finalised_records()),
-    "fix_store_to_min": lambda p: p.store_fixed(),
+    "fix_store_to_min": lambda p: reconcile.fix_store_to_min(p.finalised_records()),
     "cumulative_lines": lambda p: quality.cumulative_lines(p.store_fixed()),
     "cumulative_lines_orders": lambda p: quality.cumulative_lines(p.t.orders),
     "multi_date_orders": lambda p: quality.multi_date_orders(p.store_fixed()),
