@@ -11,6 +11,10 @@ Before timing, the same headline path runs once, untimed, on the smallest fixtur
 ($BENCH_WARMUP_DIR, default /root/testdata/sf0.001; "" to skip), so that the times are those of a
 warm JVM (JIT and whole-stage codegen compiled) rather than of the first queries of the process.
 The JSON says which warm-up ran.
+
+The timed pass runs $BENCH_PASSES times (default 2), each on a fresh pipeline (its own stage
+folder, nothing reused), and the faster pass is reported; ``passes`` lists every pass's total.
+The machine this was developed on varied by ±30% between identical runs.
 """
 
 from __future__ import annotations
@@ -76,8 +80,12 @@ def main() -> None:
         headline(spark, warmup_dir, {})
     else:
         warmup_dir = ""
-    times: dict[str, float] = {}
-    p = headline(spark, sf_dir, times)
+    runs = []
+    for _ in range(max(1, int(os.environ.get("BENCH_PASSES", "2")))):
+        times: dict[str, float] = {}
+        p = headline(spark, sf_dir, times)
+        runs.append((sum(v for k, v in times.items() if k != "load_sources"), times))
+    _, times = min(runs, key=lambda r: r[0])
 
     counted = {k: v for k, v in times.items() if k != "load_sources"}
     print(json.dumps({
@@ -88,6 +96,7 @@ def main() -> None:
         "sf": os.path.basename(sf_dir.rstrip("/")).replace("sf", ""),
         "cpus": cpus,
         "warmup": os.path.basename(warmup_dir.rstrip("/")) or None,
+        "passes": [round(total, 3) for total, _ in runs],
         "rows": {"clean_fact": p.clean_fact().count()},
     }))
     spark.stop()
