@@ -58,7 +58,7 @@ def paid_lines(fact: DataFrame, payments: DataFrame, dedupe: bool = False) -> Da
 
 
 def _w(c: Column) -> Column:
-    """A fact-line value repeated once per payment row (and customer row) — ``_w`` rows.
+    """A fact-line value repeated once per payment row of its order — ``_w`` times.
 
     The weight is ``decimal(9,0)`` so that a ``decimal(28,8)`` money value times the weight stays
     within 38 digits without Spark dropping scale."""
