@@ -1,7 +1,7 @@
 """Bench: the headline queries at $BENCH_SF_DIR (default /root/testdata/sf0.1) on
 local[$BENCH_CPUS]; prints one JSON line.
 
-Each query is timed end to end on a fresh pipeline: the cleaning stages it needs are built (and
+Each query is timed end to end on a fresh cleaning batch: the cleaning stages it needs are built (and
 written) inside its own timing, in the order below, so ``clean_fact`` carries the whole
 cleaning batch and the marts carry only their own work. ``load_sources`` (deriving the six
 source tables from the TPC-H-like files, test-fixture work the reference does not do) is
@@ -12,7 +12,7 @@ Before timing, the same headline path runs once, untimed, on the smallest fixtur
 warm JVM (JIT and whole-stage codegen compiled) rather than of the first queries of the process.
 The JSON says which warm-up ran.
 
-The timed pass runs $BENCH_PASSES times (default 2), each on a fresh pipeline (its own stage
+The timed pass runs $BENCH_PASSES times (default 2), each on a fresh cleaning batch (its own stage
 folder, nothing reused), and the faster pass is reported; ``passes`` lists every pass's total.
 The machine this was developed on varied by ±30% between identical runs.
 """
@@ -29,7 +29,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from tillroll.operators import quality  # noqa: E402
 from tillroll.plans import analysis, segments  # noqa: E402
-from tillroll.plans.pipeline import RetailPipeline  # noqa: E402
+from tillroll.plans.batch import CleaningBatch  # noqa: E402
 from tillroll.plans.registry import report  # noqa: E402
 from tillroll.session import local_session  # noqa: E402
 from tillroll.sources.tables import fixture_tables  # noqa: E402
@@ -40,19 +40,19 @@ def run(df) -> None:
     report(df).write.format("noop").mode("overwrite").save()
 
 
-def headline(spark, sf_dir: str, times: dict[str, float]) -> RetailPipeline:
-    """Run the headline queries on a fresh pipeline over ``sf_dir``, recording their times."""
+def headline(spark, sf_dir: str, times: dict[str, float]) -> CleaningBatch:
+    """Run the headline queries on a fresh cleaning batch over ``sf_dir``, recording their times."""
 
     def timed(name, fn):
         t0 = time.perf_counter()
         fn()
         times[name] = round(time.perf_counter() - t0, 3)
 
-    p: RetailPipeline | None = None
+    p: CleaningBatch | None = None
 
     def load():
         nonlocal p
-        p = RetailPipeline(spark, lambda stage: fixture_tables(spark, sf_dir, stage),
+        p = CleaningBatch(spark, lambda stage: fixture_tables(spark, sf_dir, stage),
                            key=f"bench:{sf_dir}:{time.time()}")
 
     timed("load_sources", load)

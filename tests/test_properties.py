@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tillroll.operators import quality, reconcile
 from tillroll.plans import analysis as A
 from tillroll.plans import segments as S
-from tillroll.plans.pipeline import pipeline_for
+from tillroll.plans.batch import batch_for
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="driver test data not present")
@@ -16,7 +16,7 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="driver test data
 
 @pytest.fixture(scope="module")
 def p(spark):
-    return pipeline_for(spark, SF)
+    return batch_for(spark, SF)
 
 
 def test_matched_plus_not_matching_is_all_payment_totals(p):

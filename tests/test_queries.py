@@ -64,8 +64,8 @@ def _plan(df):
 
 def test_plans(spark):
     from tillroll.plans import analysis as A
-    from tillroll.plans.pipeline import pipeline_for
-    p = pipeline_for(spark, SF)
+    from tillroll.plans.batch import batch_for
+    p = batch_for(spark, SF)
     assert "LeftAnti" in _plan(p.orders_not_matching())
     assert "WindowGroupLimit" in _plan(A.top_categories_by(p.clean_fact(), "region"))
     assert "TakeOrderedAndProject" in _plan(A.top_stores_by_revenue(p.clean_fact()))

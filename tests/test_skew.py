@@ -29,7 +29,7 @@ def skewed(spark):
     return t
 
 
-def _pipeline(t):
+def _clean(t):
     co, op = C.cust_order_totals(t.orders), C.order_payment_totals(t.payments)
     rec = C.reconciled_orders(t.orders, C.matched_orders(co, op), C.remaining_orders(C.orders_not_matching(co, op), t.orders))
     integ = C.integrated_orders(rec, t.reviews, t.products, t.stores, t.customers)
@@ -39,7 +39,7 @@ def _pipeline(t):
 
 def test_hot_order_through_cleaning_and_marts(spark, skewed):
     t = skewed
-    f8 = _pipeline(t)
+    f8 = _clean(t)
     f8.createOrReplaceTempView("f8_skew")
     hot = f8.where("order_id = 9").collect()
     assert hot and len({r.delivered_storeid for r in hot}) == 1 and len({r.bill_date_timestamp for r in hot}) == 1

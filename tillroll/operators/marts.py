@@ -48,7 +48,7 @@ def paid_lines(fact: DataFrame, payments: DataFrame, dedupe: bool = False) -> Da
     """Fact lines of orders with at least one payment, with the order's payment summary and the
     weight ``_w`` = payment rows of the order (the reference's fan-out), or 1 with ``dedupe``.
 
-    A fact that already carries the summary columns (the pipeline's fact stage appends them in
+    A fact that already carries the summary columns (the cleaning batch's fact stage appends them in
     the per-order join of C12) is only filtered; otherwise the summary is joined here."""
     if "_np" in fact.columns:
         lines = fact.where(F.col("_np").isNotNull())

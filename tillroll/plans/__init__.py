@@ -1 +1 @@
-"""Query plans built from the operators: the staged cleaning pipeline, KPIs, analyses."""
+"""Query plans built from the operators: the staged cleaning batch, KPIs, analyses."""

@@ -1,8 +1,8 @@
 """The cleaning batch wired as stage tables, shared by every registered query.
 
-``RetailPipeline(spark, tables, key)`` builds each stage on first use, writes it as parquet under
-the session's checkpoint folder and re-reads it (see :mod:`tillroll.sources.stage`). One pipeline
-per (Spark application, input) is memoised by :func:`pipeline_for`, so the ~90 registered
+``CleaningBatch(spark, tables, key)`` builds each stage on first use, writes it as parquet under
+the session's checkpoint folder and re-reads it (see :mod:`tillroll.sources.stage`). One batch
+per (Spark application, input) is memoised by :func:`batch_for`, so the ~90 registered
 queries build the fact table and marts once.
 """
 
@@ -18,7 +18,7 @@ from tillroll.sources.stage import StageStore
 from tillroll.sources.tables import RetailTables, fixture_tables
 
 
-class RetailPipeline:
+class CleaningBatch:
     """The staged cleaning batch over six source tables.
 
     ``tables`` is a :class:`RetailTables`, or a function ``stage -> RetailTables`` that derives the
@@ -128,16 +128,16 @@ class RetailPipeline:
         return self.store.stage("store_360", lambda: marts.store_360(self.clean_fact(), self.t.stores))
 
 
-_PIPELINES: dict[tuple[str, str], RetailPipeline] = {}
+_PIPELINES: dict[tuple[str, str], CleaningBatch] = {}
 _LOCK = threading.Lock()
 
 
-def pipeline_for(spark: SparkSession, sf_dir: str) -> RetailPipeline:
-    """The memoised pipeline over the fixture tables derived from ``sf_dir``."""
+def batch_for(spark: SparkSession, sf_dir: str) -> CleaningBatch:
+    """The memoised cleaning batch over the fixture tables derived from ``sf_dir``."""
     key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"))
     with _LOCK:
         p = _PIPELINES.get(key)
         if p is None:
-            p = RetailPipeline(spark, lambda stage: fixture_tables(spark, sf_dir, stage), key="fixture:" + key[1])
+            p = CleaningBatch(spark, lambda stage: fixture_tables(spark, sf_dir, stage), key="fixture:" + key[1])
             _PIPELINES[key] = p
         return p

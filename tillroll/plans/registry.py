@@ -1,5 +1,5 @@
 """Registered queries: one per operator of the inventory, each ``(spark, sf_dir) -> DataFrame``
-over the tables derived from ``sf_dir`` (through the memoised, staged pipeline).
+over the tables derived from ``sf_dir`` (through the memoised, staged cleaning batch).
 
 Outputs are report-shaped: decimal money columns are cast to double at the very end (sums stay
 exact decimals up to that point).
@@ -18,7 +18,7 @@ from tillroll.plans import analysis as A
 from tillroll.plans import dashboard as R
 from tillroll.plans import kpis as K
 from tillroll.plans import segments as S
-from tillroll.plans.pipeline import RetailPipeline, pipeline_for
+from tillroll.plans.batch import CleaningBatch, batch_for
 
 # Parameters on the driver's tables (FIXTURES.md §3); the reference used 2021-09-01 … 2023-10-31
 # and the years 2021–2023 on its own data.
@@ -38,14 +38,14 @@ def report(df: DataFrame) -> DataFrame:
 Query = Callable[[SparkSession, str], DataFrame]
 
 
-def _q(fn: Callable[[RetailPipeline], DataFrame]) -> Query:
+def _q(fn: Callable[[CleaningBatch], DataFrame]) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return report(fn(pipeline_for(spark, sf_dir)))
+        return report(fn(batch_for(spark, sf_dir)))
     run.__doc__ = fn.__doc__
     return run
 
 
-def _kpi(mart: str, cols: list[str]) -> Callable[[RetailPipeline], DataFrame]:
+def _kpi(mart: str, cols: list[str]) -> Callable[[CleaningBatch], DataFrame]:
     builders = {
         "orders": lambda p: K.order_kpis(p.orders_360()),
         "customers": lambda p: K.customer_kpis(p.customer_360()),
@@ -64,7 +64,7 @@ def _cohort(kind: str):
     }[kind]
 
 
-_PLANS: dict[str, Callable[[RetailPipeline], DataFrame]] = {
+_PLANS: dict[str, Callable[[CleaningBatch], DataFrame]] = {
     # C — cleaning and reconciliation
     "cust_order_totals": lambda p: p.cust_order_totals(),
     "order_payment_totals": lambda p: p.order_payment_totals(),
