@@ -2,7 +2,6 @@
 
 import pytest
 
-from conftest import rows
 from fixtures import register, tables
 from tillroll.operators import marts as M
 from tillroll.operators import reconcile as C

@@ -1,6 +1,5 @@
 """Discrepancy checks D1–D10 on hand-made rows."""
 
-from datetime import datetime
 
 from conftest import rows
 from fixtures import ORDERS_SCHEMA, line, register, tables

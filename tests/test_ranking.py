@@ -3,7 +3,6 @@ ascending and descending; and the plans never put a Window under a single partit
 
 import random
 
-import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import Window

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from tillroll.operators import marts, quality, reconcile
 from tillroll.sources.stage import StageStore
-from tillroll.sources.tables import RetailTables, fixture_tables
+from tillroll.sources.tables import fixture_tables
 
 
 class CleaningBatch:
