@@ -67,7 +67,7 @@ def rfm_scores(fact: DataFrame, corrected: bool = False, num_partitions: int | N
     """Per customer: recency, frequency, monetary, their NTILE(4) scores and the total.
 
     Faithful: tile 1 = most recent / most frequent / highest spend, yet the total is read as
-    "higher is better" (SQL:786-801). ``corrected=True`` scores 5 − tile so that the best
+    "higher is better". ``corrected=True`` scores 5 − tile so that the best
     quartile scores 4.
     """
     tie = F.col("customer_id").asc()
