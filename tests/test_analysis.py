@@ -4,6 +4,7 @@ from datetime import datetime
 from decimal import Decimal as D
 
 import pytest
+from pyspark.sql import functions as F
 
 from tillroll.plans import analysis as A
 from tillroll.plans import dashboard as R
@@ -94,3 +95,28 @@ def test_cohorts(spark):
     assert (r.n, r.rev, r.pct) == (1, D("30.00000000"), pytest.approx(30.0))
     by_state = {x.customer_state: x.n for x in A.cohort_by_state(c360, A.one_time_buyers(), "n").collect()}
     assert by_state == {"S1": 1, "S2": 1}
+
+
+def test_order_and_customer_kpis(spark):
+    from tillroll.plans import kpis as K
+    o360 = spark.createDataFrame(
+        [(1, "Online", 3, D("100.00"), D("10.00"), 10.0, D("40.00"), 1),
+         (2, "Instore", 1, D("50.00"), D("0.00"), 0.0, D("20.00"), 2),
+         (3, "Instore", 2, D("50.00"), D("5.00"), 10.0, D("10.00"), 1)],
+        "order_id long, channel string, total_quantity_in_order long, total_order_value decimal(38,8), "
+        "total_discount_on_order decimal(38,2), discount_percent double, profit decimal(38,8), "
+        "distinct_categories_in_order long")
+    k = K.order_kpis(o360).first()
+    assert (k.total_unique_orders, k.total_quantity, k.total_channels) == (3, 6, 2)
+    assert k.avg_order_value == pytest.approx(200 / 3) and k.avg_items_per_order == 2.0
+    assert k.pct_single_category_orders == pytest.approx(200 / 3) and k.pct_multi_category_orders == pytest.approx(100 / 3)
+    assert k.total_cost == D("130.00000000") and k.discount_percentage == pytest.approx(7.5)
+    assert k.profit_percentage == pytest.approx(35.0) and k.avg_discount_percent == pytest.approx(20 / 3)
+    approx = K.order_kpis(o360, approx=True).first()
+    assert approx.total_unique_orders == 3  # HyperLogLog++ is exact at this size
+    c360 = spark.createDataFrame([(1, 1, 2, 3), (2, 3, 0, 1), (3, 1, 1, 0)],
+                                 "customer_id long, total_distinct_transactions long, weekend_transactions long, "
+                                 "weekday_transactions long")
+    c = K.customer_kpis(c360.withColumn("total_revenue", F.lit(D("1.00"))).withColumn("profit", F.lit(D("0.50")))).first()
+    assert c.repeat_purchase_rate == pytest.approx(100 / 3) and c.one_time_buyer_percentage == pytest.approx(200 / 3)
+    assert (c.total_weekend_transactions, c.total_weekday_transactions) == (3, 4)
