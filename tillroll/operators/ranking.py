@@ -60,8 +60,9 @@ def global_row_number(df: DataFrame, order_by: list[Column], out: str = "row_num
     numbered = (
         staged.withColumn("_pid", pid)
         .join(F.broadcast(off_df), "_pid", "left")
+        # bigint: no 2^31-row limit (Spark's own row_number is an int)
         .withColumn(out, (F.col("_mid").bitwiseAND(F.lit(_LOW_BITS)) + F.coalesce(F.col("_off"), F.lit(0)) + 1)
-                    .cast("int"))
+                    .cast("bigint"))
         .drop("_mid", "_pid", "_off")
     )
     return numbered, total
