@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tillroll.llm import orc_tokens, packing, token_scan
+from pyspark.sql import functions as F
+
+from tillroll.llm import decontaminate, line_dedup, orc_tokens, packing, token_scan
 from tillroll.llm.ship import ship
 from tillroll.sources.stage import scratch_path
 
@@ -33,9 +35,32 @@ def op2_orc_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orc_tokens.digests(spark, path)
 
 
+def op6_prefix_filtered_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return decontaminate.digests(decontaminate.mark(docs, table(spark, sf_dir, "benchmark")))
+
+
+def op8_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = line_dedup.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
+
+
 def op9_min_bin_slack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(packing.cut(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json")))
 
 
-QUERIES = {f.__name__: f for f in (op1_separator_scan, op2_orc_tokens, op9_min_bin_slack)}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_separator_scan, op2_orc_tokens, op6_prefix_filtered_join, op8_line_runs, op9_min_bin_slack)}
+
+_OP8_SQL = r"""
+with lines as (
+  select doc_id, t.pos, t.line, translate(trim(t.line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as key
+  from documents, unnest(list_zip(string_split(coalesce(text, ''), chr(10)), range(1, 1 + len(string_split(coalesce(text, ''), chr(10)))))) as u(z),
+       lateral (select z[1] as line, z[2] as pos) as t),
+firsts as (select key, min(doc_id) as first_doc from lines where length(key) >= 10 group by key),
+judged as (select l.doc_id, l.pos, l.line, f.key is not null and f.first_doc < l.doc_id as gone from lines l left join firsts f on l.key = f.key)
+select doc_id, count(*) as n_lines, count(*) filter (where gone) as n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) order by pos) filter (where not gone), '')) as kept_sha256
+from judged group by doc_id
+"""
+
+ORACLE_SQL: dict[str, str] = {"op8_line_runs": _OP8_SQL}
