@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from tillroll.llm import decontaminate, line_dedup, orc_tokens, packing, token_scan
+from tillroll.llm import decontaminate, langid, line_dedup, orc_tokens, packing, token_scan
 from tillroll.llm.ship import ship
 from tillroll.sources.stage import scratch_path
 
@@ -35,6 +35,13 @@ def op2_orc_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orc_tokens.digests(spark, path)
 
 
+def op3_nearest_centroid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = langid.fit(docs.where(~langid.held_out()).select("doc_id", "text", "lang"))
+    told = langid.predict(docs.select("doc_id", "text"), model)
+    return told.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score", "rejected")
+
+
 def op6_prefix_filtered_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return decontaminate.digests(decontaminate.mark(docs, table(spark, sf_dir, "benchmark")))
@@ -49,7 +56,7 @@ def op9_min_bin_slack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(packing.cut(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json")))
 
 
-QUERIES = {f.__name__: f for f in (op1_separator_scan, op2_orc_tokens, op6_prefix_filtered_join, op8_line_runs, op9_min_bin_slack)}
+QUERIES = {f.__name__: f for f in (op1_separator_scan, op2_orc_tokens, op3_nearest_centroid, op6_prefix_filtered_join, op8_line_runs, op9_min_bin_slack)}
 
 _OP8_SQL = r"""
 with lines as (
