@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from tillroll.llm import decontaminate, langid, line_dedup, orc_tokens, packing, token_scan
+from tillroll.llm import decontaminate, hyperminhash, langid, line_dedup, orc_tokens, packing, token_scan
 from tillroll.llm.ship import ship
 from tillroll.sources.stage import scratch_path
 
@@ -56,7 +56,11 @@ def op9_min_bin_slack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(packing.cut(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json")))
 
 
-QUERIES = {f.__name__: f for f in (op1_separator_scan, op2_orc_tokens, op3_nearest_centroid, op6_prefix_filtered_join, op8_line_runs, op9_min_bin_slack)}
+def op10_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hyperminhash.group(table(spark, sf_dir, "documents"), k=2, percent=80)
+
+
+QUERIES = {f.__name__: f for f in (op1_separator_scan, op2_orc_tokens, op3_nearest_centroid, op6_prefix_filtered_join, op8_line_runs, op9_min_bin_slack, op10_hyperminhash)}
 
 _OP8_SQL = r"""
 with lines as (
