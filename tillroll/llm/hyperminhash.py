@@ -32,7 +32,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tillroll.llm.components import components
-from tillroll.llm.tokens import binary_array, mix, slices
+from tillroll.llm.substring import one_row_per_id
+from tillroll.llm.tokens import mix, slices
 from tillroll.llm.words import UNSPACED, Words, rolled
 from tillroll.sources.stage import scratch_path, write_stage
 
@@ -228,9 +229,7 @@ def group(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     cent or more) and kept (the smallest of its component), one row a doc_id."""
     spark = docs.sparkSession
     stage = lambda df, name: write_stage(df, scratch_path(spark, name))
-    docs = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    if docs.groupBy("doc_id").count().where("count > 1").head(1):
-        docs = docs.groupBy("doc_id").agg(F.min("text").alias("text"))
+    docs = one_row_per_id(docs)
     signed = sign(docs, k)
     least = F.min(F.struct("doc_id", "n", "regs")).alias("c")
     classes = stage(signed.where("n > 0").groupBy("s1", "s2").agg(least).select("s1", "s2", "c.*"), "classes")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from tillroll.llm import decontaminate, hyperminhash, langid, line_dedup, orc_tokens, packing, token_scan
+from tillroll.llm import decontaminate, hyperminhash, langid, line_dedup, mips, orc_tokens, packing, substring, token_scan
 from tillroll.llm.ship import ship
 from tillroll.sources.stage import scratch_path
 
@@ -42,11 +42,20 @@ def op3_nearest_centroid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return told.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def op5_norm_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mips.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5, scale=256)
+
+
 def op6_prefix_filtered_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return decontaminate.digests(decontaminate.mark(docs, table(spark, sf_dir, "benchmark")))
 
 
+def op7_fm_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = substring.dedup(table(spark, sf_dir, "documents"))
+    return done.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op8_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = line_dedup.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
@@ -60,7 +69,7 @@ def op10_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hyperminhash.group(table(spark, sf_dir, "documents"), k=2, percent=80)
 
 
-QUERIES = {f.__name__: f for f in (op1_separator_scan, op2_orc_tokens, op3_nearest_centroid, op6_prefix_filtered_join, op8_line_runs, op9_min_bin_slack, op10_hyperminhash)}
+QUERIES = {f.__name__: f for f in (op1_separator_scan, op2_orc_tokens, op3_nearest_centroid, op5_norm_buckets, op6_prefix_filtered_join, op7_fm_index, op8_line_runs, op9_min_bin_slack, op10_hyperminhash)}
 
 _OP8_SQL = r"""
 with lines as (
@@ -74,4 +83,13 @@ select doc_id, count(*) as n_lines, count(*) filter (where gone) as n_dropped,
 from judged group by doc_id
 """
 
-ORACLE_SQL: dict[str, str] = {"op8_line_runs": _OP8_SQL}
+_OP5_SQL = """
+with v as (select vec_id, list_transform(embedding, lambda x: floor(256 * x::double)::bigint) as v from embeddings
+           where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+scored as (select q.vec_id as query_id, c.vec_id, list_inner_product(q.v::double[], c.v::double[])::bigint as score
+           from v q join v c on q.vec_id % 50 = 0 and q.vec_id <> c.vec_id and len(q.v) = len(c.v)),
+ranked as (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from scored)
+select query_id, rank::int as rank, vec_id, score from ranked where rank <= 5
+"""
+
+ORACLE_SQL: dict[str, str] = {"op5_norm_buckets": _OP5_SQL, "op8_line_runs": _OP8_SQL}
