@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from tillroll.llm import decontaminate, hyperminhash, langid, line_dedup, mips, orc_tokens, packing, substring, token_scan
+from tillroll.llm import decontaminate, hyperminhash, langid, line_dedup, mips, orc_tokens, packing, substring, token_scan, toolcalls
 from tillroll.llm.ship import ship
 from tillroll.sources.stage import scratch_path
 
@@ -42,6 +42,37 @@ def op3_nearest_centroid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return told.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score", "rejected")
 
 
+SCHEMAS = [("search", ["query"], {"query": "STRING", "limit": "BIGINT"}), ("lookup", ["id"], {"id": "BIGINT"}),
+           ("note", ["query", "done"], {"query": "STRING", "done": "BOOLEAN"})]
+
+
+def tool_tables(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Calls and results made of conversation turns: every user turn calls a tool with its text, and
+    the assistant turn behind it is the result. Neighbouring calls depend on each other in a
+    direction given by the text's length, so that both orders occur."""
+    n, call = F.coalesce(F.length("text"), F.lit(0)), lambda turn: F.concat(F.lit("call_"), turn.cast("string"))
+    tool = F.element_at(F.array(*[F.lit(x[0]) for x in SCHEMAS], F.lit("retired")), (n % 4 + 1).cast("int"))
+    arguments = F.to_json(F.struct(F.col("text").alias("query"), F.when(n % 3 > 0, n % 50).alias("limit"), F.when(n % 4 == 1, F.col("conv_id")).alias("id"), F.when(n % 5 > 0, n % 2 == 0).alias("done")))
+    user, turn = turns.where("role = 'user'"), F.col("turn")
+    ahead = F.when(n % 2 == 0, F.array(call(turn + 2))).otherwise(F.array().cast("array<string>"))
+    calls = user.select("conv_id", call(turn).alias("call_id"), turn.alias("pos"), tool.alias("name"), arguments.alias("arguments"), ahead.alias("depends_on"))
+    back = user.where(n % 2 == 1).select("conv_id", call(turn + 2).alias("call_id"), call(turn).alias("dep")).distinct()
+    known = user.select("conv_id", call(turn).alias("dep")).distinct()
+    # a dependency on a turn that is not there is left out
+    calls = (calls.join(back, ["conv_id", "call_id"], "left").withColumn("dep2", F.try_element_at("depends_on", F.lit(1)))
+             .join(known.withColumnsRenamed({"dep": "dep2"}).withColumn("there", F.lit(True)), ["conv_id", "dep2"], "left"))
+    depends = F.expr("filter(array(dep, if(there, dep2, null)), x -> x is not null)")
+    calls = calls.select("conv_id", "call_id", "pos", "name", "arguments", depends.alias("depends_on"))
+    results = turns.where("role = 'assistant'").select("conv_id", call(turn - 1).alias("call_id"), turn.alias("pos"), F.col("text").alias("content"))
+    return calls, results
+
+
+def op4_tool_call_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    calls, results = tool_tables(table(spark, sf_dir, "conversations"))
+    schemas = spark.createDataFrame(SCHEMAS, "name string, required array<string>, types map<string, string>")
+    return toolcalls.link(calls, results, schemas)
+
+
 def op5_norm_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mips.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5, scale=256)
 
@@ -69,7 +100,7 @@ def op10_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hyperminhash.group(table(spark, sf_dir, "documents"), k=2, percent=80)
 
 
-QUERIES = {f.__name__: f for f in (op1_separator_scan, op2_orc_tokens, op3_nearest_centroid, op5_norm_buckets, op6_prefix_filtered_join, op7_fm_index, op8_line_runs, op9_min_bin_slack, op10_hyperminhash)}
+QUERIES = {f.__name__: f for f in (op1_separator_scan, op2_orc_tokens, op3_nearest_centroid, op4_tool_call_linking, op5_norm_buckets, op6_prefix_filtered_join, op7_fm_index, op8_line_runs, op9_min_bin_slack, op10_hyperminhash)}
 
 _OP8_SQL = r"""
 with lines as (
