@@ -1,25 +1,61 @@
 """The corpus pipeline: five stages over the documents table, each one of the library's operators.
 
-Each stage function takes ``(spark, docs, sf_dir)`` and returns the documents it keeps; ``run``
-writes every stage as Parquet under the session's shared checkpoint folder and reads it again, so
-a lost executor costs one stage's tasks at most.
+Each stage function takes ``(spark, docs, sf_dir)`` and returns what it keeps, with the columns of
+documents (the last returns packed pieces); ``run`` writes every stage as Parquet under the session's
+shared checkpoint folder and reads it again, so a lost executor costs tasks of one stage at most.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from tillroll.llm import decontaminate, hyperminhash, langid, line_dedup, packing
+from tillroll.llm.queries import table, vocabulary
 from tillroll.sources.stage import scratch_path, write_stage
 
-STAGES: list = []
 
-#: No stage list of tokens, centroids or components can be said in SQL; the stages are tested
-#: against brute force instead.
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is told: texts without letters and texts far from every language
+    go. A missing lang is filled with the prediction."""
+    model = langid.fit(docs.where(~langid.held_out()).select("doc_id", "text", "lang"))
+    told = langid.predict(docs, model).where(~F.col("rejected"))
+    return told.withColumn("lang", F.coalesce("lang", "lang_pred")).select(docs.columns)
+
+
+def line_dedupe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the lines that an earlier document has; those left without text go."""
+    kept = line_dedup.dedup(docs).where((F.col("n_dropped") == 0) | (F.length(F.trim("text")) > 0))
+    return kept.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
+
+
+def near_dedupe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates (five-word shingles, similarity of 0.8)."""
+    gone = hyperminhash.group(docs, k=5, percent=80).where(~F.col("kept")).select("doc_id")
+    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+
+
+def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no window of ten benchmark words. Items of fewer words (single numbers,
+    say) mark documents in op6, but are too common in clean ones to drop them."""
+    marked = decontaminate.mark(docs, table(spark, sf_dir, "benchmark"))
+    return marked.where(F.size("long_items") == 0).select(docs.columns)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the documents' ids in sequences of 1024."""
+    return packing.pack(packing.cut(docs, vocabulary("byte_bpe_50k.json")))
+
+
+STAGES = [("language_id", language_id), ("line_dedup", line_dedupe), ("near_dedup", near_dedupe), ("decontamination", decontaminated), ("packing", packed)]
+
+#: Centroids, components and token ids cannot be said in SQL; the stages are tested against brute
+#: force instead.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         docs = write_stage(stage(spark, docs, sf_dir), scratch_path(spark, name))
     return docs
