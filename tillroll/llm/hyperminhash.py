@@ -32,6 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tillroll.llm.components import components
+from tillroll.llm.sift import sift
 from tillroll.llm.substring import one_row_per_id
 from tillroll.llm.tokens import mix, slices
 from tillroll.llm.words import UNSPACED, Words, rolled
@@ -154,7 +155,8 @@ def _verified(pairs: DataFrame, docs: DataFrame, k: int) -> DataFrame:
     sized = pairs.join(parts, "a")
     members = sized.select("a", F.pmod(F.xxhash64("b"), F.col("parts")).alias("part"), F.col("b").alias("doc_id"))
     heads = parts.select("a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.col("a").alias("doc_id"))
-    rows = members.unionByName(heads).join(docs, "doc_id").select("a", "part", (F.col("doc_id") != F.col("a")).alias("member"), "doc_id", "text")
+    asked = members.unionByName(heads)
+    rows = asked.join(sift(docs, asked), "doc_id").select("a", "part", (F.col("doc_id") != F.col("a")).alias("member"), "doc_id", "text")
     grouped = rows.repartition("a", "part").sortWithinPartitions("a", "part", "member", "doc_id")
 
     def run(batches):
@@ -187,7 +189,7 @@ def _between(pairs: DataFrame, labels: DataFrame, docs: DataFrame, k: int, perce
     columns = ["lead", "row", "col", "role", "doc_id", "component"]
     strays = met.where("component <> main").withColumn("row", mine("strays")).withColumn("col", upto("parts")).withColumn("role", F.lit(0)).select(columns)
     others = met.withColumn("col", mine("parts")).withColumn("row", upto("strays")).withColumn("role", F.lit(1)).select(columns)
-    rows = strays.unionByName(others).join(docs, "doc_id").select(*columns, "text")
+    rows = strays.unionByName(others).join(sift(docs, met), "doc_id").select(*columns, "text")
     grouped = rows.repartition("lead", "row", "col").sortWithinPartitions(*columns[:5])
 
     def run(batches):

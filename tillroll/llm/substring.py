@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tillroll.llm.fmindex import FMIndex
+from tillroll.llm.sift import sift
 from tillroll.llm.tokens import mix, slices
 from tillroll.llm.words import UNSPACED, Words, ranges, rolled
 from tillroll.sources.stage import scratch_path, write_stage
@@ -101,7 +102,7 @@ def _content(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
                  pa.array([h[a:a + k].tobytes() for a, k in zip(f.place[rows].tolist(), (f.n[rows] + n - 1).tolist())], pa.binary())],
                 ["doc_id", "start", "m", "hash", "words"])
 
-    return docs.join(wanted, "doc_id").select("doc_id", "text", "starts").mapInArrow(run, "doc_id long, start long, m long, hash long, words binary")
+    return sift(docs, wanted).join(wanted, "doc_id").select("doc_id", "text", "starts").mapInArrow(run, "doc_id long, start long, m long, hash long, words binary")
 
 
 def repeated(docs: np.ndarray, starts: np.ndarray, words: list[np.ndarray], n: int) -> list[list[int]]:
