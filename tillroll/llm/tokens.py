@@ -70,7 +70,8 @@ class HashTable:
         self.n = 0
 
     def _slots(self, h):
-        return (h >> np.uint64(64 - self.bits)).astype(np.int64)
+        # keys may be chosen by their order (smallest hashes), so their own bits are no even spread
+        return (h * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - self.bits)).astype(np.int64)
 
     def get(self, h: np.ndarray) -> np.ndarray:
         """Row numbers, -1 where a key is not held."""
