@@ -24,8 +24,10 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedupe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the lines that an earlier document has; those left without text go."""
-    kept = line_dedup.dedup(docs).where((F.col("n_dropped") == 0) | (F.length(F.trim("text")) > 0))
+    """Documents without the lines that an earlier document has. One that lost lines and has no line
+    left that is long enough to be judged (a copy) goes."""
+    some = F.exists(F.split("text", "\n"), lambda x: F.char_length(line_dedup.line_key(x)) >= line_dedup.MIN_CHARS)
+    kept = line_dedup.dedup(docs).where((F.col("n_dropped") == 0) | some)
     return kept.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
 
 
