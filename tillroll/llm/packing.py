@@ -31,6 +31,8 @@ from tillroll.sources.stage import scratch_path, write_stage
 CAPACITY = 1024
 #: Rows of the plan that may be broadcast; a plan has a few rows a length.
 MAX_PLAN_ROWS = 1_000_000
+#: Pieces cut once more that are broadcast to where their ids lie (some 100 bytes each); more are joined by a shuffle.
+MAX_SPLIT_ROWS = 100_000
 
 
 def cut(docs: DataFrame, vocabulary: str, kind: str = "byte", end_id: int = 0, capacity: int = CAPACITY) -> DataFrame:
@@ -133,7 +135,9 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, max_slack: int = 0) -> Dat
     fits = laid.where("_room >= length").select(
         "doc_id", "start", "length", "ids_crc32", "doc_tokens", F.expr(f"_at div {capacity}").alias("sequence_id"), (F.col("_at") % capacity).alias("offset"))
     # one piece a window at most lies across its end: its ids are fetched and cut there
-    across = laid.where("_room < length").join(stored.select("_piece", "ids"), "_piece").select(
+    split = write_stage(laid.where("_room < length"), scratch_path(spark, "split"))
+    few = split.count() <= MAX_SPLIT_ROWS
+    across = (F.broadcast(split) if few else split).join(stored.select("_piece", "ids"), "_piece").select(
         "doc_id", "start", "doc_tokens", "ids", F.col("length").alias("_length"), "_at", "_room", F.explode(F.array(F.lit(0), F.lit(1))).alias("_half"))
     head = F.col("_half") == 0
     part = F.when(head, F.expr("substring(ids, 1, int(4 * _room))")).otherwise(F.expr("substring(ids, int(4 * _room + 1), int(4 * (_length - _room)))"))

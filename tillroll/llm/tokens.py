@@ -40,10 +40,10 @@ _RNG = np.random.default_rng(7)
 _T = _RNG.integers(1, 2**63, 0x250, np.uint64) * np.uint64(2) + np.uint64(1)
 _P = np.uint64(0x9E3779B97F4A7C15) ** np.arange(64, dtype=np.uint64)
 
-#: Pre-tokens kept by a worker's cache before it starts anew (about 100 MB with its table).
+#: Pre-tokens kept by a worker's cache before it starts anew (about 60 MB with its table).
 CACHE_WORDS = 1_000_000
 #: Characters worked on at once.
-CHUNK_CHARS = 2_000_000
+CHUNK_CHARS = 1_000_000
 
 
 def powers(n: int) -> np.ndarray:
@@ -271,7 +271,7 @@ def with_end(ids: np.ndarray, lens: np.ndarray, end_id: int) -> tuple[np.ndarray
     return out, bounds
 
 
-def slices(batches, column: str = "text", limit: int = 16_000_000):
+def slices(batches, column: str = "text", limit: int = 4_000_000):
     """Slices of batches that hold about ``limit`` bytes of ``column``, so that memory follows
     the bytes and not the row count of a batch (one very long text makes a slice of its own)."""
     for batch in batches:
