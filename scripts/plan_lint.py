@@ -12,7 +12,7 @@ import sys
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-from __spark_entry__ import queries  # noqa: E402
+from tillroll.plans.registry import QUERIES  # noqa: E402
 from tillroll.session import local_session  # noqa: E402
 
 # Windows allowed on one partition: their input is bounded whatever the data size (one row per
@@ -41,7 +41,7 @@ def main() -> int:
     sf = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.001"
     spark = local_session(4)
     bad = 0
-    for name, fn in queries().items():
+    for name, fn in QUERIES.items():
         plan = plan_text(fn(spark, sf))
         problems = lint(name, plan)
         bad += bool(problems)

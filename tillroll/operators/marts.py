@@ -57,12 +57,18 @@ def paid_lines(fact: DataFrame, payments: DataFrame, dedupe: bool = False) -> Da
     return lines.withColumn("_w", F.lit(1).cast("bigint") if dedupe else F.col("_np"))
 
 
+def weight(n: Column) -> Column:
+    """A row count as ``decimal(9,0)``. More than that many rows of one key are an error in every
+    session, never a null that a later sum would drop."""
+    return F.when(n < 1_000_000_000, n).otherwise(F.raise_error(F.lit("a key with 10^9 rows or more"))).cast("decimal(9,0)")
+
+
 def _w(c: Column) -> Column:
     """A fact-line value repeated once per payment row of its order — ``_w`` times.
 
     The weight is ``decimal(9,0)`` so that a ``decimal(28,8)`` money value times the weight stays
     within 38 digits without Spark dropping scale."""
-    return c * F.col("_w").cast("decimal(9,0)")
+    return c.cast("decimal(28,8)") * weight(F.col("_w"))
 
 
 def _wn(c: Column) -> Column:
@@ -78,7 +84,8 @@ def _payment_counters(per_order: bool = False) -> list[Column]:
 
 
 def _profit_line() -> Column:
-    return (F.col("total_amount") - F.col("cost_per_unit") * F.col("quantity")).cast("decimal(28,8)")
+    cost = (F.col("cost_per_unit") * F.col("quantity").cast("decimal(19,0)")).cast("decimal(28,8)")
+    return (F.col("total_amount").cast("decimal(28,8)") - cost).cast("decimal(28,8)")
 
 
 def _distinct(c: str, approx: bool) -> Column:
@@ -134,7 +141,7 @@ def customer_360(customers: DataFrame, fact: DataFrame, payments: DataFrame, ded
         per_cust_pay = per_cust_pay.join(counters, "customer_id", "full")
     cust = customers.groupBy(*CUSTOMER_COLS).agg(F.count(F.lit(1)).alias("_nc"))
     nc = F.col("_nc")
-    ncd = nc.cast("decimal(9,0)")
+    ncd = weight(nc)
     last = _global_last_date(fact)
     out = (cust.join(per_cust, F.col("custid") == F.col("customer_id"))
            .drop("customer_id")
@@ -220,7 +227,7 @@ def store_360(fact: DataFrame, stores: DataFrame, approx: bool = False) -> DataF
         F.max(ts).alias("last_order_date"),
     )
     dim = stores.groupBy(*STORE_COLS).agg(F.count(F.lit(1)).alias("_ns"))
-    n = F.coalesce(F.col("_ns"), F.lit(1)).cast("decimal(9,0)")
+    n = weight(F.coalesce(F.col("_ns"), F.lit(1)))
     last = _global_last_date(fact)
     return (
         per_store.join(dim, F.col("delivered_storeid") == F.col("storeid"), "left")

@@ -97,8 +97,8 @@ def _reconcile_plan(matched: DataFrame, remaining: DataFrame) -> DataFrame:
     """One row per (customer, order) to keep: ``_pt`` null = every line once; otherwise the lines
     whose rounded amount is ``_pt``, ``_k`` times each."""
     keys = ["customer_id", "order_id"]
-    return matched.select(*keys, F.lit(None).cast("decimal(38,0)").alias("_pt"), F.lit(1).alias("_k")).unionByName(
-        remaining.groupBy(*keys, "paymenttotal").agg(F.count(F.lit(1)).cast("int").alias("_k"))
+    return matched.select(*keys, F.lit(None).cast("decimal(38,0)").alias("_pt"), F.lit(1).cast("bigint").alias("_k")).unionByName(
+        remaining.groupBy(*keys, "paymenttotal").agg(F.count(F.lit(1)).alias("_k"))
         .select(*keys, F.col("paymenttotal").cast("decimal(38,0)").alias("_pt"), "_k"))
 
 
@@ -106,7 +106,7 @@ def _apply_plan(orders: DataFrame, plan: DataFrame) -> DataFrame:
     return (
         orders.join(plan, ["customer_id", "order_id"])
         .where(F.col("_pt").isNull() | (_round0(F.col("total_amount")) == F.col("_pt")))
-        .withColumn("_copy", F.explode(F.array_repeat(F.lit(1), F.col("_k"))))
+        .withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_k"))))
     )
 
 
@@ -192,6 +192,10 @@ def multi_store_lines(orders: DataFrame) -> DataFrame:
     )
 
 
+#: Amounts summed over a join's fan-out: 20 digits before the point, none of a line's 8 after it lost.
+SUM_TYPE = "decimal(28,8)"
+
+
 def _counted(df: DataFrame, cols: list[str], name: str) -> DataFrame:
     return df.groupBy(*cols).agg(F.count(F.lit(1)).alias(name))
 
@@ -218,13 +222,13 @@ def multi_store_insert(multi: DataFrame, products: DataFrame, payments: DataFram
         .join(rev, "order_id")
         .join(store, F.col("delivered_storeid") == F.col("storeid"))
     )
-    # decimal(19,0) holds any bigint; decimal(18,8) × decimal(19,0) stays within 38 digits, so
-    # Spark keeps all 8 decimals (a bigint factor would make it drop one).
+    # decimal(18,8) × decimal(19,0) stays within 38 digits, so Spark keeps all 8 decimals (a bigint
+    # factor would make it drop one), and the product holds any hot order's sum.
     mult = reduce(lambda a, b: a * b, [F.col(f"_n{i}") for i in range(1, 6)]).cast("decimal(19,0)")
     return joined.select(
         *[c for c in ORDER_COLS if c not in ("quantity", "total_amount")],
-        (F.col("net_qty") * mult).cast("int").alias("quantity"),
-        (F.col("net_amount") * mult).cast("decimal(18,8)").alias("total_amount"),
+        (F.col("net_qty") * mult).cast("bigint").alias("quantity"),
+        (F.col("net_amount") * mult).cast(SUM_TYPE).alias("total_amount"),
         "category",
         F.col("customer_satisfaction_score").cast("double").alias("avg_rating"),
         *STORE_COLS[1:],
@@ -245,8 +249,8 @@ def multi_store_records(insert: DataFrame) -> DataFrame:
     keys = [c for c in FACT_COLS if c not in ("quantity", "total_amount")]
     return (
         insert.groupBy(*keys)
-        .agg(F.sum("quantity").cast("int").alias("quantity"),
-             F.sum("total_amount").cast("decimal(18,8)").alias("total_amount"))
+        .agg(F.sum("quantity").cast("bigint").alias("quantity"),
+             F.sum("total_amount").cast(SUM_TYPE).alias("total_amount"))
         .select(*FACT_COLS)
     )
 

@@ -8,13 +8,14 @@ queries build the fact table and marts once.
 
 from __future__ import annotations
 
+import dataclasses
 import threading
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tillroll.operators import marts, quality, reconcile
-from tillroll.sources.stage import StageStore
+from tillroll.sources.stage import StageStore, files_fingerprint, input_fingerprint
 from tillroll.sources.tables import fixture_tables
 
 
@@ -23,12 +24,15 @@ class CleaningBatch:
 
     ``tables`` is a :class:`RetailTables`, or a function ``stage -> RetailTables`` that derives the
     sources and stages each one as it goes (the fixture mapping). Real source tables are plain
-    scans and are used as they are.
+    scans and are used as they are. Stages are found again by ``key`` and the tables' fingerprint; a
+    function gives its own in ``inputs``.
     """
 
-    def __init__(self, spark: SparkSession, tables, key: str):
+    def __init__(self, spark: SparkSession, tables, key: str, inputs: str | None = None):
         self.spark = spark
-        self.store = StageStore(spark, key)
+        if inputs is None and not callable(tables):
+            inputs = input_fingerprint([getattr(tables, f.name) for f in dataclasses.fields(tables)])
+        self.store = StageStore(spark, key, inputs or "")
         if callable(tables):
             tables = tables(self._stage_source)
         self.t = tables
@@ -128,16 +132,18 @@ class CleaningBatch:
         return self.store.stage("store_360", lambda: marts.store_360(self.clean_fact(), self.t.stores))
 
 
-_PIPELINES: dict[tuple[str, str], CleaningBatch] = {}
+_PIPELINES: dict[tuple[str, str, str], CleaningBatch] = {}
 _LOCK = threading.Lock()
 
 
 def batch_for(spark: SparkSession, sf_dir: str) -> CleaningBatch:
     """The memoised cleaning batch over the fixture tables derived from ``sf_dir``."""
-    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"))
+    folder = sf_dir.rstrip("/")
+    files = [f"{folder}/{t}.parquet" for t in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")]
+    key = (spark.sparkContext.applicationId, folder, files_fingerprint(spark, files))
     with _LOCK:
         p = _PIPELINES.get(key)
         if p is None:
-            p = CleaningBatch(spark, lambda stage: fixture_tables(spark, sf_dir, stage), key="fixture:" + key[1])
+            p = CleaningBatch(spark, lambda stage: fixture_tables(spark, sf_dir, stage), key="fixture:" + folder, inputs=key[2])
             _PIPELINES[key] = p
         return p

@@ -91,6 +91,8 @@ _PLANS: dict[str, Callable[[CleaningBatch], DataFrame]] = {
     "fix_date_to_latest": lambda p: quality.fix_date_to_latest(p.store_fixed()),
     "out_of_period": lambda p: quality.out_of_period(p.clean_fact(), *PERIOD),
     "multi_customer_orders": lambda p: quality.multi_customer_orders(p.clean_fact()),
+    # the check of multi_customer_orders on raw lines and a column that does vary within orders
+    "multi_product_orders": lambda p: reconcile.orders_with_spread(p.t.orders, "product_id"),
     "fix_na_category": lambda p: p.products_na_fixed(),
     "fix_missing_attributes": lambda p: p.products_clean(),
     # M — marts

@@ -6,8 +6,12 @@ That cuts the lineage (a lost executor recomputes from the last stage, not from
 keeps plans short (a chain of ~30 views ran the driver out of heap while printing the plan), and
 gives the next step a columnar, pruned, pushed-down scan.
 
-The folder is read from the session. Only where it is unset (unit tests, ad-hoc local runs) do
-we make one of our own with ``tempfile.mkdtemp`` and register it as the checkpoint dir.
+The folder is read from the session. Only where it is unset on a local master (unit tests, ad-hoc
+runs) do we make one of our own with ``tempfile.mkdtemp``; on a cluster that is an error, since
+every executor would write to its own disk.
+
+A stage belongs to the inputs it was built from: its folder's name holds a fingerprint of them
+(analysed plans, and paths, sizes and modification times of their files).
 """
 
 from __future__ import annotations
@@ -19,7 +23,14 @@ import threading
 
 from pyspark.sql import DataFrame, SparkSession
 
-_LOCK = threading.RLock()
+_LOCKS: dict[str, threading.RLock] = {}
+_GUARD = threading.Lock()
+
+
+def _lock(path: str) -> threading.RLock:
+    """One lock a stage, so that independent stages are built side by side."""
+    with _GUARD:
+        return _LOCKS.setdefault(path, threading.RLock())
 
 
 def checkpoint_root(spark: SparkSession) -> str:
@@ -28,30 +39,60 @@ def checkpoint_root(spark: SparkSession) -> str:
     if not root:
         root = spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = tempfile.mkdtemp(prefix="tillroll-ckpt-")
         spark.sparkContext.setCheckpointDir(root)
     return root.rstrip("/")
 
 
+def _path(spark: SparkSession, path: str):
+    """The Hadoop file system and path of ``path``."""
+    jpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), jpath
+
+
 def _exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    jpath = jvm.org.apache.hadoop.fs.Path(path)
-    fs = jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return fs.exists(jvm.org.apache.hadoop.fs.Path(path + "/_SUCCESS"))
+    fs, jpath = _path(spark, path + "/_SUCCESS")
+    return fs.exists(jpath)
+
+
+def drop_path(spark: SparkSession, path: str) -> None:
+    """Delete a folder that this library wrote."""
+    fs, jpath = _path(spark, path)
+    fs.delete(jpath, True)
+
+
+def files_fingerprint(spark: SparkSession, paths: list[str]) -> str:
+    """Names, sizes and modification times of files or folders of files."""
+    found = []
+    for path in sorted(paths):
+        fs, jpath = _path(spark, path)
+        for st in fs.listStatus(jpath) if fs.exists(jpath) else ():
+            found.append(f"{st.getPath()}:{st.getLen()}:{st.getModificationTime()}")
+    return hashlib.sha1("\n".join(sorted(found)).encode()).hexdigest()
+
+
+def input_fingerprint(frames: list[DataFrame]) -> str:
+    """A fingerprint of what ``frames`` read: their analysed plans and their files as they are now."""
+    parts = []
+    for df in frames:
+        parts += [str(df.semanticHash()), files_fingerprint(df.sparkSession, df.inputFiles())]
+    return hashlib.sha1(":".join(parts).encode()).hexdigest()
 
 
 class StageStore:
     """Writes and re-reads named stage tables under one run folder.
 
-    ``key`` identifies the inputs (e.g. the source directory); together with the application
-    id it names the folder, so every Spark application builds its stages once and the ~90
-    registered queries share them.
+    ``key`` names the run and ``inputs`` its inputs (``input_fingerprint``); together with the
+    application id they name the folder, so every Spark application builds its stages once, the
+    ~90 registered queries share them, and a run over other inputs never finds them.
     """
 
-    def __init__(self, spark: SparkSession, key: str):
+    def __init__(self, spark: SparkSession, key: str, inputs: str = ""):
         self.spark = spark
         app = spark.sparkContext.applicationId
-        self.digest = hashlib.sha1(f"{app}:{key}".encode()).hexdigest()[:12]
+        self.digest = hashlib.sha1(f"{app}:{key}:{inputs}".encode()).hexdigest()[:12]
         self.root = f"{checkpoint_root(spark)}/tillroll-stages/{app}/{self.digest}"
         self._cache: dict[str, DataFrame] = {}
 
@@ -65,7 +106,7 @@ class StageStore:
         one hot key (an order or customer with a third of the rows) would sit in one task in
         every later scan, where AQE cannot split it; a shuffle on the key can be split.
         """
-        with _LOCK:
+        with _lock(self.path(name)):
             if name in self._cache:
                 return self._cache[name]
             path = self.path(name)
@@ -75,6 +116,11 @@ class StageStore:
             self._cache[name] = out
             return out
 
+    def drop(self) -> None:
+        """Delete all stages of this store."""
+        self._cache.clear()
+        drop_path(self.spark, self.root)
+
 
 def write_stage(df: DataFrame, path: str) -> DataFrame:
     """One-off stage: write ``df`` to ``path`` as parquet and return the re-read table."""
