@@ -75,6 +75,30 @@ def test_plans(spark):
         assert "CartesianProduct" not in _plan(df) and "BroadcastNestedLoopJoin" not in _plan(df)
 
 
+def test_reports_scan_the_fact_once(spark):
+    """Totals come from the per-key aggregate: its exchange is reused, or all is one aggregation."""
+    from tillroll.plans import analysis as A
+    from tillroll.plans.batch import batch_for
+    p = batch_for(spark, SF)
+    for fn in (A.channel_contribution, A.top_stores_revenue_share, A.top_aov_store_shares, A.top_aov_revenue_share,
+               A.gender_customer_share, A.gender_revenue_share):
+        df = fn(p.clean_fact())
+        df.collect()
+        assert "ReusedExchange" in _plan(df), fn.__name__
+    share = A.cohort_revenue_share(p.customer_360(), A.repeat_buyers(), ("n", "revenue", "share"))
+    assert _plan(share).count("FileScan") == 1
+    assert _plan(A.top_mrp_revenue_share(p.clean_fact())).count("FileScan") == 2
+
+
+def test_cube_and_rollup_expand_orders(spark):
+    """The copies that cube and rollup make are of per-order rows: an aggregate below each Expand."""
+    from tillroll.plans import dashboard as R
+    from tillroll.plans.batch import batch_for
+    p = batch_for(spark, SF)
+    for df in (R.revenue_drilldown(p.clean_fact()), R.kpi_slicer_cube(p.clean_fact())):
+        assert "Aggregate" in str(df._jdf.queryExecution().optimizedPlan().toString()).split("Expand")[-1]
+
+
 def test_plan_lint(spark):
     """No cartesian / nested-loop join, no Python on the data path, and no Window on a single
     partition except over bounded inputs, in any registered query."""

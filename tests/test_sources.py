@@ -1,8 +1,10 @@
 """Source readers: any DataFrameReader format, original column names mapped case-insensitively."""
 
+import pytest
+
 from conftest import rows
 from fixtures import tables
-from tillroll.sources.tables import CANONICAL, read_retail_tables
+from tillroll.sources.tables import CANONICAL, canonicalise, read_retail_tables
 
 # Column names as the original tables spell them (mixed case, 'StoreID', 'Custid', …).
 ORIGINAL = {
@@ -32,10 +34,41 @@ def test_read_csv_with_original_names(spark, tmp_path):
 
 
 def test_rename_map(spark, tmp_path):
-    from tillroll.sources.tables import canonicalise
     t = tables(spark)
     path = str(tmp_path / "cust")
     t.customers.toDF("cust_no", "city", "state", "sex").write.parquet(path)
     got = canonicalise(spark.read.parquet(path), "customers",
                        {"CUST_NO": "custid", "city": "customer_city", "state": "customer_state", "sex": "gender"})
     assert got.columns == CANONICAL["customers"] and rows(got) == rows(t.customers)
+
+
+def test_untyped_csv_gives_the_same_tables_and_fact(spark, tmp_path):
+    from tillroll.plans.batch import CleaningBatch
+    t = tables(spark)
+    paths = {}
+    for name, df in t.as_dict().items():
+        paths[name] = str(tmp_path / name)
+        df.write.option("header", True).csv(paths[name])
+    back = read_retail_tables(spark, paths, fmt="csv", options={"header": "true"})
+    assert dict(back.orders.dtypes)["total_amount"] == "decimal(18,8)" and dict(back.orders.dtypes)["quantity"] == "int"
+    typed, untyped = CleaningBatch(spark, t, "typed"), CleaningBatch(spark, back, "untyped")
+    for mart in ("clean_fact", "customer_360"):
+        want, got = getattr(typed, mart)(), getattr(untyped, mart)()
+        # keys stay as they are read: strings from an untyped CSV
+        as_text = [f"cast({c} as string) {c}" for c in want.columns]
+        assert rows(got.selectExpr(*as_text)) == rows(want.selectExpr(*as_text)) != []
+
+
+@pytest.mark.parametrize("ansi", ["true", "false"])
+@pytest.mark.parametrize("value", ["many", "1.5"])
+def test_a_value_that_does_not_convert_fails(spark, ansi, value):
+    before = spark.conf.get("spark.sql.ansi.enabled")
+    spark.conf.set("spark.sql.ansi.enabled", ansi)
+    try:
+        bad = canonicalise(spark.createDataFrame([("1", value)], "order_id string, customer_satisfaction_score string"), "reviews")
+        with pytest.raises(Exception, match="is no int"):
+            bad.collect()
+        fine = canonicalise(spark.createDataFrame([("1", "4.0"), ("2", None)], "order_id string, customer_satisfaction_score string"), "reviews")
+        assert rows(fine) == [("1", 4), ("2", None)]
+    finally:
+        spark.conf.set("spark.sql.ansi.enabled", before)

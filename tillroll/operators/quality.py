@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
@@ -77,11 +77,14 @@ def multi_date_orders(df: DataFrame) -> DataFrame:
     return rows_of_orders_with_spread(df, "bill_date_timestamp").select("order_id")
 
 
+def outside(ts: Column, start: str, end: str) -> Column:
+    return (ts < F.lit(start).cast("timestamp_ntz")) | (ts > F.lit(end).cast("timestamp_ntz"))
+
+
 def out_of_period(df: DataFrame, start: str, end: str) -> DataFrame:
     """D7 — rows billed before ``start`` or after ``end`` (timestamps compared at midnight, so a
     line on the last day after 00:00 counts as outside, as in the reference)."""
-    ts = F.col("bill_date_timestamp")
-    return df.where((ts < F.lit(start).cast("timestamp_ntz")) | (ts > F.lit(end).cast("timestamp_ntz")))
+    return df.where(outside(F.col("bill_date_timestamp"), start, end))
 
 
 def multi_customer_orders(df: DataFrame) -> DataFrame:

@@ -4,8 +4,8 @@
   its own k best rows and only k × tasks rows meet at the end.
 * :func:`top_k_per_group` is ``row_number() over (partition by g order by …) <= k``, planned with
   ``WindowGroupLimit`` so each task drops rows beyond k before the shuffle.
-* :func:`share_of_total` divides by a grand total taken as a scalar subquery (one extra job, one
-  value), not by a cross join or a global window.
+* :func:`share_of_total` divides by a grand total taken as a scalar subquery over the
+  per-key aggregate (one value), not by a cross join or a global window.
 
 Ties: SQL's TOP and ROW_NUMBER are nondeterministic on ties; every ordering here ends with a
 tiebreak column so that results are repeatable.
@@ -28,10 +28,16 @@ def top_k_per_group(df: DataFrame, group: list[str], order_by: list[Column], k:
     return df.withColumn(out, F.row_number().over(w)).where(F.col(out) <= k)
 
 
-def grand_total(df: DataFrame, value: str | Column) -> Column:
-    """``(SELECT SUM(value) FROM df)`` as a scalar subquery column."""
-    v = F.col(value) if isinstance(value, str) else value
-    return df.select(F.sum(v)).scalar()
+def grand_totals(per_key: DataFrame, *values: str) -> list[Column]:
+    """``SUM`` of each of ``values`` over the rows of a per-key aggregate, as scalar subquery columns.
+
+    Name every aggregated column of ``per_key``: the subquery then reads the same aggregate as the
+    report, whose exchange is reused. All sums come from one subquery (a struct).
+    """
+    if len(values) == 1:
+        return [per_key.select(F.sum(values[0])).scalar()]
+    sums = per_key.select(F.struct(*[F.sum(v).alias(v) for v in values])).scalar()
+    return [sums.getField(v) for v in values]
 
 
 def share_of_total(part: str | Column, total: Column, digits: int | None = None) -> Column:

@@ -1,7 +1,8 @@
 """Breakdowns, top-k, shares and trends.
 
 Inputs are the clean fact table (``fact``, F8) and the marts. Every grand total is a scalar
-subquery; every TOP n ends its ordering with the key as a tiebreak.
+subquery over the per-key aggregate that the report needs anyway (the same exchange, reused, so the
+fact is scanned once); every TOP n ends its ordering with the key as a tiebreak.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tillroll.functions.exprs import count_when, mean, month_name, ratio
-from tillroll.operators.topk import grand_total, share_of_total, top_k, top_k_per_group
+from tillroll.operators.topk import grand_totals, share_of_total, top_k, top_k_per_group
 
 
 def new_customers_by_month(c360: DataFrame, years: list[int]) -> DataFrame:
@@ -48,10 +49,11 @@ def sales_by_channel(fact: DataFrame) -> DataFrame:
 
 def channel_contribution(fact: DataFrame) -> DataFrame:
     """A7 — A6 plus each channel's percent of all quantity and revenue."""
-    tq, tr = grand_total(fact, "quantity"), grand_total(fact, "total_amount")
+    per_channel = fact.groupBy("channel").agg(
+        F.sum("quantity").cast("bigint").alias("total_quantity"), F.sum("total_amount").alias("revenue"))
+    tq, tr = grand_totals(per_channel, "total_quantity", "revenue")
     return (
-        fact.groupBy("channel")
-        .agg(F.sum("quantity").cast("bigint").alias("total_quantity"), F.sum("total_amount").alias("revenue"))
+        per_channel
         .withColumn("quantity_percentage", share_of_total("total_quantity", tq))
         .withColumn("revenue_percentage", share_of_total("revenue", tr))
         .orderBy(F.col("total_quantity").desc(), "channel")
@@ -70,23 +72,26 @@ def top_stores_by_revenue(fact: DataFrame, k: int = 10) -> DataFrame:
 def top_stores_revenue_share(fact: DataFrame, k: int = 10) -> DataFrame:
     """A9 — revenue of the top k stores and their percent of all revenue (2 places)."""
     top = top_stores_by_revenue(fact, k)
-    total = grand_total(fact, "total_amount")
+    (total,) = grand_totals(store_revenue(fact), "revenue")
     return top.agg(F.sum("revenue").alias("top10_total_revenue")).withColumn(
         "top10_contribution_percentage", share_of_total("top10_total_revenue", total, 2))
 
 
+def _store_lines(fact: DataFrame) -> DataFrame:
+    return fact.groupBy("delivered_storeid").agg(
+        F.sum("total_amount").alias("total_revenue"), F.count("order_id").alias("total_orders"))
+
+
 def top_stores_by_aov(fact: DataFrame, k: int = 10) -> DataFrame:
     """A10 — the k stores with the highest revenue per line (the reference's "average order
     value" divides by ``COUNT(order_id)``, i.e. lines, not orders)."""
-    per_store = fact.groupBy("delivered_storeid").agg(
-        F.sum("total_amount").alias("total_revenue"), F.count("order_id").alias("total_orders"))
-    per_store = per_store.withColumn("average_order_value", ratio("total_revenue", "total_orders"))
+    per_store = _store_lines(fact).withColumn("average_order_value", ratio("total_revenue", "total_orders"))
     return top_k(per_store, [F.col("average_order_value").desc_nulls_last(), F.col("delivered_storeid").asc()], k)
 
 
 def top_aov_store_shares(fact: DataFrame, k: int = 10) -> DataFrame:
     """A11 — each of A10's stores with its percent of all revenue (2 places)."""
-    total = grand_total(fact, "total_amount")
+    total, _ = grand_totals(_store_lines(fact), "total_revenue", "total_orders")
     return top_stores_by_aov(fact, k).select(
         "delivered_storeid", F.col("total_revenue").alias("revenue"),
         share_of_total("total_revenue", total, 2).alias("top10_contribution_percentage"))
@@ -94,7 +99,7 @@ def top_aov_store_shares(fact: DataFrame, k: int = 10) -> DataFrame:
 
 def top_aov_revenue_share(fact: DataFrame, k: int = 10) -> DataFrame:
     """A12 — revenue of A10's stores together and its percent of all revenue (2 places)."""
-    total = grand_total(fact, "total_amount")
+    total, _ = grand_totals(_store_lines(fact), "total_revenue", "total_orders")
     return top_stores_by_aov(fact, k).agg(F.sum("total_revenue").alias("top10_total_revenue")).withColumn(
         "top10_contribution_percentage", share_of_total("top10_total_revenue", total, 2))
 
@@ -107,15 +112,19 @@ def customers_by_state(c360: DataFrame) -> DataFrame:
 
 def gender_customer_share(fact: DataFrame) -> DataFrame:
     """A14 — distinct customers per gender and their percent (2 places)."""
-    total = fact.select(F.countDistinct("customer_id")).scalar()
-    return fact.groupBy("gender").agg(F.countDistinct("customer_id").alias("customer_count")).withColumn(
+    pairs = fact.select("gender", "customer_id").distinct()
+    # counted per customer, not as a distinct count, which would drop the pairs and scan the fact again
+    customers = pairs.groupBy("customer_id").agg(F.count(F.lit(1)).alias("_pairs"))
+    total = customers.select(count_when((F.col("_pairs") > 0) & F.col("customer_id").isNotNull())).scalar()
+    return pairs.groupBy("gender").agg(F.count("customer_id").alias("customer_count")).withColumn(
         "percentage", share_of_total("customer_count", total, 2))
 
 
 def gender_revenue_share(fact: DataFrame) -> DataFrame:
     """A15 — revenue per gender and its percent (2 places)."""
-    total = grand_total(fact, "total_amount")
-    return fact.groupBy("gender").agg(F.sum("total_amount").alias("revenue")).withColumn(
+    per_gender = fact.groupBy("gender").agg(F.sum("total_amount").alias("revenue"))
+    (total,) = grand_totals(per_gender, "revenue")
+    return per_gender.withColumn(
         "percentage", share_of_total("revenue", total, 2))
 
 
@@ -152,12 +161,13 @@ def cohort_by_state(c360: DataFrame, cohort: Column, count_name: str, revenue_na
 
 
 def cohort_revenue_share(c360: DataFrame, cohort: Column, names: tuple[str, str, str]) -> DataFrame:
-    """A23, A24, A27, A28 — cohort size, revenue and percent of all customers' revenue."""
+    """A23, A24, A27, A28 — cohort size, revenue and percent of all customers' revenue, in one
+    conditional aggregation of the mart."""
     count_name, revenue_name, pct_name = names
-    total = grand_total(c360, "total_revenue")
-    return (c360.where(cohort)
-            .agg(F.count(F.lit(1)).alias(count_name), F.sum("total_revenue").alias(revenue_name))
-            .withColumn(pct_name, share_of_total(revenue_name, total)))
+    return (c360.agg(count_when(cohort).alias(count_name),
+                     F.sum(F.when(cohort, F.col("total_revenue"))).alias(revenue_name),
+                     F.sum("total_revenue").alias("_all"))
+            .select(count_name, revenue_name, share_of_total(revenue_name, F.col("_all")).alias(pct_name)))
 
 
 # ---- products and time (A29–A32) ---------------------------------------------------------------
@@ -168,12 +178,14 @@ def top_mrp_products(fact: DataFrame, k: int = 10) -> DataFrame:
 
 
 def top_mrp_revenue_share(fact: DataFrame, k: int = 10) -> DataFrame:
-    """A30 — revenue of all rows whose product is among A29's, and its percent."""
-    top = top_mrp_products(fact, k).select("product_id")
-    total = grand_total(fact, "total_amount")
-    return (fact.join(top, "product_id", "left_semi")
-            .agg(F.sum("total_amount").alias("total_revenue_from_top_10"))
-            .withColumn("contribution_percentage", share_of_total("total_revenue_from_top_10", total)))
+    """A30 — revenue of all rows whose product is among A29's, and its percent. The k products (at
+    most) flag the lines in a left join, so one pass sums both the flagged and all of them."""
+    top = top_mrp_products(fact, k).select("product_id").distinct().withColumn("_top", F.lit(True))
+    return (fact.select("product_id", "total_amount").join(top, "product_id", "left")
+            .agg(F.sum(F.when(F.col("_top"), F.col("total_amount"))).alias("total_revenue_from_top_10"),
+                 F.sum("total_amount").alias("_all"))
+            .select("total_revenue_from_top_10",
+                    share_of_total("total_revenue_from_top_10", F.col("_all")).alias("contribution_percentage")))
 
 
 def avg_revenue_by_month(fact: DataFrame) -> DataFrame:

@@ -99,7 +99,8 @@ class CleaningBatch:
         per-order join, and each line's bill date before D6; the payment-weighted marts and the
         after-D3 checks read it without joins of their own."""
         return self.store.stage("clean_fact", lambda: reconcile.clean_fact(
-            self.finalised_records(), marts.payment_summary(self.t.payments), keep_original_date=True))
+            self.finalised_records(), marts.payment_summary(self.t.payments), keep_original_date=True),
+            lookup_by="order_id")
 
     def clean_fact(self) -> DataFrame:
         """F8, the 19 columns (the summary columns are pruned at the parquet scan)."""

@@ -9,15 +9,19 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tillroll.functions.exprs import month_name, percent, ratio
+from tillroll.functions.exprs import count_when, month_name, percent, ratio
 from tillroll.operators import quality
+from tillroll.operators.reconcile import BILL_DATE_BEFORE_FIX
 from tillroll.operators.topk import top_k
 
 
 def revenue_drilldown(fact: DataFrame) -> DataFrame:
     """R1 — revenue and orders at every level of region → state → store (``ROLLUP``);
-    ``level`` is ``grouping_id()`` (0 = store rows, 7 = grand total)."""
-    return fact.rollup("region", "seller_state", "delivered_storeid").agg(
+    ``level`` is ``grouping_id()`` (0 = store rows, 7 = grand total). The lines are
+    first summed per order of a store, so the rollup's copies are made of orders, not lines."""
+    levels = ["region", "seller_state", "delivered_storeid"]
+    per_order = fact.groupBy(*levels, "order_id").agg(F.sum("total_amount").alias("total_amount"))
+    return per_order.rollup(*levels).agg(
         F.sum("total_amount").alias("revenue"),
         F.countDistinct("order_id").alias("orders"),
         F.grouping_id().alias("level"),
@@ -26,8 +30,11 @@ def revenue_drilldown(fact: DataFrame) -> DataFrame:
 
 def kpi_slicer_cube(fact: DataFrame) -> DataFrame:
     """R2 — revenue, quantity, orders and customers for every combination of region, channel
-    and gender (``CUBE``), as a dashboard's slicers need."""
-    return fact.cube("region", "channel", "gender").agg(
+    and gender (``CUBE``), as a dashboard's slicers need; over orders, not lines, as in R1."""
+    slicers = ["region", "channel", "gender"]
+    per_order = fact.groupBy(*slicers, "order_id", "customer_id").agg(
+        F.sum("total_amount").alias("total_amount"), F.sum("quantity").alias("quantity"))
+    return per_order.cube(*slicers).agg(
         F.sum("total_amount").alias("revenue"),
         F.sum("quantity").cast("bigint").alias("quantity"),
         F.countDistinct("order_id").alias("orders"),
@@ -70,25 +77,58 @@ def _check(name: str, df: DataFrame) -> DataFrame:
     return df.agg(F.count(F.lit(1)).alias("affected_rows")).select(F.lit(name).alias("check_name"), "affected_rows")
 
 
+def _checks(totals: DataFrame) -> DataFrame:
+    """The columns of a one-row table of counts as (check_name, affected_rows) rows."""
+    return totals.select(F.explode(F.array(*[
+        F.struct(F.lit(c).alias("check_name"), F.coalesce(F.col(c), F.lit(0)).cast("bigint").alias("affected_rows"))
+        for c in totals.columns])).alias("_c")).select("_c.*")
+
+
+def _store_checks(finalised: DataFrame) -> DataFrame:
+    """Lines of orders with several stores, and lines that D3 changes (those not at the order's lowest
+    store), from line counts per (order, store)."""
+    store, n = F.col("delivered_storeid"), F.col("_n")
+    orders = (finalised.where(F.col("order_id").isNotNull())
+              .groupBy("order_id", "delivered_storeid").agg(F.count(F.lit(1)).alias("_n"))
+              .groupBy("order_id").agg(
+                  F.sum("_n").alias("_rows"), F.min(store).alias("_lo"), F.max(store).alias("_hi"),
+                  (F.sum(F.when(store.isNotNull(), n)) - F.min_by(n, store)).alias("_moved")))
+    return orders.agg(F.sum(F.when(F.col("_lo") < F.col("_hi"), F.col("_rows"))).alias("multi_store_rows"),
+                      F.sum("_moved").alias("store_fixes"))
+
+
+def _order_checks(fact: DataFrame, period: tuple[str, str]) -> DataFrame:
+    """The checks on bill dates and customers, from one aggregate per order of the fact stage, which
+    has every line's bill date before and after D6."""
+    before, after = F.col(BILL_DATE_BEFORE_FIX), F.col("bill_date_timestamp")
+    orders = fact.groupBy("order_id").agg(
+        F.count(F.lit(1)).alias("_rows"),
+        F.min(before).alias("_first"), F.max(before).alias("_last"),
+        count_when(before != after).alias("_moved"),
+        count_when(quality.outside(after, *period)).alias("_outside"),
+        F.min("customer_id").alias("_lo"), F.max("customer_id").alias("_hi"))
+    spread = F.col("order_id").isNotNull() & (F.col("_first") < F.col("_last"))
+    return orders.agg(F.sum(F.when(spread, F.col("_rows"))).alias("multi_date_rows"),
+                      F.sum("_moved").alias("date_fixes"),
+                      F.sum("_outside").alias("out_of_period"),
+                      count_when(F.col("_lo") < F.col("_hi")).alias("multi_customer_orders"))
+
+
 def data_quality_summary(p, period: tuple[str, str]) -> DataFrame:
     """R5 — one row per check of the cleaning batch with the rows it found or changed (for the
-    updates, the rows their WHERE matches, as the database reports "rows affected")."""
-    finalised, store_fixed, fact = p.finalised_records(), p.store_fixed(), p.clean_fact()
-    min_store = finalised.groupBy("order_id").agg(F.min("delivered_storeid").alias("_m"))
-    max_date = store_fixed.groupBy("order_id").agg(F.max("bill_date_timestamp").alias("_m"))
-    products = p.t.products
+    updates, the rows their WHERE matches, as the database reports "rows affected"). Checks that read
+    the same table at the same grain share one aggregate."""
+    finalised = p.finalised_records()
+    product_checks = p.t.products.agg(
+        count_when(F.col("category") == "#N/A").alias("na_categories"),
+        count_when(reduce(lambda a, b: a | b, [F.col(c).isNull() for c in quality.PRODUCT_ATTRS]))
+        .alias("missing_attribute_categories"))
     checks = [
         _check("orders_not_matching", p.orders_not_matching()),
         _check("exact_duplicates", quality.exact_duplicates(finalised)),
-        _check("multi_store_rows", quality.rows_of_orders_with_spread(finalised, "delivered_storeid")),
-        _check("store_fixes", finalised.join(min_store, "order_id").where(F.col("delivered_storeid") != F.col("_m"))),
-        _check("cumulative_lines", quality.cumulative_lines(store_fixed)),
-        _check("multi_date_rows", quality.multi_date_orders(store_fixed)),
-        _check("date_fixes", store_fixed.join(max_date, "order_id").where(F.col("bill_date_timestamp") != F.col("_m"))),
-        _check("out_of_period", quality.out_of_period(fact, *period)),
-        _check("multi_customer_orders", quality.multi_customer_orders(fact)),
-        _check("na_categories", products.where(F.col("category") == "#N/A")),
-        _check("missing_attribute_categories", products.where(
-            reduce(lambda a, b: a | b, [F.col(c).isNull() for c in quality.PRODUCT_ATTRS]))),
+        _check("cumulative_lines", quality.cumulative_lines(p.store_fixed())),
+        _checks(_store_checks(finalised)),
+        _checks(_order_checks(p.fact_with_payments(), period)),
+        _checks(product_checks),
     ]
     return reduce(DataFrame.unionByName, checks)

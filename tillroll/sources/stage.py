@@ -99,9 +99,13 @@ class StageStore:
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
-    def stage(self, name: str, build) -> DataFrame:
+    def stage(self, name: str, build, lookup_by: str | None = None) -> DataFrame:
         """Return stage ``name``; build and write it (``build()`` → DataFrame) on first use.
 
+        ``lookup_by`` names a column that is looked up by value: its row groups get Bloom filters, so
+        a pushed-down equality skips the ones without it (their min and max do not help, since the
+        rows come out of a hash shuffle).
+
         Stages are plain parquet, not bucketed tables: a bucket holds every row of its keys, so
         one hot key (an order or customer with a third of the rows) would sit in one task in
         every later scan, where AQE cannot split it; a shuffle on the key can be split.
@@ -111,7 +115,11 @@ class StageStore:
                 return self._cache[name]
             path = self.path(name)
             if not _exists(self.spark, path):
-                build().write.mode("overwrite").parquet(path)
+                writer = build().write.mode("overwrite")
+                if lookup_by:
+                    writer = (writer.option(f"parquet.bloom.filter.enabled#{lookup_by}", "true")
+                              .option("parquet.bloom.filter.adaptive.enabled", "true"))
+                writer.parquet(path)
             out = self.spark.read.parquet(path)
             self._cache[name] = out
             return out

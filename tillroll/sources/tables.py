@@ -7,7 +7,7 @@ Two ways in:
 * :func:`fixture_tables` derives the six tables from the driver's TPC-H-like parquet files
   (``lineitem orders part supplier customer nation region``), following FIXTURES.md §2.
 
-Canonical schemas (types as produced by the fixture mapping):
+Canonical schemas (keys and names keep the type they come with; the others are cast):
 
 ====================  ===========================================================================
 orders                customer_id, order_id, product_id, channel, delivered_storeid,
@@ -53,6 +53,14 @@ CANONICAL = {
     "customers": CUSTOMER_COLS,
 }
 
+#: Types of the columns that are computed on; money is decimal, so sums and equality are exact.
+TYPES = {
+    "bill_date_timestamp": "timestamp_ntz", "quantity": "int", "cost_per_unit": "decimal(12,2)", "mrp": "decimal(12,2)",
+    "discount": "decimal(12,2)", "total_amount": "decimal(18,8)", "payment_value": "decimal(12,2)",
+    "customer_satisfaction_score": "int", **{c: "int" for c in PRODUCT_ATTRS},
+}
+DATE_TYPES = ("date", "timestamp", "timestamp_ntz")
+
 
 @dataclass(frozen=True)
 class RetailTables:
@@ -70,11 +78,28 @@ class RetailTables:
         return RetailTables(**{**self.as_dict(), **kw})
 
 
+def _typed(name: str, source: str) -> Column:
+    """``name`` cast to its type; a value that does not convert fails the query, whatever the session's
+    ANSI setting (a whole number may be written with a fraction of zeros)."""
+    c, target = F.col(name), TYPES.get(name, source)
+    if source == target or (target == "timestamp_ntz" and source in DATE_TYPES):
+        return c
+    if target == "int":
+        exact = c.try_cast("decimal(38,6)")
+        value = F.when(exact == F.floor(exact), exact.try_cast("int"))
+    else:
+        value = c.try_cast(target)
+    message = F.concat(F.lit(f"{name} is no {target}: "), c.cast("string"))
+    return F.when(c.isNotNull() & value.isNull(), F.raise_error(message)).otherwise(value).alias(name)
+
+
 def canonicalise(df: DataFrame, table: str, rename: dict[str, str] | None = None) -> DataFrame:
-    """Lower-case the column names, apply ``rename`` and keep the canonical columns in order."""
+    """Lower-case the column names, apply ``rename`` and keep the canonical columns in order,
+    cast to the canonical types."""
     rename = {k.lower(): v for k, v in (rename or {}).items()}
     df = df.toDF(*[rename.get(c.lower(), c.lower()) for c in df.columns])
-    return df.select(*CANONICAL[table])
+    types = dict(df.dtypes)
+    return df.select(*[_typed(c, types[c]) for c in CANONICAL[table]])
 
 
 def read_retail_tables(
