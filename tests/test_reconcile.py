@@ -147,7 +147,19 @@ def test_order_lookup_pushes_filter(spark, tmp_path, t):
 def test_fused_reconcile_and_enrich_equals_two_steps(spark, t, stages):
     dup_customers = t.customers.unionByName(t.customers.where("custid = 1"))
     m = C.matched_orders(stages["co"], stages["op"])
-    fused = C.reconciled_integrated(t.orders, m, stages["rem"], t.reviews, t.products, t.stores, dup_customers)
+    fused = C.copies(C.reconciled_integrated(t.orders, m, stages["rem"], t.reviews, t.products, t.stores, dup_customers))
     two = C.integrated_orders(stages["rec"], t.reviews, t.products, t.stores, dup_customers)
     assert rows(fused, FACT) == rows(two, FACT)
     assert sum(1 for r in rows(fused, FACT) if r[0] == 1) == 2 * sum(1 for r in rows(stages["integ"], FACT) if r[0] == 1)
+
+
+def test_copies_are_carried_as_a_number(spark, t):
+    """300 equal lines that each carry the payment total stay 300 rows in C7's stage (90,000 in its
+    output), and C11 has the line once."""
+    from tillroll.plans.batch import CleaningBatch
+    one = t.orders.where("order_id = 2 and product_id = 10")
+    many = one.crossJoin(spark.range(300)).drop("id")
+    p = CleaningBatch(spark, t.replace(orders=many), "copies")
+    assert p.integrated_lines().count() == 300
+    assert p.integrated_orders().count() == 90_000
+    assert p.finalised_records().count() == 1

@@ -88,9 +88,18 @@ def reconciled_orders(orders: DataFrame, matched: DataFrame, remaining: DataFram
     One join instead of two: the lines meet a table with one row per (customer, order) — from
     C3 "every line, once", from C5 "lines whose rounded amount is the payment total, k times"
     (the two never share an order: a matched order is not in C4) — and the k copies are made by
-    ``explode``. The order lines, the largest input, are shuffled once for both parts.
+    :func:`copies`. The order lines, the largest input, are shuffled once for both parts.
     """
-    return _apply_plan(orders, _reconcile_plan(matched, remaining)).select(*ORDER_COLS)
+    return copies(_apply_plan(orders, _reconcile_plan(matched, remaining)).select(*ORDER_COLS, COPIES))
+
+
+#: How often C6 has a line, carried as a number until the copies themselves are asked for.
+COPIES = "_k"
+
+
+def copies(df: DataFrame) -> DataFrame:
+    """Every row of ``df`` as often as its ``COPIES`` column says, without that column."""
+    return df.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col(COPIES)))).drop("_copy", COPIES)
 
 
 def _reconcile_plan(matched: DataFrame, remaining: DataFrame) -> DataFrame:
@@ -106,13 +115,13 @@ def _apply_plan(orders: DataFrame, plan: DataFrame) -> DataFrame:
     return (
         orders.join(plan, ["customer_id", "order_id"])
         .where(F.col("_pt").isNull() | (_round0(F.col("total_amount")) == F.col("_pt")))
-        .withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_k"))))
     )
 
 
 def reconciled_integrated(orders: DataFrame, matched: DataFrame, remaining: DataFrame, reviews: DataFrame,
                           products: DataFrame, stores: DataFrame, customers: DataFrame) -> DataFrame:
-    """C6 then C7 in one plan: the same rows as ``integrated_orders(reconciled_orders(…), …)``.
+    """C6 then C7 in one plan: the rows of ``integrated_orders(reconciled_orders(…), …)``, each once
+    with ``COPIES`` (:func:`copies` makes them; C11 removes duplicates, so it never needs to).
 
     The mean review (per order) and the customer row (per customer) are joined to the
     per-(customer, order) plan of C6 — a table of order size — so the order lines pick them up
@@ -132,7 +141,7 @@ def reconciled_integrated(orders: DataFrame, matched: DataFrame, remaining: Data
         _apply_plan(orders, plan)
         .join(prod, "product_id")
         .join(store, F.col("delivered_storeid") == F.col("storeid"))
-        .select(*FACT_COLS)
+        .select(*FACT_COLS, COPIES)
     )
 
 

@@ -64,6 +64,10 @@ class CleaningBatch:
 
     # -- C7–C12 ------------------------------------------------------------------------------
     def integrated_orders(self) -> DataFrame:
+        return reconcile.copies(self.integrated_lines())
+
+    def integrated_lines(self) -> DataFrame:
+        """C7 with each line once and the number of its copies."""
         t = self.t
         return self.store.stage("integrated_orders", lambda: reconcile.reconciled_integrated(
             t.orders, self.matched_orders(), self.remaining_orders(), t.reviews, t.products, t.stores, t.customers))
@@ -84,8 +88,10 @@ class CleaningBatch:
         return reconcile.multi_store_records(self.multi_store_insert())
 
     def finalised_records(self) -> DataFrame:
+        # a set difference: copies of a line make no difference to it
+        lines = self.integrated_lines()
         return self.store.stage("finalised_records", lambda: reconcile.finalised_records(
-            self.append_multi_store(), self.multi_store_records(), self.integrated_orders()))
+            reconcile.append_multi_store(lines, self.multi_store_insert()), self.multi_store_records(), lines))
 
     def store_fixed(self) -> DataFrame:
         """F8 after D3 only (the state the reference's D4 and D5 read): the fact stage with each
