@@ -15,17 +15,17 @@ def col(c: str | Column) -> Column:
 # ---- dates ---------------------------------------------------------------------------------
 
 def days_between(start: str | Column, end: str | Column) -> Column:
-    """T-SQL ``DATEDIFF(day, start, end)``: counts midnights crossed (not whole elapsed days)."""
+    """Midnights crossed from ``start`` to ``end`` (not whole elapsed days)."""
     return F.datediff(col(end), col(start))
 
 
 def is_weekend(ts: str | Column) -> Column:
-    """``DATENAME(weekday, ts) IN ('Saturday', 'Sunday')``, locale-free (1 = Sunday, 7 = Saturday)."""
+    """Saturday or Sunday in any locale (1 = Sunday, 7 = Saturday)."""
     return F.dayofweek(col(ts)).isin(1, 7)
 
 
 def month_name(ts: str | Column) -> Column:
-    """``DATENAME(month, ts)``: the full English month name."""
+    """The full English month name."""
     return F.date_format(col(ts), "MMMM")
 
 
@@ -36,31 +36,31 @@ def as_double(c: str | Column) -> Column:
 
 
 def ratio(num: str | Column, den: str | Column) -> Column:
-    """``num / NULLIF(den, 0)`` in double precision (null instead of a division-by-zero error)."""
+    """``num`` over ``den`` in double precision, null where ``den`` is 0."""
     return as_double(num) / F.nullif(as_double(den), F.lit(0.0))
 
 
 def percent(num: str | Column, den: str | Column) -> Column:
-    """``num * 100.0 / NULLIF(den, 0)`` in double precision."""
+    """``num`` as a percentage of ``den`` in double precision, null where ``den`` is 0."""
     return as_double(num) * F.lit(100.0) / F.nullif(as_double(den), F.lit(0.0))
 
 
 def mean(c: str | Column) -> Column:
-    """``AVG(c)`` as ``SUM / COUNT`` in double: exact decimal sum, one final division."""
+    """Mean in double: exact decimal sum, one final division."""
     return ratio(F.sum(col(c)), F.count(col(c)))
 
 
 def count_when(cond: Column) -> Column:
-    """``COUNT(CASE WHEN cond THEN 1 END)``."""
+    """Rows where ``cond`` holds."""
     return F.count(F.when(cond, F.lit(1)))
 
 
 def sum_when(cond: Column, value: Column | int = 1) -> Column:
-    """``SUM(CASE WHEN cond THEN value ELSE 0 END)`` (0 rather than null on no match)."""
+    """Sum of ``value`` where ``cond`` holds (0 rather than null on no match)."""
     v = value if isinstance(value, Column) else F.lit(value)
     return F.sum(F.when(cond, v).otherwise(F.lit(0)))
 
 
 def ci_equals(c: str | Column, literal: str) -> Column:
-    """Case-insensitive equality, as under SQL Server's default collation."""
+    """Case-insensitive equality."""
     return F.lower(col(c)) == F.lit(literal.lower())

@@ -37,12 +37,12 @@ def _round0(c: Column) -> Column:
 # ---- C1–C5: order totals against payment totals ---------------------------------------------
 
 def cust_order_totals(orders: DataFrame) -> DataFrame:
-    """C1 — (customer_id, order_id, totalamount = ROUND(SUM(total_amount), 0))."""
+    """C1 — (customer_id, order_id, totalamount), the amount in whole units."""
     return orders.groupBy("customer_id", "order_id").agg(_round0(F.sum("total_amount")).alias("totalamount"))
 
 
 def order_payment_totals(payments: DataFrame) -> DataFrame:
-    """C2 — (order_id, paymenttotal = ROUND(SUM(payment_value), 0))."""
+    """C2 — (order_id, paymenttotal), the payments in whole units."""
     return payments.groupBy("order_id").agg(_round0(F.sum("payment_value")).alias("paymenttotal"))
 
 
@@ -63,10 +63,10 @@ def matched_orders(cust_totals: DataFrame, pay_totals: DataFrame) -> DataFrame:
 
 
 def orders_not_matching(cust_totals: DataFrame, pay_totals: DataFrame) -> DataFrame:
-    """C4 — C2 rows with no C1 row of equal total (``LEFT JOIN … WHERE customer_id IS NULL``).
+    """C4 — C2 rows with no C1 row of equal total .
 
-    Written as a left-anti join; a C1 row with a null customer counts as absent, as in the
-    reference's ``IS NULL`` test.
+    Written as a left-anti join; a C1 row with a null customer counts as absent, as the
+    definition has it.
     """
     present = _totals_as_payment(cust_totals).where(F.col("customer_id").isNotNull()).drop("customer_id")
     return pay_totals.join(present, ["order_id", "paymenttotal"], "left_anti")
@@ -80,7 +80,7 @@ def remaining_orders(not_matching: DataFrame, orders: DataFrame) -> DataFrame:
 
 
 def reconciled_orders(orders: DataFrame, matched: DataFrame, remaining: DataFrame) -> DataFrame:
-    """C6 — all lines of the matched orders UNION ALL the single lines of the corrected orders.
+    """C6 — all lines of the matched orders and the single lines of the corrected orders.
 
     Faithful to the reference's second join: when k lines of one (customer, order) carry the
     payment total, C5 has k rows for it and each such line comes out k times.
@@ -246,12 +246,12 @@ def multi_store_insert(multi: DataFrame, products: DataFrame, payments: DataFram
 
 
 def append_multi_store(integrated: DataFrame, insert: DataFrame) -> DataFrame:
-    """C9 — ``Finalised_Records_no``: C7 with the multi-store rows appended (UNION ALL)."""
+    """C9 — C7 with the multi-store rows appended, duplicates kept."""
     return integrated.select(*FACT_COLS).unionByName(insert.select(*FACT_COLS))
 
 
 def multi_store_records(insert: DataFrame) -> DataFrame:
-    """C10 — ``Add_records``: the same join grouped without quantity and amount columns.
+    """C10 — the same join grouped without quantity and amount columns.
 
     C9's groups refine C10's, so C10 is C9's insert regrouped on its 17 other columns.
     """
@@ -290,8 +290,8 @@ def _per_order(df: DataFrame, aggs: dict[str, Column]) -> DataFrame:
 
 
 def fix_store_to_min(fact: DataFrame) -> DataFrame:
-    """D3 — set the store of every line to its order's lowest store (``UPDATE … FROM`` a per-order
-    MIN). Lines with a null store keep it (``<>`` against null is unknown)."""
+    """D3 — set the store of every line to its order's lowest store. Lines with a null
+    store keep it."""
     stats = _per_order(fact, {"_min_store": F.min("delivered_storeid")})
     store = F.col("delivered_storeid")
     return fact.join(stats, "order_id", "left").select(

@@ -1,4 +1,4 @@
-"""Stage tables: the Spark form of the reference's ``SELECT … INTO``.
+"""Stage tables: the tables that the cleaning steps leave behind.
 
 Every cleaning step of the reference writes a physical table. We do the same: a stage is written
 as parquet under the shared folder the cluster names in ``spark.checkpoint.dir`` and read back.
