@@ -5,7 +5,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from tillroll.operators import quality, reconcile
+from tillroll.operators import marts, quality, reconcile
 from tillroll.plans import analysis as A
 from tillroll.plans import segments as S
 from tillroll.plans.batch import batch_for
@@ -47,10 +47,10 @@ def test_percentile_segments_partition_customers(p, seg, measure):
 
 def test_rfm_segments_partition_customers(p):
     f8 = p.clean_fact()
-    out = S.rfm_segments(f8).collect()
+    out = S.rfm_segments(p.rfm_base()).collect()
     assert sum(r.customer_count for r in out) == f8.select("customer_id").distinct().count()
     assert sum(r.total_revenue for r in out) == f8.agg(F.sum("total_amount")).first()[0]
-    scores = S.rfm_scores(f8)
+    scores = S.rfm_scores(p.rfm_base())
     for c in ("recency_score", "frequency_score", "monetary_score"):
         sizes = sorted(r[1] for r in scores.groupBy(c).count().collect())
         assert sizes[-1] - sizes[0] <= 1  # NTILE(4): quartiles differ by at most one row
@@ -68,9 +68,9 @@ def test_cohorts_cover_all_customers(p):
 
 
 def test_segment_plans_have_no_single_partition_window(p):
-    for df in (S.revenue_segments(p.customer_360()), S.rfm_segments(p.clean_fact())):
+    for df in (S.revenue_segments(p.customer_360()), S.rfm_segments(p.rfm_base())):
         plan = df._jdf.queryExecution().executedPlan().toString()
-        assert "Window" not in plan  # no global window at all: ranks come from range partitions
+        assert "Window" not in plan and "Join" not in plan  # the borders are literals
 
 
 def test_after_d3_projection_equals_the_repair(p):
@@ -78,3 +78,27 @@ def test_after_d3_projection_equals_the_repair(p):
     projected = p.store_fixed()
     assert projected.count() == by_operator.count()
     assert projected.subtract(by_operator).count() == 0 and by_operator.subtract(projected).count() == 0
+
+
+def test_marts_read_the_payments_the_fact_carries(p):
+    df = marts.customer_360(p.t.customers, p.fact_with_payments(), None)
+    assert "payment_type" not in df._jdf.queryExecution().optimizedPlan().toString().replace("different_payment_types", "")
+    joined = marts.customer_360(p.t.customers, p.clean_fact(), p.t.payments)
+    assert df.subtract(joined).count() == 0 and joined.subtract(df).count() == 0
+    with pytest.raises(ValueError):
+        marts.customer_360(p.t.customers, p.clean_fact(), None)
+    # payments that are given count, whatever the fact carries
+    none = marts.customer_360(p.t.customers, p.fact_with_payments(), p.t.payments.where("order_id is null"))
+    assert none.count() == 0
+
+
+def test_options_have_stages_of_their_own(p):
+    approx, fresh, clean = p.variant(approx=True), p.variant(refresh_store_attrs=True), p.variant(clean_categories=True)
+    assert approx.customer_360().count() == p.customer_360().count()
+    assert approx.customer_360().inputFiles() != p.customer_360().inputFiles()
+    assert approx.clean_fact().inputFiles() == p.clean_fact().inputFiles()
+    attrs = ["delivered_storeid", "seller_city", "seller_state", "region"]
+    stores = p.t.stores.withColumnRenamed("storeid", "delivered_storeid")
+    assert fresh.clean_fact().select(*attrs).subtract(stores.select(*attrs)).count() == 0
+    assert p.clean_fact().select(*attrs).subtract(stores.select(*attrs)).count() > 0
+    assert clean.clean_fact().where("category = '#N/A'").count() == 0 < p.clean_fact().where("category = '#N/A'").count()

@@ -29,31 +29,35 @@ PAYMENT_TYPES = {
 }
 
 
-SUMMARY_COLS = ["_np", *[f"_n_{s}" for s in PAYMENT_TYPES.values()], "_ntypes"]
+SUMMARY_COLS = ["_np", *[f"_n_{s}" for s in PAYMENT_TYPES.values()], "_types"]
 
 
 def payment_summary(payments: DataFrame) -> DataFrame:
     """One row per order: ``_np`` payment rows, ``_n_<type>`` rows per counted type
-    (case-insensitive, as under SQL Server's default collation) and ``_ntypes`` distinct types."""
+    (case-insensitive) and ``_types``, the different types (no more than there are payment types)."""
     ptype = F.lower(F.col("payment_type"))
     return payments.groupBy("order_id").agg(
         F.count(F.lit(1)).cast("bigint").alias("_np"),
         *[F.sum(F.when(ptype == F.lit(t), 1).otherwise(0)).cast("bigint").alias(f"_n_{s}")
           for t, s in PAYMENT_TYPES.items()],
-        F.countDistinct(ptype).alias("_ntypes"),
+        F.array_sort(F.collect_set(ptype)).alias("_types"),
     )
 
 
-def paid_lines(fact: DataFrame, payments: DataFrame, dedupe: bool = False) -> DataFrame:
+def paid_lines(fact: DataFrame, payments: DataFrame | None, dedupe: bool = False) -> DataFrame:
     """Fact lines of orders with at least one payment, with the order's payment summary and the
     weight ``_w`` = payment rows of the order (the reference's fan-out), or 1 with ``dedupe``.
 
-    A fact that already carries the summary columns (the cleaning batch's fact stage appends them in
-    the per-order join of C12) is only filtered; otherwise the summary is joined here."""
-    if "_np" in fact.columns:
+    ``payments=None`` says that the fact carries the summary (the cleaning batch's fact stage appends it
+    in the per-order join of C12) and is only filtered; otherwise the summary of ``payments`` is joined,
+    whatever the fact carries."""
+    if payments is None:
+        missing = [c for c in SUMMARY_COLS if c not in fact.columns]
+        if missing:
+            raise ValueError(f"a fact without payments must carry their summary; it has no {', '.join(missing)}")
         lines = fact.where(F.col("_np").isNotNull())
     else:
-        lines = fact.join(payment_summary(payments), "order_id")
+        lines = fact.drop(*SUMMARY_COLS).join(payment_summary(payments), "order_id")
     return lines.withColumn("_w", F.lit(1).cast("bigint") if dedupe else F.col("_np"))
 
 
@@ -95,21 +99,20 @@ def _distinct(c: str, approx: bool) -> Column:
 
 
 def _global_last_date(fact: DataFrame) -> Column:
-    """``(SELECT MAX(bill_date_timestamp) FROM f8)`` — a scalar subquery, run once as its own job."""
+    """The latest bill date of all, as a scalar subquery that runs once."""
     return fact.select(F.max("bill_date_timestamp")).scalar()
 
 
-def customer_360(customers: DataFrame, fact: DataFrame, payments: DataFrame, dedupe_payments: bool = False,
+def customer_360(customers: DataFrame, fact: DataFrame, payments: DataFrame | None, dedupe_payments: bool = False,
                  approx: bool = False) -> DataFrame:
     """M1 — one row per customer with at least one paid fact line.
 
     The fact lines are aggregated per ``customer_id`` (a bigint key, through the Expand of the
     distinct counts) and the customer attributes are joined to the much smaller per-customer
     rows afterwards. A customer listed n times in the customer table multiplies the additive
-    metrics by n, as the reference's inner join does.
+    metrics by n, as the reference's inner join does. ``payments`` as in :func:`paid_lines`.
     """
     lines = paid_lines(fact, payments, dedupe_payments)
-    fact = fact.select(*[c for c in fact.columns if c not in SUMMARY_COLS])
     ts = F.col("bill_date_timestamp")
     one = F.lit(1)
     per_cust = lines.groupBy("customer_id").agg(
@@ -129,14 +132,14 @@ def customer_360(customers: DataFrame, fact: DataFrame, payments: DataFrame, ded
         _distinct("seller_city", approx).alias("distinct_cities_purchased"),
         *([] if dedupe_payments else _payment_counters()),
     )
-    # Payment types per customer: (customer, order) pairs against (order, type) pairs.
-    pairs = fact.select("customer_id", "order_id").distinct()
-    types = payments.select("order_id", F.lower("payment_type").alias("_t")).distinct()
-    per_cust_pay = pairs.join(types, "order_id").groupBy("customer_id").agg(
-        F.countDistinct("_t").alias("different_payment_types_used"))
+    # Payment types per customer: the lines' few types, made distinct before they are shuffled.
+    types = lines.select("customer_id", F.explode("_types").alias("_t")).distinct()
+    per_cust_pay = types.groupBy("customer_id").agg(F.count("_t").alias("different_payment_types_used"))
     if dedupe_payments:
         # Each payment row once: counters summed over the customer's distinct orders.
-        counters = pairs.join(payment_summary(payments), "order_id").groupBy("customer_id").agg(
+        names = [f"_n_{s}" for s in PAYMENT_TYPES.values()]
+        orders = lines.groupBy("customer_id", "order_id").agg(*[F.max(n).alias(n) for n in names])
+        counters = orders.groupBy("customer_id").agg(
             *[F.sum(F.col(f"_n_{s}")).cast("bigint").alias(f"transactions_using_{s}") for s in PAYMENT_TYPES.values()])
         per_cust_pay = per_cust_pay.join(counters, "customer_id", "full")
     cust = customers.groupBy(*CUSTOMER_COLS).agg(F.count(F.lit(1)).alias("_nc"))
@@ -173,9 +176,10 @@ def customer_360(customers: DataFrame, fact: DataFrame, payments: DataFrame, ded
     )
 
 
-def orders_360(fact: DataFrame, payments: DataFrame, dedupe_payments: bool = False,
+def orders_360(fact: DataFrame, payments: DataFrame | None, dedupe_payments: bool = False,
                approx: bool = False) -> DataFrame:
-    """M2 — one row per (order, customer, channel, bill time) with at least one payment."""
+    """M2 — one row per (order, customer, channel, bill time) with at least one payment. ``payments`` as
+    in :func:`paid_lines`."""
     lines = paid_lines(fact, payments, dedupe_payments)
     ts = F.col("bill_date_timestamp")
     agg = lines.groupBy("order_id", "customer_id", "channel", "bill_date_timestamp").agg(
@@ -188,7 +192,7 @@ def orders_360(fact: DataFrame, payments: DataFrame, dedupe_payments: bool = Fal
         _distinct("seller_city", approx).alias("distinct_seller_cities"),
         _distinct("delivered_storeid", approx).alias("distinct_delivered_stores"),
         _distinct("product_id", approx).alias("distinct_products_in_order"),
-        F.max("_ntypes").alias("different_payment_types_used"),
+        F.max(F.size("_types")).cast("bigint").alias("different_payment_types_used"),
         *_payment_counters(per_order=dedupe_payments),
     )
     return agg.select(
@@ -207,7 +211,7 @@ def orders_360(fact: DataFrame, payments: DataFrame, dedupe_payments: bool = Fal
 
 
 def store_360(fact: DataFrame, stores: DataFrame, approx: bool = False) -> DataFrame:
-    """M3 — one row per (store, store attributes) over the fact LEFT JOIN the store table.
+    """M3 — one row per (store, store attributes) over the fact, with the store table where it has the store.
 
     The store table is not deduplicated (faithful): a store listed twice doubles its sums. The
     fact is aggregated per store first (a partial aggregate over the big side) and only the

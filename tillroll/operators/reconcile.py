@@ -308,6 +308,18 @@ def fix_date_to_latest(fact: DataFrame) -> DataFrame:
           else F.col(c) for c in fact.columns])
 
 
+def refresh_store_attrs(fact: DataFrame, stores: DataFrame) -> DataFrame:
+    """B6 — city, state and region of every line as the store table has them for its (corrected) store.
+
+    Of a store listed with different attributes the smallest row counts; lines whose store is null or
+    not in the table keep theirs."""
+    attrs = STORE_COLS[1:]
+    rows = stores.groupBy(F.col("storeid").alias("_store")).agg(F.min(F.struct(*attrs)).alias("_attrs"))
+    return fact.join(rows, F.col("delivered_storeid") == F.col("_store"), "left").select(
+        *[F.when(F.col("_store").isNotNull(), F.col(f"_attrs.{c}")).otherwise(F.col(c)).alias(c) if c in attrs
+          else F.col(c) for c in fact.columns])
+
+
 BILL_DATE_BEFORE_FIX = "_bill_date_before_fix"
 
 

@@ -8,28 +8,43 @@ queries build the fact table and marts once.
 
 from __future__ import annotations
 
+import copy
 import dataclasses
 import threading
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tillroll.operators import marts, quality, reconcile
+from tillroll.plans import segments
 from tillroll.sources.stage import StageStore, files_fingerprint, input_fingerprint
 from tillroll.sources.tables import fixture_tables
 
 
+@dataclass(frozen=True)
+class Options:
+    """What a batch may do beyond the reference: the products' repaired categories in the fact
+    (B7), the corrected stores' own city, state and region in the fact (B6), approximate distinct
+    counts in the marts."""
+
+    clean_categories: bool = False
+    refresh_store_attrs: bool = False
+    approx: bool = False
+
+
 class CleaningBatch:
     """The staged cleaning batch over six source tables.
 
     ``tables`` is a :class:`RetailTables`, or a function ``stage -> RetailTables`` that derives the
     sources and stages each one as it goes (the fixture mapping). Real source tables are plain
     scans and are used as they are. Stages are found again by ``key`` and the tables' fingerprint; a
-    function gives its own in ``inputs``.
+    function gives its own in ``inputs``. Stages that :class:`Options` change have names of their own.
     """
 
-    def __init__(self, spark: SparkSession, tables, key: str, inputs: str | None = None):
+    def __init__(self, spark: SparkSession, tables, key: str, inputs: str | None = None, options: Options = Options()):
         self.spark = spark
+        self.options = options
         if inputs is None and not callable(tables):
             inputs = input_fingerprint([getattr(tables, f.name) for f in dataclasses.fields(tables)])
         self.store = StageStore(spark, key, inputs or "")
@@ -42,6 +57,17 @@ class CleaningBatch:
         # it would over real source tables.
         return self.store.stage(f"src_{name}", lambda: df)
 
+    def variant(self, **options) -> CleaningBatch:
+        """This batch with other options; it shares the sources and every stage the options leave alone."""
+        other = copy.copy(self)
+        other.options = dataclasses.replace(self.options, **options)
+        return other
+
+    def _stage(self, name: str, build, lookup_by: str | None = None, depends: tuple[str, ...] = ("clean_categories",)) -> DataFrame:
+        """The stage ``name`` as the options that it ``depends`` on make it."""
+        used = [o for o in depends if getattr(self.options, o)]
+        return self.store.stage("-".join([name, *used]), build, lookup_by)
+
     # -- C1–C6 ------------------------------------------------------------------------------
     def cust_order_totals(self) -> DataFrame:
         return reconcile.cust_order_totals(self.t.orders)
@@ -69,8 +95,8 @@ class CleaningBatch:
     def integrated_lines(self) -> DataFrame:
         """C7 with each line once and the number of its copies."""
         t = self.t
-        return self.store.stage("integrated_orders", lambda: reconcile.reconciled_integrated(
-            t.orders, self.matched_orders(), self.remaining_orders(), t.reviews, t.products, t.stores, t.customers))
+        return self._stage("integrated_orders", lambda: reconcile.reconciled_integrated(
+            t.orders, self.matched_orders(), self.remaining_orders(), t.reviews, self._products(), t.stores, t.customers))
 
     def multi_store_lines(self) -> DataFrame:
         # read only by C9's insert, which is staged
@@ -78,8 +104,8 @@ class CleaningBatch:
 
     def multi_store_insert(self) -> DataFrame:
         t = self.t
-        return self.store.stage("multi_store_insert", lambda: reconcile.multi_store_insert(
-            self.multi_store_lines(), t.products, t.payments, t.customers, t.reviews, t.stores))
+        return self._stage("multi_store_insert", lambda: reconcile.multi_store_insert(
+            self.multi_store_lines(), self._products(), t.payments, t.customers, t.reviews, t.stores))
 
     def append_multi_store(self) -> DataFrame:
         return reconcile.append_multi_store(self.integrated_orders(), self.multi_store_insert())
@@ -90,7 +116,7 @@ class CleaningBatch:
     def finalised_records(self) -> DataFrame:
         # a set difference: copies of a line make no difference to it
         lines = self.integrated_lines()
-        return self.store.stage("finalised_records", lambda: reconcile.finalised_records(
+        return self._stage("finalised_records", lambda: reconcile.finalised_records(
             reconcile.append_multi_store(lines, self.multi_store_insert()), self.multi_store_records(), lines))
 
     def store_fixed(self) -> DataFrame:
@@ -104,14 +130,20 @@ class CleaningBatch:
         """F8 plus each order's payment summary (``marts.SUMMARY_COLS``), appended in C12's
         per-order join, and each line's bill date before D6; the payment-weighted marts and the
         after-D3 checks read it without joins of their own."""
-        return self.store.stage("clean_fact", lambda: reconcile.clean_fact(
-            self.finalised_records(), marts.payment_summary(self.t.payments), keep_original_date=True),
-            lookup_by="order_id")
+        def build() -> DataFrame:
+            fact = reconcile.clean_fact(self.finalised_records(), marts.payment_summary(self.t.payments), keep_original_date=True)
+            return reconcile.refresh_store_attrs(fact, self.t.stores) if self.options.refresh_store_attrs else fact
+
+        return self._stage("clean_fact", build, "order_id", ("clean_categories", "refresh_store_attrs"))
 
     def clean_fact(self) -> DataFrame:
         """F8, the 19 columns (the summary columns are pruned at the parquet scan)."""
         return self.fact_with_payments().select(*reconcile.FACT_COLS)
 
+    def rfm_base(self) -> DataFrame:
+        """Recency, frequency and monetary value per customer (A18 reads it four times)."""
+        return self._stage("rfm_base", lambda: segments.rfm_base(self.clean_fact()), depends=("clean_categories", "refresh_store_attrs"))
+
     # -- P8 ----------------------------------------------------------------------------------
     def products_na_fixed(self) -> DataFrame:
         return quality.fix_na_category(self.t.products)
@@ -119,24 +151,32 @@ class CleaningBatch:
     def products_clean(self) -> DataFrame:
         return quality.fix_missing_attributes(self.products_na_fixed())
 
+    def _products(self) -> DataFrame:
+        return self.products_clean() if self.options.clean_categories else self.t.products
+
     # -- marts -------------------------------------------------------------------------------
+    def _mart(self, name: str, build) -> DataFrame:
+        return self._stage(name, build, depends=("clean_categories", "refresh_store_attrs", "approx"))
+
     def customer_360(self) -> DataFrame:
-        return self.store.stage("customer_360", lambda: marts.customer_360(
-            self.t.customers, self.fact_with_payments(), self.t.payments))
+        return self._mart("customer_360", lambda: marts.customer_360(
+            self.t.customers, self.fact_with_payments(), None, approx=self.options.approx))
 
     def customer_360_dedup(self) -> DataFrame:
-        return self.store.stage("customer_360_dedup", lambda: marts.customer_360(
-            self.t.customers, self.fact_with_payments(), self.t.payments, dedupe_payments=True))
+        return self._mart("customer_360_dedup", lambda: marts.customer_360(
+            self.t.customers, self.fact_with_payments(), None, dedupe_payments=True, approx=self.options.approx))
 
     def orders_360(self) -> DataFrame:
-        return self.store.stage("orders_360", lambda: marts.orders_360(self.fact_with_payments(), self.t.payments))
+        return self._mart("orders_360", lambda: marts.orders_360(
+            self.fact_with_payments(), None, approx=self.options.approx))
 
     def orders_360_dedup(self) -> DataFrame:
-        return self.store.stage("orders_360_dedup", lambda: marts.orders_360(
-            self.fact_with_payments(), self.t.payments, dedupe_payments=True))
+        return self._mart("orders_360_dedup", lambda: marts.orders_360(
+            self.fact_with_payments(), None, dedupe_payments=True, approx=self.options.approx))
 
     def store_360(self) -> DataFrame:
-        return self.store.stage("store_360", lambda: marts.store_360(self.clean_fact(), self.t.stores))
+        return self._mart("store_360", lambda: marts.store_360(
+            self.clean_fact(), self.t.stores, approx=self.options.approx))
 
 
 _PIPELINES: dict[tuple[str, str, str], CleaningBatch] = {}

@@ -78,6 +78,8 @@ _PLANS: dict[str, Callable[[CleaningBatch], DataFrame]] = {
     "multi_store_records": lambda p: p.multi_store_records(),
     "finalised_records": lambda p: p.finalised_records(),
     "clean_fact": lambda p: p.clean_fact(),
+    "clean_fact_refreshed_store": lambda p: p.variant(refresh_store_attrs=True).clean_fact(),
+    "clean_fact_clean_categories": lambda p: p.variant(clean_categories=True).clean_fact(),
     "order_lookup": lambda p: reconcile.order_lookup(p.clean_fact(), LOOKUP_ORDER),
     "table_view": lambda p: p.clean_fact().select("*"),
     # D — discrepancies
@@ -121,8 +123,8 @@ _PLANS: dict[str, Callable[[CleaningBatch], DataFrame]] = {
     "gender_revenue_share": lambda p: A.gender_revenue_share(p.clean_fact()),
     "revenue_segments": lambda p: S.revenue_segments(p.customer_360()),
     "profit_segments": lambda p: S.profit_segments(p.customer_360()),
-    "rfm_segments": lambda p: S.rfm_segments(p.clean_fact()),
-    "rfm_segments_corrected": lambda p: S.rfm_segments(p.clean_fact(), corrected=True),
+    "rfm_segments": lambda p: S.rfm_segments(p.rfm_base()),
+    "rfm_segments_corrected": lambda p: S.rfm_segments(p.rfm_base(), corrected=True),
     "discount_seekers": lambda p: A.cohort_count(p.customer_360(), _cohort("discount"), "discount_customers_count"),
     "discount_seekers_by_state": lambda p: A.cohort_by_state(
         p.customer_360(), _cohort("discount"), "discount_customers_count", "revenue"),

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tillroll.functions.exprs import days_between
-from tillroll.operators.ranking import global_ntile, global_percent_rank
+from tillroll.operators.ranking import Key, global_ntile, percentile_above
 
 # Percentile thresholds (strictly above) and segment names of the reference.
 REVENUE_SEGMENTS = [(90, "Premium"), (70, "Gold"), (40, "Silver")]
@@ -20,21 +20,17 @@ RFM_SEGMENTS = [(11, "Premium"), (10, "Gold"), (9, "Silver")]
 RFM_DEFAULT = "Bronze"
 
 
-def _case(value: Column, bands: list[tuple[int, str]], default: str, strict: bool) -> Column:
-    expr = None
-    for threshold, name in bands:
-        cond = value > threshold if strict else value >= threshold
-        expr = F.when(cond, name) if expr is None else expr.when(cond, name)
-    return expr.otherwise(default)
+def _case(conditions: list[Column], names: list[str], default: str) -> Column:
+    """The name of the first condition that holds."""
+    return F.coalesce(*[F.when(c, n) for c, n in zip(conditions, names)], F.lit(default))
 
 
 def percentile_segments(c360: DataFrame, measure: str, bands, default: str, count_name: str, sum_name: str,
                         num_partitions: int | None = None) -> DataFrame:
     """Segment customers by ``PERCENT_RANK() OVER (ORDER BY measure) * 100`` and sum per segment."""
-    ranked = global_percent_rank(c360.select("customer_id", measure), measure, ascending=True,
-                                 tiebreak=["customer_id"], num_partitions=num_partitions)
-    seg = _case(F.col("percent_rank") * 100, bands, default, strict=True)
-    return (ranked.withColumn("segment", seg)
+    df = c360.select("customer_id", measure)
+    above = percentile_above(df, Key(measure), [t for t, _ in bands], ["customer_id"], num_partitions)
+    return (df.withColumn("segment", _case(above, [n for _, n in bands], default))
             .groupBy("segment")
             .agg(F.count(F.lit(1)).alias(count_name), F.sum(measure).alias(sum_name))
             .orderBy(F.col(sum_name).desc(), "segment"))
@@ -63,30 +59,31 @@ def rfm_base(fact: DataFrame) -> DataFrame:
     )
 
 
-def rfm_scores(fact: DataFrame, corrected: bool = False, num_partitions: int | None = None) -> DataFrame:
-    """Per customer: recency, frequency, monetary, their NTILE(4) scores and the total.
+def rfm_scores(base: DataFrame, corrected: bool = False, num_partitions: int | None = None) -> DataFrame:
+    """Per customer of :func:`rfm_base`: recency, frequency, monetary, their NTILE(4) scores and the
+    total. The base is read once for each ranking and once for the result: give a written one.
 
     Faithful: tile 1 = most recent / most frequent / highest spend, yet the total is read as
     "higher is better". ``corrected=True`` scores 5 − tile so that the best
     quartile scores 4.
     """
-    tie = F.col("customer_id").asc()
-    df = rfm_base(fact)
-    df = global_ntile(df, 4, [F.col("recency").asc_nulls_first(), tie], "recency_score", num_partitions)
-    df = global_ntile(df, 4, [F.col("frequency").desc_nulls_last(), tie], "frequency_score", num_partitions)
-    df = global_ntile(df, 4, [F.col("monetary").desc_nulls_last(), tie], "monetary_score", num_partitions)
-    if corrected:
-        for c in ("recency_score", "frequency_score", "monetary_score"):
-            df = df.withColumn(c, 5 - F.col(c))
-    return df.withColumn("total_rfm_score", F.col("recency_score") + F.col("frequency_score") + F.col("monetary_score"))
-
-
-def rfm_segments(fact: DataFrame, corrected: bool = False, num_partitions: int | None = None) -> DataFrame:
+    scores = {"recency_score": Key("recency"), "frequency_score": Key("frequency", ascending=False),
+              "monetary_score": Key("monetary", ascending=False)}
+    df = base
+    for score, key in scores.items():
+        df = global_ntile(df, 4, [key, Key("customer_id")], score, num_partitions)
+        if corrected:
+            df = df.withColumn(score, 5 - F.col(score))
+    return df.withColumn("total_rfm_score", sum((F.col(c) for c in scores), F.lit(0)))
+
+
+def rfm_segments(base: DataFrame, corrected: bool = False, num_partitions: int | None = None) -> DataFrame:
     """A18 — customers and revenue per RFM segment (total score ≥ 11 Premium, ≥ 10 Gold,
-    ≥ 9 Silver, else Bronze)."""
-    scored = rfm_scores(fact, corrected, num_partitions)
-    seg = _case(F.col("total_rfm_score"), RFM_SEGMENTS, RFM_DEFAULT, strict=False)
-    return (scored.withColumn("segment", seg)
+    ≥ 9 Silver, else Bronze), of :func:`rfm_base`."""
+    score = F.col("total_rfm_score")
+    seg = _case([score >= t for t, _ in RFM_SEGMENTS], [n for _, n in RFM_SEGMENTS], RFM_DEFAULT)
+    return (rfm_scores(base, corrected, num_partitions)
+            .withColumn("segment", seg)
             .groupBy("segment")
             .agg(F.count(F.lit(1)).alias("customer_count"), F.sum("monetary").alias("total_revenue"))
             .orderBy(F.col("total_revenue").desc(), "segment"))
