@@ -23,6 +23,7 @@ through, and columns named as the results are replaced.
 from __future__ import annotations
 
 import os
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,10 +35,21 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BATCHES, FANOUT, MIN_CHARS = 4, 2, 10
 
 
-def line_key(line: Column) -> Column:
-    """The key of a line. ``lower`` is faster than ``translate`` and the same on ASCII lines."""
+def _stripped(line: Column) -> Column:
+    """``line`` without blanks at its ends. ``btrim`` walks the whole line, so only lines that have one there take it."""
+    ends = reduce(lambda a, b: a | b, [F.startswith(line, F.lit(c)) | F.endswith(line, F.lit(c)) for c in BLANK])
+    return F.when(ends, F.btrim(line, F.lit(BLANK))).otherwise(line)
+
+
+def _lowered(line: Column) -> Column:
+    """A-Z lower-cased. ``lower`` is faster than ``translate`` and the same on ASCII lines."""
     ascii_only = F.octet_length(line) == F.char_length(line)
-    return F.btrim(F.when(ascii_only, F.lower(line)).otherwise(F.translate(line, UPPER, LOWER)), F.lit(BLANK))
+    return F.when(ascii_only, F.lower(line)).otherwise(F.translate(line, UPPER, LOWER))
+
+
+def line_key(line: Column) -> Column:
+    """The key of a line."""
+    return _lowered(_stripped(line))
 
 
 class LineRuns:
@@ -85,7 +97,9 @@ def _lines(docs: DataFrame, min_chars: int) -> DataFrame:
     """doc_id, _t (which text), pos and key hash of every line that can be dropped."""
     lines = docs.where("doc_id is not null").select(
         "doc_id", F.xxhash64("text").alias("_t"), F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("pos", "line"))
-    keyed = lines.select("doc_id", "_t", "pos", line_key(F.col("line")).alias("key")).where(F.char_length("key") >= min_chars)
+    # lower-casing keeps the length, so short lines go before it
+    long = lines.select("doc_id", "_t", "pos", _stripped(F.col("line")).alias("line")).where(F.char_length("line") >= min_chars)
+    keyed = long.select("doc_id", "_t", "pos", _lowered(F.col("line")).alias("key"))
     return keyed.select("doc_id", "_t", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), "key").alias("h2"))
 
 
