@@ -24,10 +24,18 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedupe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the lines that an earlier document has. One that lost lines and has no line
-    left that is long enough to be judged (a copy) goes."""
-    some = F.exists(F.split("text", "\n"), lambda x: F.char_length(line_dedup.line_key(x)) >= line_dedup.MIN_CHARS)
-    kept = line_dedup.dedup(docs).where((F.col("n_dropped") == 0) | some)
+    """Documents without the lines that an earlier document has. One that lost lines goes if no word
+    is left of it, or if all its lines (as keys, in order) are those of a document with a smaller
+    doc_id: a copy whose lines are partly too short to be judged. Every other remainder stays."""
+    keys = F.array_join(F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), line_dedup.line_key), "\n")
+    kept = line_dedup.dedup(docs.withColumn("_h1", F.xxhash64(keys)).withColumn("_h2", F.xxhash64(F.lit(1), keys)))
+    # a copy of an earlier document has lost all its lines of MIN_CHARS and more
+    judged = F.exists(F.split("text", "\n"), lambda x: F.char_length(line_dedup.line_key(x)) >= line_dedup.MIN_CHARS)
+    kept = write_stage(kept.withColumn("_rest", (F.col("n_dropped") > 0) & ~judged), scratch_path(spark, "lines"))
+    first = kept.where("doc_id is not null").groupBy("_h1", "_h2").agg(F.min("doc_id").alias("doc_id"))
+    rest = kept.where(F.col("_rest") & (F.btrim("text", F.lit(line_dedup.BLANK)) != ""))
+    # by document as well as by hash, so that many copies of one document are spread
+    kept = kept.where(~F.col("_rest")).unionByName(rest.join(first, ["_h1", "_h2", "doc_id"], "left_semi"))
     return kept.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
 
 
