@@ -46,10 +46,10 @@ def near_dedupe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no window of ten benchmark words. Items of fewer words (single numbers,
-    say) mark documents in op6, but are too common in clean ones to drop them."""
+    """Documents that hold no window of ten benchmark words and no whole item of fewer. Exempt are
+    only items of one to three words that are common in these documents (single numbers, say)."""
     marked = decontaminate.mark(docs, table(spark, sf_dir, "benchmark"))
-    return marked.where(F.size("long_items") == 0).select(docs.columns)
+    return marked.where(F.size("telling_items") == 0).select(docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,5 +1,7 @@
 """Whole outputs of the pipeline's stages against brute force on small tables."""
 
+import re
+
 import corpus_pipeline
 from tillroll.llm.ship import ship
 
@@ -58,3 +60,44 @@ def test_line_stage_keeps_clean_remainders(spark):
     want = lines_brute([tuple(r) for r in docs.collect()])
     assert [r[0] for r in sorted(want)] == [1, 2, 3, 4, 7, 10, 11, 13, 14]
     assert rows(corpus_pipeline.line_dedupe(spark, docs, "")) == want
+
+
+def found(words, window):
+    return any(tuple(words[k:k + len(window)]) == window for k in range(len(words) - len(window) + 1))
+
+
+def benchmark_brute(docs, items):
+    """The decontamination stage by its meaning: which documents hold a window that tells."""
+    words = lambda t: re.findall(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").encode().translate(LOW))
+    windows = set()
+    for i, t in items:
+        w = words(t)
+        windows |= {tuple(w[k:k + 10]) for k in range(max(len(w) - 9, 1))} if i is not None and w else set()
+    held = [{x for x in windows if found(words(d[1]), x)} for d in docs]
+    often = {x: sum(x in h for h in held) for x in windows}
+    common = {x for x in windows if len(x) < 4 and often[x] >= 10 and 1000 * often[x] > len(docs)}
+    return sorted((d for d, h in zip(docs, held) if h <= common), key=repr)
+
+
+ITEMS = [
+    (1, "95"), (2, "In which year did the old mill burn down?"),  # nine words
+    (3, "rare word here"), (4, "of the same"), (5, "zyx"), (5, "95"), (6, "one two three four five six seven eight nine ten eleven"),
+    (7, "four such words here"), (8, "twice"), (None, "plain"), (9, "!"), (10, "nowhere seen"),
+]
+
+
+def planted():
+    out = [(i, f"plain text {i} of the same kind" + (" 95" if i % 2 else "")) for i in range(40)]
+    out += [(100 + i, f"{i}: in WHICH year did the old mill burn down, 95") for i in range(12)]  # no less a leak for standing in many
+    out += [(200, "a rare word here"), (201, "a rare word, of the same"), (202, "zyx"), (203, "rare\nword"), (204, "which year did the old mill burn down")]
+    out += [(300 + i, f"four such words here {i}") for i in range(11)]
+    out += [(400, "one two three four five six seven eight nine ten"), (401, "two three four five six seven eight nine ten"), (402, "twice and twice " * 8), (403, ""), (404, None)]
+    return out
+
+
+def test_short_items_drop_documents(spark, tmp_path):
+    docs = table(spark, planted())
+    spark.createDataFrame(ITEMS, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    want = benchmark_brute([tuple(r) for r in docs.collect()], ITEMS)
+    assert sorted(r[0] for r in want) == [*range(40), 201, 203, 204, 401, 403, 404]
+    assert rows(corpus_pipeline.decontaminated(spark, docs, str(tmp_path))) == want

@@ -8,6 +8,10 @@ second pass joins document shingles with those prefix tokens, drops candidates b
 positional bounds (the window must lie inside the document around the shared shingle) and
 verifies the rest word by word.
 
+A window of fewer than ``COMMON_WORDS`` words is one shingle, so the first pass tells in how many
+documents it stands; ``common`` ones are shown in at least ``COMMON_DOCS`` documents and in more
+than ``COMMON_SHARE`` of all. Windows of more words are never common.
+
 The documents are never shuffled. The benchmark is turned into indexes of at most
 ``MAX_INDEX_WORDS`` words each (proven before they are built); every index is broadcast, and the
 documents stream through all of them in one job.
@@ -31,6 +35,8 @@ from tillroll.llm.tokens import HashTable, slices
 from tillroll.llm.words import ALNUM, Words, ranges, rolled
 
 WINDOW, SHINGLE = 10, 3
+#: Whole items of fewer words (a single shingle) that stand in so many documents, and in more than this share of all, are common.
+COMMON_WORDS, COMMON_DOCS, COMMON_SHARE = SHINGLE + 1, 10, 0.001
 #: Words of the benchmark in one broadcast index (about 200 bytes a word).
 MAX_INDEX_WORDS = 500_000
 
@@ -66,12 +72,15 @@ class Index:
         each = np.stack([self.words[win, place + j] for j in range(m)], 1)
         return rolled(each.ravel(), m)[::m], win, place
 
-    def weigh(self, counts: dict[int, int]) -> None:
-        """Keep the rarest shingle of each window as its prefix."""
+    def weigh(self, counts: dict[int, int], documents: int) -> None:
+        """Keep the rarest shingle (by documents) of each window as its prefix; tell common windows."""
         h = np.concatenate([x[0] for x in self.shingles])
         win = np.concatenate([x[1] for x in self.shingles]).astype(np.int64)
         place = np.concatenate([x[2] for x in self.shingles]).astype(np.int64)
         often = np.array([counts.get(x, 0) for x in h.view(np.int64).tolist()], np.int64)
+        self.common = np.zeros(len(self.size), bool)
+        short = (self.size[win] < COMMON_WORDS) & (often >= COMMON_DOCS) & (often > COMMON_SHARE * documents)
+        self.common[win[short]] = True
         order = np.lexsort((place, h, often, win))
         best = order[np.unique(win[order], return_index=True)[1]]
         best = best[often[best] > 0]  # a window with a shingle that no document has occurs nowhere
@@ -123,17 +132,23 @@ def _indexes(docs: DataFrame, benchmark: DataFrame, n: int) -> list[Index]:
 
         def count(batches, sent=sent):
             held, known, sizes = sent.value
-            sums = np.zeros(len(known), np.int64)
+            sums, documents = np.zeros(len(known), np.int64), 0
             for part in slices(batches, limit=4_000_000):
                 w = Words(part.column(0), ALNUM, True)
+                documents += part.num_rows
                 for m in sizes:
                     row = held.get(rolled(w.hash, m))
-                    sums += np.bincount(row[row >= 0], minlength=len(known))
+                    at = np.flatnonzero(row >= 0)
+                    at = at[w.doc[at] == w.doc[at + m - 1]]  # a shingle lies in one document
+                    each = np.unique(w.doc[at] * len(known) + row[at]) % len(known)  # a document counts once
+                    sums += np.bincount(each, minlength=len(known))
             some = np.flatnonzero(sums)
-            yield pa.RecordBatch.from_arrays([pa.array(known[some].view(np.int64)), pa.array(sums[some])], ["h", "n"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([None, *known[some].view(np.int64).tolist()], pa.int64()), pa.array([documents, *sums[some].tolist()], pa.int64())], ["h", "n"])
 
         counts = docs.select("text").mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
-        index.weigh({r[0]: r[1] for r in counts.toLocalIterator()})  # at most a row for each word of the index
+        counts = {r[0]: r[1] for r in counts.toLocalIterator()}  # at most a row for each word of the index
+        index.weigh(counts, counts.pop(None, 0))
         if len(index.window):
             out.append(index)
     return out
@@ -141,21 +156,21 @@ def _indexes(docs: DataFrame, benchmark: DataFrame, n: int) -> list[Index]:
 
 def mark(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW) -> DataFrame:
     """``docs`` with n_words, hit_spans (from, to: word numbers, end excluded, merged), hit_items
-    (item_ids as strings, sorted) and long_items (those of ``n`` words or more)."""
+    (item_ids as strings, sorted) and telling_items (those with a window here that is not common)."""
     spark = docs.sparkSession
-    added = ["n_words", "hit_spans", "hit_items", "long_items"]
+    added = ["n_words", "hit_spans", "hit_items", "telling_items"]
     docs = docs.drop(*added).withColumn("text", F.col("text").cast("string"))
     sent = [spark.sparkContext.broadcast(x) for x in _indexes(docs, benchmark, n)]
     place = docs.columns.index("text")
     span = StructType([StructField("from", LongType()), StructField("to", LongType())])
     schema = StructType([*docs.schema.fields, StructField("n_words", LongType()), StructField("hit_spans", ArrayType(span)),
-                         StructField("hit_items", ArrayType(StringType())), StructField("long_items", ArrayType(StringType()))])
+                         StructField("hit_items", ArrayType(StringType())), StructField("telling_items", ArrayType(StringType()))])
 
     def run(batches):
         for part in slices(batches, limit=4_000_000):
             w = Words(part.column(place), ALNUM, True)
             cover = np.zeros(len(w.hash) + 1, np.int64)
-            items, longs = {}, {}
+            items, telling = {}, {}
             for b in sent:
                 x = b.value
                 start, win = x.occurrences(w)
@@ -165,8 +180,8 @@ def mark(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW) -> DataFrame:
                 for d, k in pairs.tolist():
                     names = {x.names[i] for i in x.item[x.item_at[k]:x.item_at[k + 1]].tolist()}
                     items.setdefault(d, set()).update(names)
-                    if x.size[k] >= n:
-                        longs.setdefault(d, set()).update(names)
+                    if not x.common[k]:
+                        telling.setdefault(d, set()).update(names)
             hit = np.cumsum(cover[:-1]) > 0
             spans = [[] for _ in range(part.num_rows)]
             for d in items:
@@ -175,7 +190,7 @@ def mark(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW) -> DataFrame:
                 spans[d] = [{"from": int(p), "to": int(q)} for p, q in zip(edge[::2], edge[1::2])]
             yield pa.RecordBatch.from_arrays(
                 [*part.columns, pa.array(w.count, pa.int64()), pa.array(spans, pa.list_(pa.struct([("from", pa.int64()), ("to", pa.int64())]))),
-                 *[pa.array([sorted(got.get(d, ())) for d in range(part.num_rows)], pa.list_(pa.string())) for got in (items, longs)]],
+                 *[pa.array([sorted(got.get(d, ())) for d in range(part.num_rows)], pa.list_(pa.string())) for got in (items, telling)]],
                 [*part.schema.names, *added])
 
     return docs.mapInArrow(run, schema)
