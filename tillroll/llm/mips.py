@@ -16,8 +16,10 @@ below 2^52, else in 64-bit integers.
 
 Cases: vectors that are null or hold null or non-finite components take no part; vectors of another
 dimension than the query's are no candidates; vectors of norm 0 are (score 0); ties go to the
-smaller vec_id; rows that repeat the query's vec_id are its own; no rows give no rows; other
-columns are not read.
+smaller vec_id; rows that repeat the query's vec_id are its own; rows that repeat vec_id and vector
+count once, before buckets are made; a vec_id with several vectors takes one rank, by its best
+score (as a query: the best over its vectors), and the bound counts vec_ids, not rows; no rows give
+no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -87,6 +89,7 @@ class Bucket:
         self.v = np.frombuffer(vectors, np.int64).reshape(len(self.ids), dim)
         self.f = self.v.astype(np.float64)
         self.norm = np.linalg.norm(self.f, axis=1)
+        self.repeats = len(np.unique(self.ids)) < len(self.ids)
         self.sorted = None
 
     def _columns(self):
@@ -109,7 +112,8 @@ class Bucket:
         return np.flatnonzero(seen == len(focus))
 
     def best(self, qid: int, q: np.ndarray, bound: float, k: int):
-        """Up to ``k`` (vec_id, score), best first, among vectors with scores of ``bound`` or more."""
+        """Up to ``k`` (vec_id, score), best first, among vectors with scores of ``bound`` or more;
+        a vec_id once, with its best score."""
         qf = q.astype(np.float64)
         length = float(np.linalg.norm(qf))
         if not len(self.ids) or length * self.norm[0] * (1 + 1e-9) + 1e-9 < bound:
@@ -126,6 +130,10 @@ class Bucket:
         ids = self.ids[rows]
         ok = (score >= bound) & (ids != qid)
         score, ids = score[ok], ids[ok]
+        if self.repeats:
+            order = np.lexsort((-score, ids))
+            order = order[np.unique(ids[order], return_index=True)[1]]
+            score, ids = score[order], ids[order]
         if len(score) > k:
             least = np.partition(score, len(score) - k)[len(score) - k]
             ok = score >= least
@@ -154,10 +162,10 @@ def _search(pairs: DataFrame, k: int) -> DataFrame:
 
 
 def top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: int = 256) -> DataFrame:
-    """query_id, rank, vec_id, score: the ``k`` largest inner products of every query with all
-    other vectors of its dimension."""
+    """query_id, rank, vec_id, score: the ``k`` other vec_ids with the largest inner products of
+    every query with vectors of its dimension."""
     spark = vectors.sparkSession
-    all_ = write_stage(integers(vectors, scale), scratch_path(spark, "integers"))
+    all_ = write_stage(integers(vectors, scale).dropDuplicates(["vec_id", "v"]), scratch_path(spark, "integers"))
     total = all_.count()
     parts = max(1, -(-total // BUCKET))
     ranged = all_.repartitionByRange(parts, F.col("dim"), F.col("norm").desc(), F.col("vec_id")).sortWithinPartitions("dim", F.col("norm").desc(), "vec_id")
@@ -172,7 +180,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: int = 256) ->
     first = buckets.where(F.col("block").isin(list(head.values()))) if head else buckets
     begun = _search(blocks.join(first, "dim").select("block", "dim", "ids", "vectors", "qids", "qvectors", F.lit(None).cast("binary").alias("bounds")), k)
     begun = write_stage(begun, scratch_path(spark, "begun"))
-    least = begun.groupBy("query_id").agg(F.when(F.count("*") == k, F.min("score")).alias("bound")).where("bound is not null")
+    least = _ranked(begun, k).where(F.col("rank") == k).select("query_id", F.col("score").alias("bound"))
 
     def bounds(batches):  # the bounds of a block's queries, in the order of the block
         for b in batches:
@@ -190,8 +198,13 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: int = 256) ->
     others = [b for b, _ in numbers if b not in set(head.values())]
     grid = bounded.withColumn("block", F.explode(F.lit(others or [-1]).cast("array<long>")))
     found = begun.unionByName(_search(rest.join(grid, ["block", "dim"]).select("block", "dim", "ids", "vectors", "qids", "qvectors", "bounds"), k))
+    return _ranked(found, k).select("query_id", "rank", "vec_id", "score")
+
+
+def _ranked(found: DataFrame, k: int) -> DataFrame:
+    """The best ``k`` vec_ids of each query in rows that may repeat them."""
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
-    return found.distinct().withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score")).withColumn("rank", rank).where(F.col("rank") <= k)
 
 
 def _members(batches):
