@@ -54,7 +54,7 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents' ids in sequences of 1024."""
-    return packing.pack(packing.cut(docs, vocabulary("byte_bpe_50k.json")))
+    return packing.pack(packing.cut(docs, vocabulary("byte_bpe_50k.json"), added=True))
 
 
 STAGES = [("language_id", language_id), ("line_dedup", line_dedupe), ("near_dedup", near_dedupe), ("decontamination", decontaminated), ("packing", packed)]

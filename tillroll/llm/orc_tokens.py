@@ -27,12 +27,13 @@ SCHEMA = "doc_id long, start_in_file long, ids array<int>"
 
 
 def write(docs: DataFrame, path: str, vocabulary: str, kind: str = "word", end_id: int = 1,
-          partitions: int | None = None, row_index_stride: int = 1000, stripe_bytes: int = 16 << 20) -> None:
-    """Encode ``docs`` (doc_id, text) and write one ORC file for each range of ids, in order."""
+          partitions: int | None = None, row_index_stride: int = 1000, stripe_bytes: int = 16 << 20, added: bool = False) -> None:
+    """Encode ``docs`` (doc_id, text) and write one ORC file for each range of ids, in order. With
+    ``added`` the strings of added tokens become those tokens (the library's default)."""
     n = partitions or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def encode(batches):
-        enc, start = encoder(vocabulary, kind), 0
+        enc, start = encoder(vocabulary, kind, added), 0
         for part in slices(batches):
             ids, bounds = with_end(*enc.encode(part.column(1).to_pylist()), end_id)
             yield pa.RecordBatch.from_arrays(

@@ -35,11 +35,12 @@ MAX_PLAN_ROWS = 1_000_000
 MAX_SPLIT_ROWS = 100_000
 
 
-def cut(docs: DataFrame, vocabulary: str, kind: str = "byte", end_id: int = 0, capacity: int = CAPACITY) -> DataFrame:
-    """Pieces of at most ``capacity`` ids: doc_id, start, length, doc_tokens, ids (uint32, little-endian)."""
+def cut(docs: DataFrame, vocabulary: str, kind: str = "byte", end_id: int = 0, capacity: int = CAPACITY, added: bool = False) -> DataFrame:
+    """Pieces of at most ``capacity`` ids: doc_id, start, length, doc_tokens, ids (uint32, little-endian).
+    With ``added`` the strings of added tokens become those tokens (the library's default)."""
 
     def encode(batches):
-        enc = encoder(vocabulary, kind)
+        enc = encoder(vocabulary, kind, added)
         for part in slices(batches):
             ids, bounds = with_end(*enc.encode(part.column(1).to_pylist()), end_id)
             n = np.diff(bounds)

@@ -31,7 +31,7 @@ def op1_separator_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_orc_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "orc-tokens")
-    orc_tokens.write(table(spark, sf_dir, "documents"), path, vocabulary("word_bpe_49k.json"), end_id=1)
+    orc_tokens.write(table(spark, sf_dir, "documents"), path, vocabulary("word_bpe_49k.json"), end_id=1, added=True)
     return orc_tokens.digests(spark, path)
 
 
@@ -93,7 +93,7 @@ def op8_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_min_bin_slack(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(packing.cut(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json")))
+    return packing.pack(packing.cut(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), added=True))
 
 
 def op10_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:

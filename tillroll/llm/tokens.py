@@ -105,17 +105,22 @@ class HashTable:
 class CachedEncoder:
     """``encode(texts)`` gives (ids as uint32, number of ids of each text), as the library would.
 
+    With ``added`` an added token's string in a text becomes that token, as by the library's default;
+    without it is text like any other (for files whose separator must not occur in texts).
+
     ``kind`` is ``byte`` (byte-level BPE that keeps white space; a line feed must have an id of
     its own) or ``word`` (lower-cased words, the last token of each ending in ``</w>``). None
     encodes as the empty text.
     """
 
-    def __init__(self, path: str, kind: str):
+    def __init__(self, path: str, kind: str, added: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True
+        self.tok.encode_special_tokens = not added
+        if not all("<|" in t.content for t in self.tok.get_added_tokens_decoder().values()):
+            raise ValueError("an added token that _ODD does not find")
         self.word = kind == "word"
         vocab = self.tok.get_vocab()
         self.final = np.zeros(max(vocab.values()) + 1, bool)
@@ -251,14 +256,14 @@ class CachedEncoder:
         return np.concatenate([x for x, _ in done]), np.concatenate([n for _, n in done])
 
 
-_HELD: dict[tuple[str, str], CachedEncoder] = {}
+_HELD: dict[tuple[str, str, bool], CachedEncoder] = {}
 
 
-def encoder(path: str, kind: str) -> CachedEncoder:
+def encoder(path: str, kind: str, added: bool = False) -> CachedEncoder:
     """The encoder of this Python worker; tasks that share a worker share its cache."""
-    if (path, kind) not in _HELD:
-        _HELD[path, kind] = CachedEncoder(path, kind)
-    return _HELD[path, kind]
+    if (path, kind, added) not in _HELD:
+        _HELD[path, kind, added] = CachedEncoder(path, kind, added)
+    return _HELD[path, kind, added]
 
 
 def with_end(ids: np.ndarray, lens: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
