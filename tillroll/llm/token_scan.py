@@ -4,7 +4,9 @@ A token file is a run of unsigned 16-bit ids: each document's ids and one end-of
 nothing else. ``scan`` reads the files in blocks of a fixed size, in parallel and in any order;
 numpy finds the end ids of a block at once. What is left of a document at a block's two ends is
 stitched with a prefix scan over one small row a block: the documents ended and the place of the
-last end before the block. No block needs another block's ids.
+last end before the block. No block needs another block's ids. The blocks' ends are stored and
+meet the scan's result by (file, block), so one large file's ends are not one task's; the scan of a
+file is one task, with a row of four numbers for each block of it.
 
 ``write`` makes such files from a documents table, in one pass and without a shuffle: a task
 appends its documents to a file of its own (the name has the task attempt, so a task that runs
@@ -29,6 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from tillroll.llm.tokens import encoder, slices, with_end
+from tillroll.sources.stage import scratch_path, write_stage
 
 ITEM = np.dtype("<u2")
 #: Ids of a block.
@@ -107,11 +110,13 @@ def scan(files: DataFrame, folder: str, end_id: int = 49407, block_ids: int = BL
                     ["file", "block", "n", "last", "to", "ends"])
 
     found = blocks.mapInArrow(find, "file string, block long, n long, last long, to long, ends array<long>")
+    found = write_stage(found, scratch_path(files.sparkSession, "ends"))
     before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    stitched = found.select(
-        "file", "block", "ends", "to", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("done"),
+    scanned = found.select("file", "block", "n", "last").select(
+        "file", "block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("done"),
         F.coalesce(F.last("last", ignorenulls=True).over(before) + 1, F.lit(0)).alias("open"),
         F.lead("block").over(Window.partitionBy("file").orderBy("block")).isNull().alias("final"))
+    stitched = found.select("file", "block", "ends", "to").join(scanned, ["file", "block"])
     each = stitched.select("file", F.col("done"), "open", "ends", F.posexplode("ends").alias("i", "end")).select(
         "file", (F.col("done") + F.col("i")).alias("ordinal"),
         F.when(F.col("i") == 0, F.col("open")).otherwise(F.expr("ends[i - 1] + 1")).alias("start"), "end", F.lit(True).alias("ended"))
