@@ -59,8 +59,10 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("language_id", language_id), ("line_dedup", line_dedupe), ("near_dedup", near_dedupe), ("decontamination", decontaminated), ("packing", packed)]
 
-#: Centroids, components and token ids cannot be said in SQL; the stages are tested against brute
-#: force instead.
+#: Centroids, components and token ids cannot be said in SQL. tests/llm/test_stages.py holds the whole
+#: outputs of the line, near-duplicate and decontamination stages against brute force, and
+#: test_added_tokens.py the packed ids against the tokenizers library; the language stage has
+#: single assertions only (test_pipeline.py).
 ORACLE_SQL = None
 
 

@@ -101,3 +101,28 @@ def test_short_items_drop_documents(spark, tmp_path):
     want = benchmark_brute([tuple(r) for r in docs.collect()], ITEMS)
     assert sorted(r[0] for r in want) == [*range(40), 201, 203, 204, 401, 403, 404]
     assert rows(corpus_pipeline.decontaminated(spark, docs, str(tmp_path))) == want
+
+
+def near_brute(docs):
+    """The near-duplicate stage by its meaning: components of pairs at 80 % of five-word shingles."""
+    sets = []
+    for d in docs:
+        w = re.findall(rb"[^\x20\x09-\x0D]+", (d[1] or "").encode().translate(LOW))
+        sets.append({tuple(w[k:k + 5]) for k in range(len(w) - 4)} or ({tuple(w)} if w else set()))
+    label = [d[0] for d in docs]
+    for _ in docs:
+        for a in range(len(docs)):
+            for b in range(a):
+                n = len(sets[a] & sets[b])
+                if n and 100 * n >= 80 * (len(sets[a]) + len(sets[b]) - n):
+                    label[a] = label[b] = min(label[a], label[b])
+    return sorted((d for d, x in zip(docs, label) if d[0] == x), key=repr)
+
+
+def test_near_stage(spark):
+    base = [f"w{n}" for n in range(60)]
+    texts = [" ".join(base), " ".join(base[:-1]), " ".join(base[1:] + ["more"]), " ".join(base[:30]), " ".join(base[::-1]), " ".join(base).upper(), "short one", "SHORT  one", "short", "", None, "A.", "a.\n"]
+    docs = table(spark, list(enumerate(texts)))
+    want = near_brute(sorted(tuple(r) for r in docs.collect()))
+    assert sorted(r[0] for r in want) == [0, 3, 4, 6, 8, 9, 10, 11]
+    assert rows(corpus_pipeline.near_dedupe(spark, docs, "")) == want
