@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from tillroll.llm import decontaminate, hyperminhash, langid, line_dedup, mips, orc_tokens, packing, substring, token_scan, toolcalls
+from tillroll.llm import (decontaminate, hyperminhash, importance, langid, line_dedup, mips, orc_tokens, packing, setjoin, spelling, substring,
+                          token_scan, toolcalls)
 from tillroll.llm.ship import ship
 from tillroll.sources.stage import scratch_path
 
@@ -100,7 +101,19 @@ def op10_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hyperminhash.group(table(spark, sf_dir, "documents"), k=2, percent=80)
 
 
-QUERIES = {f.__name__: f for f in (op1_separator_scan, op2_orc_tokens, op3_nearest_centroid, op4_tool_call_linking, op5_norm_buckets, op6_prefix_filtered_join, op7_fm_index, op8_line_runs, op9_min_bin_slack, op10_hyperminhash)}
+def op11_set_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return setjoin.group(table(spark, sf_dir, "documents"), k=3, percent=90)
+
+
+def op12_trie_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(spelling.word_counts(table(spark, sf_dir, "documents")))
+
+
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), n=1, buckets=10_000, percent=10)
+
+
+QUERIES = {f.__name__: f for f in (op1_separator_scan, op2_orc_tokens, op3_nearest_centroid, op4_tool_call_linking, op5_norm_buckets, op6_prefix_filtered_join, op7_fm_index, op8_line_runs, op9_min_bin_slack, op10_hyperminhash, op11_set_relations, op12_trie_pairs, op13_importance_resampling)}
 
 _OP8_SQL = r"""
 with lines as (
@@ -123,4 +136,45 @@ ranked as (select *, row_number() over (partition by query_id order by score des
 select query_id, rank::int as rank, vec_id, score from ranked where rank <= 5
 """
 
-ORACLE_SQL: dict[str, str] = {"op5_norm_buckets": _OP5_SQL, "op8_line_runs": _OP8_SQL}
+#: crc32 of every distinct ``x`` of a CTE ``keys``, byte by byte from a table made by its rule.
+_CRC_SQL = """
+tab as (select list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda c, z: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end)) as t),
+crcs as (select x, xor(list_reduce(list_prepend(4294967295::bigint, list_transform(range(strlen(x)), lambda i: ('0x' || substr(hex(encode(x)), (2 * i + 1)::bigint, 2))::bigint)),
+  lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) as crc from (select distinct x from keys), tab)
+"""
+
+_OP13_SQL = f"""
+with words as (select doc_id, 'd' as side, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')) as x from documents
+  union all select null, 'b', unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')) from benchmark),
+keys as (select x from words), {_CRC_SQL},
+features as (select doc_id, side, crc % 10000 as bucket from words join crcs using (x)),
+totals as (select count(*) filter (where side = 'd') as s_all, count(*) filter (where side = 'b') as t_all from features),
+gains as (select bucket, floor(1000 * ln((count(*) filter (where side = 'b') + 1)::double * (s_all + 10000)::double / ((count(*) filter (where side = 'd') + 1)::double * (t_all + 10000)::double)))::bigint as gain
+          from features, totals group by bucket, s_all, t_all),
+weights as (select doc_id, count(*) as n_features, sum(gain)::bigint as weight from features join gains using (bucket) where side = 'd' group by doc_id),
+scored as (select d.doc_id, coalesce(n_features, 0) as n_features, coalesce(weight, 0)::bigint as weight,
+  (coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || d.doc_id), 1, 8))::bigint + 0.5::double) / 4294967296::double))))::bigint as score
+  from documents d left join weights w on d.doc_id = w.doc_id),
+drawn as (select doc_id, row_number() over (order by score desc, doc_id) as rank, count(*) over () as able from scored where n_features >= 20)
+select s.doc_id, s.n_features, s.weight, s.score, case when rank <= 10 * able // 100 then rank end as rank from scored s left join drawn using (doc_id)
+"""
+
+_OP12_SQL = f"""
+with recursive runs as (select doc_id, translate(r, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as run, count(*) as c
+  from (select doc_id, unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z\\x{{C0}}-\\x{{FF}}]+')) as r from documents) group by all),
+keys as (select doc_id || ':' || run as x from runs where length(run) >= 5), {_CRC_SQL},
+seen as (select case when crc % 97 = 0 then run[1:(crc % length(run))::bigint] || run[(crc % length(run) + 2)::bigint:] else run end as word, c from runs join crcs on x = doc_id || ':' || run),
+words as (select word, sum(c)::bigint as n from seen where length(word) >= 5 group by word having sum(c) >= 3),
+cuts as (select word, n, unnest(range(length(word)))::bigint as i from words),
+less as (select word, n, i, word[1:i] as ahead, word[i + 2:] as behind from cuts),
+near as (select a.word, a.n, b.word as other, b.n as m from less a join less b on a.i = b.i and a.ahead = b.ahead and a.behind = b.behind and a.word <> b.word
+  union select a.word, a.n, w.word, w.n from less a join words w on w.word = a.ahead || a.behind
+  union select w.word, w.n, a.word, a.n from less a join words w on w.word = a.ahead || a.behind),
+best as (select word, count(*) as n_near, max(m) as most, arg_min(other, (-m, encode(other))) as other from near group by word),
+judged as (select w.word, w.n, coalesce(n_near, 0) as n_near, case when most >= 2 * w.n then other end as form, case when most >= 2 * w.n then most end as form_n from words w left join best b on w.word = b.word),
+chain(word, last) as (select word, word from judged union all select c.word, j.form from chain c join judged j on j.word = c.last where j.form is not null),
+ends as (select c.word, c.last as root from chain c join judged j on j.word = c.last where j.form is null)
+select j.word, form, root, n, n_near, form_n from judged j join ends using (word)
+"""
+
+ORACLE_SQL: dict[str, str] = {"op12_trie_pairs": _OP12_SQL, "op13_importance_resampling": _OP13_SQL, "op5_norm_buckets": _OP5_SQL, "op8_line_runs": _OP8_SQL}
