@@ -9,8 +9,10 @@ import pyarrow.compute as pc
 from tillroll.llm.tokens import mix
 
 _RNG = np.random.default_rng(11)
-_T = _RNG.integers(1, 2**63, (2, 256), np.uint64) * np.uint64(2) + np.uint64(1)
-_P = np.stack([np.cumprod(np.full(1 << 16, m, np.uint64)) for m in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)])
+_T = _RNG.integers(1, 2**63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
+#: A multiplier of its own for each place in a word: powers of one number would make sums of some
+#: different words equal (Thue-Morse words, whatever the number).
+_P = _RNG.integers(1, 2**63, 1 << 16, np.uint64) * np.uint64(2) + np.uint64(1)
 _Q = np.stack([np.cumprod(np.full(64, m, np.uint64)) for m in (0xD6E8FEB86659FD93, 0xA0761D6478BD642F)])
 
 
@@ -28,10 +30,10 @@ ALNUM = byte_table([(0x00, 0x2F), (0x3A, 0x40), (0x5B, 0x60), (0x7B, 0x7F)])
 
 
 class Words:
-    """``doc`` (row of each word), ``start`` and ``end`` (bytes in ``data``), ``hash`` and, if asked
-    for, ``hash2``; ``first`` and ``count``: the words of each row. Null texts have none."""
+    """``doc`` (row of each word), ``start`` and ``end`` (bytes in ``data``) and ``hash``; ``first`` and
+    ``count``: the words of each row. Null texts have none."""
 
-    def __init__(self, texts: pa.Array, table: np.ndarray, lower: bool, two: bool = False):
+    def __init__(self, texts: pa.Array, table: np.ndarray, lower: bool):
         texts = pc.fill_null(texts, "") if texts.null_count else texts
         if pa.types.is_large_string(texts.type):
             texts = texts.cast(pa.string())
@@ -48,19 +50,21 @@ class Words:
         edge = np.searchsorted(s, at)
         self.first, self.count = edge[:-1], np.diff(edge)
         self.doc = np.repeat(np.arange(len(texts)), self.count)
-        self.hash = self._hash(word, 0, lower)
-        self.hash2 = self._hash(word, 1, lower) if two else None
+        self.hash = self._hash(word, lower)
 
-    def _hash(self, word, which: int, lower: bool) -> np.ndarray:
+    def _hash(self, word, lower: bool) -> np.ndarray:
         s = self.start
         if not len(s):
             return np.zeros(0, np.uint64)
-        t = _T[which].copy()
+        t = _T.copy()
         if lower:
             t[65:91] = t[97:123]
         size = np.diff(s, append=len(self.data))
-        pos = (np.arange(s[0], len(self.data)) - np.repeat(s, size)) & 0xFFFF
-        part = t[self.data[s[0]:]] * _P[which][pos]
+        pos = np.arange(s[0], len(self.data)) - np.repeat(s, size)
+        part = t[self.data[s[0]:]] * _P[pos & 0xFFFF]
+        far = np.flatnonzero(pos >= len(_P))
+        if len(far):  # multipliers by rule where the table ends
+            part[far] = t[self.data[s[0]:][far]] * (mix(pos[far].astype(np.uint64)) | np.uint64(1))
         part[~word[s[0]:]] = 0
         return mix(np.add.reduceat(part, s - s[0]) ^ (self.end - s).astype(np.uint64))
 
