@@ -17,6 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tillroll.operators.perkey import Keep, join_facts
 from tillroll.functions.exprs import days_between, is_weekend, month_name, ratio, percent
 from tillroll.sources.tables import CUSTOMER_COLS, STORE_COLS
 
@@ -44,7 +45,7 @@ def payment_summary(payments: DataFrame) -> DataFrame:
     )
 
 
-def paid_lines(fact: DataFrame, payments: DataFrame | None, dedupe: bool = False) -> DataFrame:
+def paid_lines(fact: DataFrame, payments: DataFrame | None, dedupe: bool = False, keep: Keep | None = None) -> DataFrame:
     """Fact lines of orders with at least one payment, with the order's payment summary and the
     weight ``_w`` = payment rows of the order (the reference's fan-out), or 1 with ``dedupe``.
 
@@ -57,7 +58,7 @@ def paid_lines(fact: DataFrame, payments: DataFrame | None, dedupe: bool = False
             raise ValueError(f"a fact without payments must carry their summary; it has no {', '.join(missing)}")
         lines = fact.where(F.col("_np").isNotNull())
     else:
-        lines = fact.drop(*SUMMARY_COLS).join(payment_summary(payments), "order_id")
+        lines = join_facts(fact.drop(*SUMMARY_COLS), payment_summary(payments), ["order_id"], "payment_summary", "inner", keep)
     return lines.withColumn("_w", F.lit(1).cast("bigint") if dedupe else F.col("_np"))
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from tillroll.operators.perkey import Keep, rows_with, scratch
 from tillroll.operators.reconcile import (  # noqa: F401  (re-exported)
     fix_date_to_latest, fix_store_to_min, orders_with_spread,
 )
@@ -26,19 +27,23 @@ def exact_duplicates(df: DataFrame) -> DataFrame:
     return df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("duplicate_count")).where(F.col("duplicate_count") > 1)
 
 
-def rows_of_orders_with_spread(df: DataFrame, column: str) -> DataFrame:
+def rows_of_orders_with_spread(df: DataFrame, column: str, keep: Keep | None = None) -> DataFrame:
     """Rows whose order has more than one distinct value of ``column`` (``order_id IN (…)``)."""
-    return df.join(orders_with_spread(df, column), "order_id", "left_semi")
+    return rows_with(df, orders_with_spread(df, column), ["order_id"], f"orders_of_several_{column}", keep)
 
 
 def multi_store_orders(df: DataFrame) -> DataFrame:
-    """D2 — how many rows (and orders) belong to orders delivered from several stores."""
-    rows = rows_of_orders_with_spread(df, "delivered_storeid")
-    return rows.agg(F.count("order_id").alias("no_of_discrepant_orders"),
-                    F.countDistinct("order_id").alias("no_of_distinct_orders"))
+    """D2 — how many rows (and orders) belong to orders delivered from several stores: both are sums
+    over one aggregate per order, so the rows are read once and joined with nothing."""
+    store = F.col("delivered_storeid")
+    orders = (df.where(F.col("order_id").isNotNull()).groupBy("order_id")
+              .agg(F.count(F.lit(1)).alias("_rows"), F.min(store).alias("_lo"), F.max(store).alias("_hi"))
+              .where(F.col("_lo") < F.col("_hi")))
+    return orders.agg(F.coalesce(F.sum("_rows"), F.lit(0)).alias("no_of_discrepant_orders"),
+                      F.count("order_id").alias("no_of_distinct_orders"))
 
 
-def cumulative_lines(df: DataFrame, keys: list[str] | None = None) -> DataFrame:
+def cumulative_lines(df: DataFrame, keys: list[str] | None = None, keep: Keep | None = None) -> DataFrame:
     """D4 — lines that look like a running total of an earlier line: within the same customer,
     product, channel, store, bill time and prices, any line whose quantity is below the largest
     (``RANK() … ORDER BY quantity DESC > 1``), with its ``rnk``.
@@ -50,18 +55,19 @@ def cumulative_lines(df: DataFrame, keys: list[str] | None = None) -> DataFrame:
 
     Scale: only key groups whose quantities differ can hold a rank above 1, so they are found
     first with a partial aggregate (``min < max``) and the lines are narrowed to them by a
-    semi-join; the rank is then 1 + the number of rows with a larger quantity, computed from the
-    counts per (keys, quantity) with a window over the distinct quantities of a group — never
+    semi-join, both written; the rank is then 1 + the number of rows with a larger quantity, computed
+    from the counts per (keys, quantity) with a window over the distinct quantities of a group — never
     over all its rows — and joined back on the 9 values. A hot key group is never sorted in one
     task, and AQE splits a hot key on the joins' large side.
     """
+    keep = keep or scratch
     keys = keys or CUMULATIVE_KEYS
     cols = keys + ["quantity"]
     not_null = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in cols])
     rows = df.where(not_null)
     varied = (rows.groupBy(*keys).agg(F.min("quantity").alias("_lo"), F.max("quantity").alias("_hi"))
               .where(F.col("_lo") < F.col("_hi")).select(*keys))
-    candidates = rows.join(varied, keys, "left_semi")
+    candidates = keep("lines_of_varied_keys", rows_with(rows, varied, keys, "varied_keys", keep))
     counts = candidates.groupBy(*cols).agg(F.count(F.lit(1)).alias("_n"))
     larger = Window.partitionBy(*keys).orderBy(F.col("quantity").desc()).rowsBetween(Window.unboundedPreceding, -1)
     ranks = (
@@ -69,12 +75,12 @@ def cumulative_lines(df: DataFrame, keys: list[str] | None = None) -> DataFrame:
         .where(F.col("rnk") > 1)
         .drop("_n")
     )
-    return candidates.join(ranks, cols).select(*df.columns, "rnk")
+    return candidates.join(keep("ranks_of_quantities", ranks), cols).select(*df.columns, "rnk")
 
 
-def multi_date_orders(df: DataFrame) -> DataFrame:
+def multi_date_orders(df: DataFrame, keep: Keep | None = None) -> DataFrame:
     """D5 — order_id of every row whose order has more than one distinct bill date."""
-    return rows_of_orders_with_spread(df, "bill_date_timestamp").select("order_id")
+    return rows_of_orders_with_spread(df, "bill_date_timestamp", keep).select("order_id")
 
 
 def outside(ts: Column, start: str, end: str) -> Column:

@@ -6,9 +6,9 @@ returns a DataFrame. None of them collects, loops on the driver or uses a Python
 Scale notes, common to the module:
 
 * Per-order facts (min/max store, payment count, …) are computed with ``groupBy`` (map-side
-  partial aggregation) and joined back, never with a window partitioned by order: one hot order
-  holding a third of the rows would otherwise land in one window task, while AQE's skew-join
-  split handles a hot key on the large side of a join.
+  partial aggregation), written, and joined back as a plain table (:mod:`tillroll.operators.perkey`):
+  only so can Spark split the join where one order holds a third of the rows. ``keep`` says where
+  they are written; a batch keeps them with its stages.
 * Dimension sides are pre-aggregated to one row per (key, attribute values) with a multiplicity
   count before they are joined, so the reference's join fan-out (an order line repeated once
   per payment × review × duplicate store row) becomes a multiplication, not extra rows.
@@ -23,6 +23,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tillroll.operators.perkey import Keep, dealt_by, join_facts, rows_with, scratch
 from tillroll.sources.tables import CUSTOMER_COLS, ORDER_COLS, STORE_COLS
 
 ENRICH_COLS = ["category", "avg_rating", "seller_city", "seller_state", "region",
@@ -183,7 +184,7 @@ def orders_with_spread(df: DataFrame, column: str) -> DataFrame:
     )
 
 
-def multi_store_lines(orders: DataFrame) -> DataFrame:
+def multi_store_lines(orders: DataFrame, keep: Keep | None = None) -> DataFrame:
     """C8 — distinct order lines whose order has a line at another store, with the unit amount
     ``net_amount = total_amount / quantity`` and ``net_qty = quantity / quantity`` (integer).
 
@@ -191,10 +192,11 @@ def multi_store_lines(orders: DataFrame) -> DataFrame:
     (cost Σ lines² per order). A line qualifies iff its store is not null and its order has two
     distinct non-null stores, which is a semi-join against :func:`orders_with_spread`.
     """
+    lines = (rows_with(orders, orders_with_spread(orders, "delivered_storeid"), ["order_id"], "orders_of_several_stores", keep)
+             .where(F.col("delivered_storeid").isNotNull())
+             .select(*ORDER_COLS))
     return (
-        orders.join(orders_with_spread(orders, "delivered_storeid"), "order_id", "left_semi")
-        .where(F.col("delivered_storeid").isNotNull())
-        .select(*ORDER_COLS)
+        dealt_by(lines, ORDER_COLS)
         .distinct()
         .withColumn("net_amount", (F.col("total_amount") / F.col("quantity")).cast("decimal(18,8)"))
         .withColumn("net_qty", F.expr("quantity div quantity").cast("int"))
@@ -210,7 +212,7 @@ def _counted(df: DataFrame, cols: list[str], name: str) -> DataFrame:
 
 
 def multi_store_insert(multi: DataFrame, products: DataFrame, payments: DataFrame, customers: DataFrame,
-                       reviews: DataFrame, stores: DataFrame) -> DataFrame:
+                       reviews: DataFrame, stores: DataFrame, keep: Keep | None = None) -> DataFrame:
     """C9's inserted rows: C8 joined (inner) with products, payments, customers, reviews and
     stores — none deduplicated — then grouped by all 21 columns, summing net_qty and net_amount.
 
@@ -220,7 +222,8 @@ def multi_store_insert(multi: DataFrame, products: DataFrame, payments: DataFram
     fan-out. ``avg_rating`` here is the raw score of a review row, as in the reference.
     """
     prod = _counted(products, ["product_id", "category"], "_n1")
-    pay = _counted(payments, ["order_id"], "_n2")
+    # the other sides are grouped by more than their join key, so they are shuffled anew for the join
+    pay = (keep or scratch)("payments_per_order", _counted(payments, ["order_id"], "_n2"))
     cust = _counted(customers, CUSTOMER_COLS, "_n3")
     rev = _counted(reviews, ["order_id", "customer_satisfaction_score"], "_n4")
     store = _counted(stores, STORE_COLS, "_n5")
@@ -264,7 +267,7 @@ def multi_store_records(insert: DataFrame) -> DataFrame:
     )
 
 
-def finalised_records(appended: DataFrame, add_records: DataFrame, integrated: DataFrame) -> DataFrame:
+def finalised_records(appended: DataFrame, add_records: DataFrame, integrated: DataFrame, keep: Keep | None = None) -> DataFrame:
     """C11 — C9 EXCEPT (C10 rows whose order is in C7): set difference with nulls equal and
     duplicates removed (EXCEPT DISTINCT). The reference's inner join with C7 only filters (EXCEPT
     discards its duplicates), so it is a semi-join here.
@@ -274,8 +277,7 @@ def finalised_records(appended: DataFrame, add_records: DataFrame, integrated: D
     removes duplicates, which is EXCEPT's semantics, in a single shuffle hashed on all columns
     (``subtract`` plans an anti-join and a separate distinct, three shuffles of the fact here).
     """
-    # distinct(): the order ids are deduplicated map-side, so one row per order is shuffled
-    right = add_records.join(integrated.select("order_id").distinct(), "order_id", "left_semi")
+    right = rows_with(add_records, integrated.select("order_id").distinct(), ["order_id"], "integrated_order_ids", keep)
     tagged = (appended.select(*FACT_COLS, F.lit(0).alias("_right"))
               .unionByName(right.select(*FACT_COLS, F.lit(1).alias("_right"))))
     return (tagged.groupBy(*FACT_COLS).agg(F.max("_right").alias("_right"))
@@ -289,21 +291,21 @@ def _per_order(df: DataFrame, aggs: dict[str, Column]) -> DataFrame:
     return df.groupBy("order_id").agg(*[a.alias(n) for n, a in aggs.items()])
 
 
-def fix_store_to_min(fact: DataFrame) -> DataFrame:
+def fix_store_to_min(fact: DataFrame, keep: Keep | None = None) -> DataFrame:
     """D3 — set the store of every line to its order's lowest store. Lines with a null
     store keep it."""
     stats = _per_order(fact, {"_min_store": F.min("delivered_storeid")})
     store = F.col("delivered_storeid")
-    return fact.join(stats, "order_id", "left").select(
+    return join_facts(fact, stats, ["order_id"], "lowest_stores", keep=keep).select(
         *[F.when(store.isNotNull(), F.col("_min_store")).otherwise(store).alias(c) if c == "delivered_storeid"
           else F.col(c) for c in fact.columns])
 
 
-def fix_date_to_latest(fact: DataFrame) -> DataFrame:
+def fix_date_to_latest(fact: DataFrame, keep: Keep | None = None) -> DataFrame:
     """D6 — set the bill date of every line to its order's latest bill date."""
     stats = _per_order(fact, {"_max_date": F.max("bill_date_timestamp")})
     ts = F.col("bill_date_timestamp")
-    return fact.join(stats, "order_id", "left").select(
+    return join_facts(fact, stats, ["order_id"], "latest_dates", keep=keep).select(
         *[F.when(ts.isNotNull(), F.col("_max_date")).otherwise(ts).alias(c) if c == "bill_date_timestamp"
           else F.col(c) for c in fact.columns])
 
@@ -323,7 +325,8 @@ def refresh_store_attrs(fact: DataFrame, stores: DataFrame) -> DataFrame:
 BILL_DATE_BEFORE_FIX = "_bill_date_before_fix"
 
 
-def clean_fact(finalised: DataFrame, order_facts: DataFrame | None = None, keep_original_date: bool = False) -> DataFrame:
+def clean_fact(finalised: DataFrame, order_facts: DataFrame | None = None, keep_original_date: bool = False,
+               keep: Keep | None = None) -> DataFrame:
     """C12 — F8: C11 with D3 then D6 applied. Both repairs read per-order aggregates that the
     other does not change, so one aggregate and one join apply both.
 
@@ -346,7 +349,7 @@ def clean_fact(finalised: DataFrame, order_facts: DataFrame | None = None, keep_
     }
     if keep_original_date:
         extra.append(ts.alias(BILL_DATE_BEFORE_FIX))
-    return finalised.join(stats, "order_id", "left").select(
+    return join_facts(finalised, stats, ["order_id"], "order_repairs", keep=keep).select(
         *[fixed[c].alias(c) if c in fixed else F.col(c) for c in FACT_COLS], *extra)
 
 

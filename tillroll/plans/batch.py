@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tillroll.operators import marts, quality, reconcile
+from tillroll.operators.perkey import Keep
 from tillroll.plans import segments
 from tillroll.sources.stage import StageStore, files_fingerprint, input_fingerprint
 from tillroll.sources.tables import fixture_tables
@@ -68,6 +69,10 @@ class CleaningBatch:
         used = [o for o in depends if getattr(self.options, o)]
         return self.store.stage("-".join([name, *used]), build, lookup_by)
 
+    def keeper(self, prefix: str, depends: tuple[str, ...] = ("clean_categories", "refresh_store_attrs")) -> Keep:
+        """Where an operator's written tables go: with the stages, under names of their own."""
+        return lambda name, df: self._stage(f"{prefix}.{name}", lambda: df, depends=depends)
+
     # -- C1–C6 ------------------------------------------------------------------------------
     def cust_order_totals(self) -> DataFrame:
         return reconcile.cust_order_totals(self.t.orders)
@@ -100,12 +105,12 @@ class CleaningBatch:
 
     def multi_store_lines(self) -> DataFrame:
         # read only by C9's insert, which is staged
-        return reconcile.multi_store_lines(self.t.orders)
+        return reconcile.multi_store_lines(self.t.orders, self.keeper("multi_store_lines", ()))
 
     def multi_store_insert(self) -> DataFrame:
         t = self.t
         return self._stage("multi_store_insert", lambda: reconcile.multi_store_insert(
-            self.multi_store_lines(), self._products(), t.payments, t.customers, t.reviews, t.stores))
+            self.multi_store_lines(), self._products(), t.payments, t.customers, t.reviews, t.stores, self.keeper("multi_store_insert", ())))
 
     def append_multi_store(self) -> DataFrame:
         return reconcile.append_multi_store(self.integrated_orders(), self.multi_store_insert())
@@ -117,7 +122,8 @@ class CleaningBatch:
         # a set difference: copies of a line make no difference to it
         lines = self.integrated_lines()
         return self._stage("finalised_records", lambda: reconcile.finalised_records(
-            reconcile.append_multi_store(lines, self.multi_store_insert()), self.multi_store_records(), lines))
+            reconcile.append_multi_store(lines, self.multi_store_insert()), self.multi_store_records(), lines,
+            self.keeper("finalised_records")))
 
     def store_fixed(self) -> DataFrame:
         """F8 after D3 only (the state the reference's D4 and D5 read): the fact stage with each
@@ -131,7 +137,7 @@ class CleaningBatch:
         per-order join, and each line's bill date before D6; the payment-weighted marts and the
         after-D3 checks read it without joins of their own."""
         def build() -> DataFrame:
-            fact = reconcile.clean_fact(self.finalised_records(), marts.payment_summary(self.t.payments), keep_original_date=True)
+            fact = reconcile.clean_fact(self.finalised_records(), marts.payment_summary(self.t.payments), True, self.keeper("clean_fact"))
             return reconcile.refresh_store_attrs(fact, self.t.stores) if self.options.refresh_store_attrs else fact
 
         return self._stage("clean_fact", build, "order_id", ("clean_categories", "refresh_store_attrs"))

@@ -126,7 +126,7 @@ def data_quality_summary(p, period: tuple[str, str]) -> DataFrame:
     checks = [
         _check("orders_not_matching", p.orders_not_matching()),
         _check("exact_duplicates", quality.exact_duplicates(finalised)),
-        _check("cumulative_lines", quality.cumulative_lines(p.store_fixed())),
+        _check("cumulative_lines", quality.cumulative_lines(p.store_fixed(), keep=p.keeper("cumulative_lines"))),
         _checks(_store_checks(finalised)),
         _checks(_order_checks(p.fact_with_payments(), period)),
         _checks(product_checks),
