@@ -14,7 +14,7 @@ from pyspark.sql import Window
 
 from tillroll.operators.perkey import Keep, rows_with, scratch
 from tillroll.operators.reconcile import (  # noqa: F401  (re-exported)
-    fix_date_to_latest, fix_store_to_min, orders_with_spread,
+    BILL_MONTH, fix_date_to_latest, fix_store_to_min, month_number, orders_with_spread,
 )
 from tillroll.sources.tables import PRODUCT_ATTRS
 
@@ -89,8 +89,13 @@ def outside(ts: Column, start: str, end: str) -> Column:
 
 def out_of_period(df: DataFrame, start: str, end: str) -> DataFrame:
     """D7 — rows billed before ``start`` or after ``end`` (timestamps compared at midnight, so a
-    line on the last day after 00:00 counts as outside, as in the reference)."""
-    return df.where(outside(F.col("bill_date_timestamp"), start, end))
+    line on the last day after 00:00 counts as outside, as in the reference). A fact with ``BILL_MONTH`` is
+    read from its first month to ``start``'s and from ``end``'s to its last; the months between are not opened."""
+    rows = df.where(outside(F.col("bill_date_timestamp"), start, end))
+    if BILL_MONTH not in df.columns:
+        return rows
+    month = F.col(BILL_MONTH)
+    return rows.where((month <= month_number(start)) | (month >= month_number(end))).drop(BILL_MONTH)
 
 
 def multi_customer_orders(df: DataFrame) -> DataFrame:

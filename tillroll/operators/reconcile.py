@@ -353,6 +353,37 @@ def clean_fact(finalised: DataFrame, order_facts: DataFrame | None = None, keep_
         *[fixed[c].alias(c) if c in fixed else F.col(c) for c in FACT_COLS], *extra)
 
 
+#: Partition column of the stored fact: 100 * year + month of the bill date (null: no date).
+BILL_MONTH = "bill_month"
+
+
+def with_month(fact: DataFrame) -> DataFrame:
+    ts = F.col("bill_date_timestamp")
+    return fact.withColumn(BILL_MONTH, (F.year(ts) * 100 + F.month(ts)).cast("int"))
+
+
+def month_number(date: str) -> int:
+    """``BILL_MONTH`` of an ISO date."""
+    return int(date[:4]) * 100 + int(date[5:7])
+
+
+def in_months(fact: DataFrame, first: str | None = None, last: str | None = None) -> DataFrame:
+    """The rows billed in the months of the ISO dates ``first`` to ``last`` (none: open). Of the stored fact only these
+    months' folders are read."""
+    fact = fact if BILL_MONTH in fact.columns else with_month(fact)
+    if first:
+        fact = fact.where(F.col(BILL_MONTH) >= month_number(first))
+    if last:
+        fact = fact.where(F.col(BILL_MONTH) <= month_number(last))
+    return fact
+
+
+def by_month(fact: DataFrame) -> DataFrame:
+    """``fact`` (with ``BILL_MONTH``) laid out for a write partitioned by month: a month's rows in few tasks,
+    a large month in several (AQE sizes them), each sorted by order so that a looked-up order is in few row groups."""
+    return fact.hint("rebalance", BILL_MONTH).sortWithinPartitions(BILL_MONTH, "order_id")
+
+
 def order_lookup(fact: DataFrame, order_id) -> DataFrame:
     """C13 — all rows of one order (a filter that reaches the parquet scan)."""
     return fact.where(F.col("order_id") == F.lit(order_id))

@@ -64,10 +64,11 @@ class CleaningBatch:
         other.options = dataclasses.replace(self.options, **options)
         return other
 
-    def _stage(self, name: str, build, lookup_by: str | None = None, depends: tuple[str, ...] = ("clean_categories",)) -> DataFrame:
+    def _stage(self, name: str, build, lookup_by: str | None = None, depends: tuple[str, ...] = ("clean_categories",),
+               partition_by: str | None = None) -> DataFrame:
         """The stage ``name`` as the options that it ``depends`` on make it."""
         used = [o for o in depends if getattr(self.options, o)]
-        return self.store.stage("-".join([name, *used]), build, lookup_by)
+        return self.store.stage("-".join([name, *used]), build, lookup_by, partition_by)
 
     def keeper(self, prefix: str, depends: tuple[str, ...] = ("clean_categories", "refresh_store_attrs")) -> Keep:
         """Where an operator's written tables go: with the stages, under names of their own."""
@@ -138,9 +139,14 @@ class CleaningBatch:
         after-D3 checks read it without joins of their own."""
         def build() -> DataFrame:
             fact = reconcile.clean_fact(self.finalised_records(), marts.payment_summary(self.t.payments), True, self.keeper("clean_fact"))
-            return reconcile.refresh_store_attrs(fact, self.t.stores) if self.options.refresh_store_attrs else fact
+            fact = reconcile.refresh_store_attrs(fact, self.t.stores) if self.options.refresh_store_attrs else fact
+            return reconcile.by_month(reconcile.with_month(fact))
 
-        return self._stage("clean_fact", build, "order_id", ("clean_categories", "refresh_store_attrs"))
+        return self._stage("clean_fact", build, "order_id", ("clean_categories", "refresh_store_attrs"), reconcile.BILL_MONTH)
+
+    def fact_by_month(self) -> DataFrame:
+        """F8 and its partition column ``reconcile.BILL_MONTH``: reports of a period read only its months."""
+        return self.fact_with_payments().select(*reconcile.FACT_COLS, reconcile.BILL_MONTH)
 
     def clean_fact(self) -> DataFrame:
         """F8, the 19 columns (the summary columns are pruned at the parquet scan)."""

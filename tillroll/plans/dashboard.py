@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tillroll.functions.exprs import count_when, month_name, percent, ratio
 from tillroll.operators import quality
-from tillroll.operators.reconcile import BILL_DATE_BEFORE_FIX
+from tillroll.operators.reconcile import BILL_DATE_BEFORE_FIX, BILL_MONTH, in_months
 from tillroll.operators.topk import top_k
 
 
@@ -43,13 +43,14 @@ def kpi_slicer_cube(fact: DataFrame) -> DataFrame:
     )
 
 
-def monthly_growth(fact: DataFrame) -> DataFrame:
+def monthly_growth(fact: DataFrame, first: str | None = None, last: str | None = None) -> DataFrame:
     """R3 — revenue per calendar month, change against the previous month and the month's rank
-    by revenue (peak seasons). The windows run over one row per month (a few dozen rows per
+    by revenue (peak seasons), of all months or those of the ISO dates ``first`` to ``last`` (of the stored
+    fact, only these are read). The windows run over one row per month (a few dozen rows per
     year, whatever the data size), after the fact has been aggregated in parallel."""
-    ts = F.col("bill_date_timestamp")
-    monthly = fact.groupBy(F.year(ts).alias("year"), F.month(ts).alias("month")).agg(
-        F.sum("total_amount").alias("revenue"))
+    m = F.col(BILL_MONTH)
+    monthly = in_months(fact, first, last).groupBy(m).agg(F.sum("total_amount").alias("revenue")).select(
+        F.floor(m / 100).cast("int").alias("year"), (m % 100).alias("month"), "revenue")
     by_time = Window.orderBy("year", "month")
     by_revenue = Window.orderBy(F.col("revenue").desc(), "year", "month")
     prev = F.lag("revenue").over(by_time)

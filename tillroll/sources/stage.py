@@ -99,12 +99,13 @@ class StageStore:
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
-    def stage(self, name: str, build, lookup_by: str | None = None) -> DataFrame:
+    def stage(self, name: str, build, lookup_by: str | None = None, partition_by: str | None = None) -> DataFrame:
         """Return stage ``name``; build and write it (``build()`` → DataFrame) on first use.
 
         ``lookup_by`` names a column that is looked up by value: its row groups get Bloom filters, so
         a pushed-down equality skips the ones without it (their min and max do not help, since the
-        rows come out of a hash shuffle).
+        rows come out of a hash shuffle). ``partition_by`` names a column of few values: a filter on it
+        reads only the folders of its values.
 
         Stages are plain parquet, not bucketed tables: a bucket holds every row of its keys, so
         one hot key (an order or customer with a third of the rows) would sit in one task in
@@ -114,13 +115,19 @@ class StageStore:
             if name in self._cache:
                 return self._cache[name]
             path = self.path(name)
+            df = None
             if not _exists(self.spark, path):
-                writer = build().write.mode("overwrite")
+                df = build()
+                writer = df.write.mode("overwrite")
                 if lookup_by:
                     writer = (writer.option(f"parquet.bloom.filter.enabled#{lookup_by}", "true")
                               .option("parquet.bloom.filter.adaptive.enabled", "true"))
+                if partition_by:
+                    writer = writer.partitionBy(partition_by)
                 writer.parquet(path)
-            out = self.spark.read.parquet(path)
+            # a partitioned table without rows has no file to tell its columns
+            reader = self.spark.read.schema((df or build()).schema) if partition_by else self.spark.read
+            out = reader.parquet(path)
             self._cache[name] = out
             return out
 
