@@ -95,10 +95,22 @@ def _profit_line() -> Column:
 
 def _distinct(c: str, approx: bool) -> Column:
     """``COUNT(DISTINCT c)``; with ``approx`` HyperLogLog++ (``approx_count_distinct``, about 5%
-    relative error), which needs no Expand of the rows and no distinct shuffle."""
+    relative error). One of these in an aggregate is planned over (key, c) rows; two or more would copy every
+    line for each (Expand), so the marts keep to one and use :func:`_kinds` and :func:`_distinct_per_key`."""
     return F.approx_count_distinct(c) if approx else F.countDistinct(c)
 
 
+def _kinds(c: str, approx: bool) -> Column:
+    """The number of different ``c`` of a column with few values (categories, stores and their cities): a set in
+    the aggregate's buffer, no larger than the dimension."""
+    return F.approx_count_distinct(c) if approx else F.size(F.collect_set(c)).cast("bigint")
+
+
+def _distinct_per_key(rows: DataFrame, key: str, c: str, out: str, approx: bool) -> DataFrame:
+    """``key`` as _key and the distinct ``c`` of each, by an aggregate of its own over the two columns."""
+    return rows.groupBy(F.col(key).alias("_key")).agg(_distinct(c, approx).alias(out))
+
+
 def _global_last_date(fact: DataFrame) -> Column:
     """The latest bill date of all, as a scalar subquery that runs once."""
     return fact.select(F.max("bill_date_timestamp")).scalar()
@@ -108,8 +120,8 @@ def customer_360(customers: DataFrame, fact: DataFrame, payments: DataFrame | No
                  approx: bool = False) -> DataFrame:
     """M1 — one row per customer with at least one paid fact line.
 
-    The fact lines are aggregated per ``customer_id`` (a bigint key, through the Expand of the
-    distinct counts) and the customer attributes are joined to the much smaller per-customer
+    The fact lines are aggregated per ``customer_id`` (the distinct products apart from the rest, so
+    that no line is copied) and the customer attributes are joined to the much smaller per-customer
     rows afterwards. A customer listed n times in the customer table multiplies the additive
     metrics by n, as the reference's inner join does. ``payments`` as in :func:`paid_lines`.
     """
@@ -127,30 +139,27 @@ def customer_360(customers: DataFrame, fact: DataFrame, payments: DataFrame | No
         F.sum(_wn(F.col("quantity"))).alias("total_quantity_purchased"),
         F.sum(_w(F.col("discount"))).alias("total_discount_taken"),
         F.sum(_w(_profit_line())).alias("profit"),
-        _distinct("product_id", approx).alias("distinct_items_purchased"),
-        _distinct("category", approx).alias("distinct_categories_purchased"),
-        _distinct("delivered_storeid", approx).alias("distinct_stores_purchased"),
-        _distinct("seller_city", approx).alias("distinct_cities_purchased"),
+        _kinds("category", approx).alias("distinct_categories_purchased"),
+        _kinds("delivered_storeid", approx).alias("distinct_stores_purchased"),
+        _kinds("seller_city", approx).alias("distinct_cities_purchased"),
+        # orders' sets of payment types: few differ, whatever the number of orders
+        F.size(F.array_distinct(F.flatten(F.collect_set("_types")))).cast("bigint").alias("different_payment_types_used"),
         *([] if dedupe_payments else _payment_counters()),
     )
-    # Payment types per customer: the lines' few types, made distinct before they are shuffled.
-    types = lines.select("customer_id", F.explode("_types").alias("_t")).distinct()
-    per_cust_pay = types.groupBy("customer_id").agg(F.count("_t").alias("different_payment_types_used"))
     if dedupe_payments:
         # Each payment row once: counters summed over the customer's distinct orders.
         names = [f"_n_{s}" for s in PAYMENT_TYPES.values()]
         orders = lines.groupBy("customer_id", "order_id").agg(*[F.max(n).alias(n) for n in names])
         counters = orders.groupBy("customer_id").agg(
             *[F.sum(F.col(f"_n_{s}")).cast("bigint").alias(f"transactions_using_{s}") for s in PAYMENT_TYPES.values()])
-        per_cust_pay = per_cust_pay.join(counters, "customer_id", "full")
+        per_cust = per_cust.join(counters, "customer_id")
     cust = customers.groupBy(*CUSTOMER_COLS).agg(F.count(F.lit(1)).alias("_nc"))
     nc = F.col("_nc")
     ncd = weight(nc)
     last = _global_last_date(fact)
     out = (cust.join(per_cust, F.col("custid") == F.col("customer_id"))
            .drop("customer_id")
-           .join(per_cust_pay, F.col("custid") == F.col("customer_id"), "left")
-           .drop("customer_id"))
+           .join(_distinct_per_key(lines, "customer_id", "product_id", "distinct_items_purchased", approx), F.col("custid") == F.col("_key")))
 
     def money(c: str) -> Column:
         # per-customer sums fit in decimal(28,8); times decimal(9,0) stays within 38 digits
@@ -171,7 +180,7 @@ def customer_360(customers: DataFrame, fact: DataFrame, payments: DataFrame | No
         money("profit"),
         "distinct_items_purchased", "distinct_categories_purchased", "distinct_stores_purchased",
         "distinct_cities_purchased",
-        F.coalesce(F.col("different_payment_types_used"), F.lit(0)).alias("different_payment_types_used"),
+        "different_payment_types_used",
         *[(F.col(f"transactions_using_{s}") * (F.lit(1) if dedupe_payments else nc)).alias(f"transactions_using_{s}")
           for s in PAYMENT_TYPES.values()],
     )
@@ -189,9 +198,9 @@ def orders_360(fact: DataFrame, payments: DataFrame | None, dedupe_payments: boo
         F.sum(_w(F.col("total_amount"))).alias("total_order_value"),
         F.sum(_w(F.col("discount"))).alias("total_discount_on_order"),
         F.sum(_w(_profit_line())).alias("profit"),
-        _distinct("category", approx).alias("distinct_categories_in_order"),
-        _distinct("seller_city", approx).alias("distinct_seller_cities"),
-        _distinct("delivered_storeid", approx).alias("distinct_delivered_stores"),
+        _kinds("category", approx).alias("distinct_categories_in_order"),
+        _kinds("seller_city", approx).alias("distinct_seller_cities"),
+        _kinds("delivered_storeid", approx).alias("distinct_delivered_stores"),
         _distinct("product_id", approx).alias("distinct_products_in_order"),
         F.max(F.size("_types")).cast("bigint").alias("different_payment_types_used"),
         *_payment_counters(per_order=dedupe_payments),
@@ -221,9 +230,7 @@ def store_360(fact: DataFrame, stores: DataFrame, approx: bool = False) -> DataF
     ts = F.col("bill_date_timestamp")
     per_store = fact.groupBy("delivered_storeid").agg(
         _distinct("order_id", approx).alias("total_orders_fulfilled"),
-        _distinct("customer_id", approx).alias("unique_customers_served"),
-        _distinct("product_id", approx).alias("distinct_products_sold"),
-        _distinct("category", approx).alias("distinct_categories_sold"),
+        _kinds("category", approx).alias("distinct_categories_sold"),
         F.sum("quantity").alias("_qty"),
         F.sum("total_amount").alias("_rev"),
         F.sum("discount").alias("_disc"),
@@ -234,6 +241,9 @@ def store_360(fact: DataFrame, stores: DataFrame, approx: bool = False) -> DataF
     dim = stores.groupBy(*STORE_COLS).agg(F.count(F.lit(1)).alias("_ns"))
     n = weight(F.coalesce(F.col("_ns"), F.lit(1)))
     last = _global_last_date(fact)
+    for column, out in (("customer_id", "unique_customers_served"), ("product_id", "distinct_products_sold")):
+        counts = _distinct_per_key(fact, "delivered_storeid", column, out, approx)
+        per_store = per_store.join(counts, F.col("delivered_storeid").eqNullSafe(F.col("_key"))).drop("_key")
     return (
         per_store.join(dim, F.col("delivered_storeid") == F.col("storeid"), "left")
         .select(

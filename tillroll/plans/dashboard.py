@@ -11,36 +11,63 @@ from pyspark.sql import functions as F
 
 from tillroll.functions.exprs import count_when, month_name, percent, ratio
 from tillroll.operators import quality
+from tillroll.operators.distinct import bitmaps, merged_levels, merged_sketches, numbered, sketch
+from tillroll.operators.perkey import Keep, scratch
 from tillroll.operators.reconcile import BILL_DATE_BEFORE_FIX, BILL_MONTH, in_months
 from tillroll.operators.topk import top_k
 
 
-def revenue_drilldown(fact: DataFrame) -> DataFrame:
-    """R1 — revenue and orders at every level of region → state → store (``ROLLUP``);
-    ``level`` is ``grouping_id()`` (0 = store rows, 7 = grand total). The lines are
-    first summed per order of a store, so the rollup's copies are made of orders, not lines."""
-    levels = ["region", "seller_state", "delivered_storeid"]
-    per_order = fact.groupBy(*levels, "order_id").agg(F.sum("total_amount").alias("total_amount"))
-    return per_order.rollup(*levels).agg(
-        F.sum("total_amount").alias("revenue"),
-        F.countDistinct("order_id").alias("orders"),
-        F.grouping_id().alias("level"),
-    )
+DRILL = ["region", "seller_state", "delivered_storeid"]
+SLICERS = ["region", "channel", "gender"]
+#: Grouping ids of the drill-down, from store rows to the grand total, and of the cube.
+DRILL_LEVELS, SLICER_LEVELS = [0, 1, 3, 7], list(range(8))
 
 
-def kpi_slicer_cube(fact: DataFrame) -> DataFrame:
+def revenue_drilldown(fact: DataFrame, keep: Keep | None = None) -> DataFrame:
+    """R1 — revenue and orders at every level of region → state → store; ``level`` is ``grouping_id()`` (0 = store
+    rows, 7 = grand total). The lines are summed once per order of a store. A store's orders are the rows of
+    that table; the levels above merge bitmaps of the orders of each state."""
+    keep = keep or scratch
+    per_order = keep("drill_orders", fact.groupBy(*DRILL, "order_id").agg(F.sum("total_amount").alias("total_amount")))
+    stores = keep("drill_stores", per_order.groupBy(*DRILL).agg(F.sum("total_amount").alias("revenue"), F.count("order_id").alias("orders")))
+    states = numbered(per_order, "order_id", "drill_order_numbers", keep).withColumn(DRILL[2], F.lit(None).cast(fact.schema[DRILL[2]].dataType))
+    bits = keep("drill_bitmaps", bitmaps(states, DRILL))
+    out = merged_levels(stores, DRILL, DRILL_LEVELS, ["revenue"], {"orders": (bits, DRILL_LEVELS[1:])}).where("_level > 0")
+    out = out.select(*DRILL, "revenue", "orders", F.col("_level").cast("long").alias("level"))
+    return stores.select(*DRILL, "revenue", "orders", F.lit(0).cast("long").alias("level")).unionByName(out)
+
+
+def kpi_slicer_cube(fact: DataFrame, keep: Keep | None = None) -> DataFrame:
     """R2 — revenue, quantity, orders and customers for every combination of region, channel
-    and gender (``CUBE``), as a dashboard's slicers need; over orders, not lines, as in R1."""
-    slicers = ["region", "channel", "gender"]
-    per_order = fact.groupBy(*slicers, "order_id", "customer_id").agg(
-        F.sum("total_amount").alias("total_amount"), F.sum("quantity").alias("quantity"))
-    return per_order.cube(*slicers).agg(
-        F.sum("total_amount").alias("revenue"),
-        F.sum("quantity").cast("bigint").alias("quantity"),
-        F.countDistinct("order_id").alias("orders"),
-        F.countDistinct("customer_id").alias("customers"),
-        F.grouping_id().alias("slice"),
-    )
+    and gender, as a dashboard's slicers need. The lines are summed once per order; the cube merges
+    base cells: their sums, and bitmaps of their orders and customers."""
+    keep = keep or scratch
+    per_order = keep("slicer_orders", fact.groupBy(*SLICERS, "order_id", "customer_id").agg(
+        F.sum("total_amount").alias("total_amount"), F.sum("quantity").alias("quantity")))
+    sums = keep("slicer_sums", per_order.groupBy(*SLICERS).agg(F.sum("total_amount").alias("revenue"), F.sum("quantity").cast("bigint").alias("quantity")))
+    bits = {}
+    for name, value in (("orders", "order_id"), ("customers", "customer_id")):
+        rows = per_order.select(*SLICERS, value).distinct() if value == "customer_id" else per_order
+        bits[name] = (keep(f"slicer_{name}_bitmaps", bitmaps(numbered(rows, value, f"slicer_{name}_numbers", keep), SLICERS)), SLICER_LEVELS)
+    return _whole_cube(merged_levels(sums, SLICERS, SLICER_LEVELS, ["revenue", "quantity"], bits))
+
+
+def _whole_cube(cube: DataFrame) -> DataFrame:
+    return cube.select(*SLICERS, "revenue", F.col("quantity").cast("bigint").alias("quantity"), "orders", "customers", F.col("_level").cast("long").alias("slice"))
+
+
+def revenue_drilldown_approx(fact: DataFrame, keep: Keep | None = None) -> DataFrame:
+    """R1 with estimated orders: one sketch a store, made in the one pass over the lines and united upwards."""
+    cells = (keep or scratch)("drill_sketches", fact.groupBy(*DRILL).agg(F.sum("total_amount").alias("revenue"), sketch("order_id").alias("_orders")))
+    out = merged_sketches(cells, DRILL, DRILL_LEVELS, ["revenue"], {"orders": "_orders"})
+    return out.select(*DRILL, "revenue", "orders", F.col("_level").cast("long").alias("level"))
+
+
+def kpi_slicer_cube_approx(fact: DataFrame, keep: Keep | None = None) -> DataFrame:
+    """R2 with estimated orders and customers, from the sketches of the base cells."""
+    cells = (keep or scratch)("slicer_sketches", fact.groupBy(*SLICERS).agg(
+        F.sum("total_amount").alias("revenue"), F.sum("quantity").cast("bigint").alias("quantity"), sketch("order_id").alias("_orders"), sketch("customer_id").alias("_customers")))
+    return _whole_cube(merged_sketches(cells, SLICERS, SLICER_LEVELS, ["revenue", "quantity"], {"orders": "_orders", "customers": "_customers"}))
 
 
 def monthly_growth(fact: DataFrame, first: str | None = None, last: str | None = None) -> DataFrame:

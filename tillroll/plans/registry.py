@@ -177,11 +177,16 @@ _PLANS: dict[str, Callable[[CleaningBatch], DataFrame]] = {
     "avg_revenue_by_month": lambda p: A.avg_revenue_by_month(p.clean_fact()),
     "monthly_revenue_by_year": lambda p: A.monthly_revenue_by_year(p.orders_360()),
     # R — dashboard views
-    "revenue_drilldown": lambda p: R.revenue_drilldown(p.clean_fact()),
-    "kpi_slicer_cube": lambda p: R.kpi_slicer_cube(p.clean_fact()),
+    "revenue_drilldown": lambda p: R.revenue_drilldown(p.clean_fact(), p.keeper("revenue_drilldown")),
+    "kpi_slicer_cube": lambda p: R.kpi_slicer_cube(p.clean_fact(), p.keeper("kpi_slicer_cube")),
+    "revenue_drilldown_approx": lambda p: R.revenue_drilldown_approx(p.clean_fact(), p.keeper("revenue_drilldown_approx")),
+    "kpi_slicer_cube_approx": lambda p: R.kpi_slicer_cube_approx(p.clean_fact(), p.keeper("kpi_slicer_cube_approx")),
     "monthly_growth": lambda p: R.monthly_growth(p.fact_by_month()),
     "store_lead_ratio": lambda p: R.store_lead_ratio(p.clean_fact(), TOP_K),
     "data_quality_summary": lambda p: R.data_quality_summary(p, PERIOD),
 }
 
+#: Estimates: no SQL gives the same numbers; tests hold them to their error bound.
+ESTIMATES = {"revenue_drilldown_approx", "kpi_slicer_cube_approx"}
+
 QUERIES: dict[str, Query] = {name: _q(fn) for name, fn in _PLANS.items()}
