@@ -38,7 +38,7 @@ _LOWER = np.array([ord(chr(c).lower()) if _CLASS[c] else c for c in range(0x250)
 _ODD = re.compile("[" + "".join(re.escape(chr(c)) for c in range(0x250) if not _CLASS[c] or not c) + "ɐ-\U0010ffff]|<\\|")
 _RNG = np.random.default_rng(7)
 _T = _RNG.integers(1, 2**63, 0x250, np.uint64) * np.uint64(2) + np.uint64(1)
-_P = np.uint64(0x9E3779B97F4A7C15) ** np.arange(64, dtype=np.uint64)
+_P = np.zeros(0, np.uint64)
 
 #: Pre-tokens kept by a worker's cache before it starts anew (about 60 MB with its table).
 CACHE_WORDS = 1_000_000
@@ -46,10 +46,12 @@ CACHE_WORDS = 1_000_000
 CHUNK_CHARS = 1_000_000
 
 
-def powers(n: int) -> np.ndarray:
+def multipliers(n: int) -> np.ndarray:
+    """An odd multiplier for each place in a pre-token. They must not be powers of one number, whose sums are
+    equal for some different words (Thue-Morse words, whatever the number)."""
     global _P
     if n > len(_P):
-        _P = np.cumprod(np.full(2 * n, 0x9E3779B97F4A7C15, np.uint64)) * np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
+        _P = mix(np.arange(1, 2 * n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
     return _P
 
 
@@ -196,7 +198,7 @@ class CachedEncoder:
         s = np.flatnonzero(st)
         size = np.diff(s, append=len(c))
         pos = np.arange(len(c)) - np.repeat(s, size)
-        h = np.add.reduceat(_T[c] * powers(int(size.max()))[pos], s)
+        h = np.add.reduceat(_T[c] * multipliers(int(size.max()))[pos], s)
         first = k[s]
         return s, size, mix(h), (first < _WS) if self.word else (first != _SEP), first == _SEP
 
@@ -214,8 +216,9 @@ class CachedEncoder:
                 self._reset()
                 new, at = np.unique(key, return_index=True)
                 where = np.flatnonzero(real)[at]
-                if len(new) > CACHE_WORDS:
-                    raise ValueError("a chunk has more pre-tokens than the cache holds")
+                if len(new) > CACHE_WORDS:  # one text of so many words: by the library, past the cache
+                    whole = [np.array(x, np.uint32) for x in self._ids(texts)]
+                    return np.concatenate(whole), np.array([len(x) for x in whole], np.int64)
             self._learn([text[a:a + n] for a, n in zip(s[where].tolist(), size[where].tolist())])
             self.table.add(new)
             row = self.table.get(key)
