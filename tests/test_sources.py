@@ -4,7 +4,7 @@ import pytest
 
 from conftest import rows
 from fixtures import tables
-from tillroll.sources.tables import CANONICAL, canonicalise, read_retail_tables
+from tillroll.sources.tables import CANONICAL, canonicalise, jdbc_partitions, jdbc_ranges, read_retail_tables
 
 # Column names as the original tables spell them (mixed case, 'StoreID', 'Custid', …).
 ORIGINAL = {
@@ -72,3 +72,62 @@ def test_a_value_that_does_not_convert_fails(spark, ansi, value):
         assert rows(fine) == [("1", 4), ("2", None)]
     finally:
         spark.conf.set("spark.sql.ansi.enabled", before)
+
+
+class Reader:
+    """Stands in for a DataFrameReader on a database, which no test may start: keeps the options of each load and
+    answers from frames. Options are checked by Spark's own rule (all four partitioning options or none)."""
+
+    def __init__(self, frames, loads, opts=None):
+        self.frames, self.loads, self.opts = frames, loads, opts or {}
+
+    @property
+    def read(self):
+        return Reader(self.frames, self.loads)
+
+    def format(self, fmt):
+        assert fmt == "jdbc"
+        return self
+
+    def options(self, **kw):
+        return Reader(self.frames, self.loads, {**self.opts, **kw})
+
+    def option(self, k, v):
+        return self.options(**{k: v})
+
+    def load(self):
+        self.loads.append(self.opts)
+        parts = {"partitionColumn", "lowerBound", "upperBound", "numPartitions"} & set(self.opts)
+        assert len(parts) in (0, 4)
+        if "query" in self.opts:
+            column, table = self.opts["query"].split("min(")[1].split(")")[0], self.opts["query"].split(" from ")[1].split()[0]
+            return self.frames[table].selectExpr(f"min({column})", f"max({column})", "count(*)")
+        return self.frames[self.opts["dbtable"]]
+
+
+def test_database_tables_are_read_in_parts(spark):
+    t, loads = tables(spark), []
+    paths = {name: f"dbo.{name}" for name in CANONICAL}
+    db = Reader({f"dbo.{name}": df for name, df in t.as_dict().items()}, loads)
+    base = {"url": "jdbc:sqlserver://host", "driver": "d"}
+    cuts = jdbc_ranges(db, paths, base, rows_per_partition=2, max_partitions=4)
+    assert all("query" in o and o["url"] == base["url"] for o in loads) and len(loads) == 6
+    loads.clear()
+    back = read_retail_tables(db, paths, "jdbc", base, table_options=cuts)
+    by_table = {o["dbtable"]: o for o in loads}
+    n = t.orders.count()
+    lo, hi = t.orders.selectExpr("min(order_id)", "max(order_id)").first()
+    got = by_table["dbo.orders"]
+    assert (got["partitionColumn"], got["lowerBound"], got["upperBound"], got["numPartitions"]) == ("order_id", str(lo), str(hi), str(min(4, -(-n // 2))))
+    assert by_table["dbo.customers"]["partitionColumn"] == "custid" and all(o["fetchsize"] == "10000" for o in loads)
+    assert rows(back.orders) == rows(t.orders)
+    with pytest.raises(ValueError):
+        read_retail_tables(db, paths, "jdbc", base, table_options={"order": {}})
+
+
+def test_database_table_without_rows_or_cuts():
+    assert jdbc_partitions("order_id", None, None, 8) == {"fetchsize": "10000"}
+    assert jdbc_partitions("order_id", 1, 9, 1) == {"fetchsize": "10000"}
+    assert jdbc_partitions("bill_date_timestamp", "2021-01-01", "2023-01-01", 12, 5)["numPartitions"] == "12"
+    with pytest.raises(ValueError):
+        jdbc_partitions("order_id", 1, 9, 0)

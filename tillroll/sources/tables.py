@@ -108,23 +108,55 @@ def read_retail_tables(
     fmt: str = "parquet",
     options: dict[str, str] | None = None,
     renames: dict[str, dict[str, str]] | None = None,
+    table_options: dict[str, dict[str, str]] | None = None,
 ) -> RetailTables:
     """Read the six tables with any ``DataFrameReader`` format.
 
     ``paths`` maps each canonical table name to a path (or, for ``fmt='jdbc'``, a table name
     passed as ``dbtable``). ``renames`` maps a table to ``{source column: canonical column}``,
     e.g. ``{"orders": {"Customer_id": "customer_id"}}``; matching is case-insensitive, as in
-    the reference's SQL Server collation.
+    the reference's SQL Server collation. ``options`` hold for all tables, ``table_options`` for one: a
+    database table is read by many tasks with those of :func:`jdbc_partitions` or :func:`jdbc_ranges`.
     """
-    renames = renames or {}
+    renames, table_options = renames or {}, table_options or {}
+    unknown = [t for t in table_options if t not in CANONICAL]
+    if unknown:
+        raise ValueError(f"options for unknown tables: {', '.join(unknown)}")
     out = {}
     for name in CANONICAL:
-        reader = spark.read.format(fmt).options(**(options or {}))
+        reader = spark.read.format(fmt).options(**{**(options or {}), **table_options.get(name, {})})
         df = reader.option("dbtable", paths[name]).load() if fmt == "jdbc" else reader.load(paths[name])
         out[name] = canonicalise(df, name, renames.get(name))
     return RetailTables(**out)
 
 
+#: Column by which each database table is read in parts, where it has one of its own.
+PARTITION_COLUMNS = {"orders": "order_id", "payments": "order_id", "reviews": "order_id", "products": "product_id", "customers": "custid", "stores": "storeid"}
+
+
+def jdbc_partitions(column: str, lower, upper, partitions: int, fetchsize: int = 10_000) -> dict[str, str]:
+    """Reader options that read a database table in ``partitions`` parts by ranges of ``column`` (a number, date or
+    timestamp). The bounds only place the cuts: rows outside them, or without a value, are in the first or last part."""
+    if partitions < 1:
+        raise ValueError("at least one partition")
+    if lower is None or upper is None or partitions == 1:  # an empty table, or nothing to cut
+        return {"fetchsize": str(fetchsize)}
+    return {"partitionColumn": column, "lowerBound": str(lower), "upperBound": str(upper), "numPartitions": str(partitions), "fetchsize": str(fetchsize)}
+
+
+def jdbc_ranges(spark: SparkSession, paths: dict[str, str], options: dict[str, str], rows_per_partition: int = 1_000_000, max_partitions: int = 1_000,
+                columns: dict[str, str] | None = None) -> dict[str, dict[str, str]]:
+    """``table_options`` for a database: the least and largest value of each table's column and its number of rows, asked
+    of the database by one aggregate a table (one row back), cut into parts of about ``rows_per_partition`` rows.
+    ``max_partitions`` bounds the connections that the database sees at once."""
+    out = {}
+    for name, column in {**PARTITION_COLUMNS, **(columns or {})}.items():
+        query = f"select min({column}) as lo, max({column}) as hi, count(*) as n from {paths[name]} t"
+        low, high, n = spark.read.format("jdbc").options(**options).option("query", query).load().first()
+        out[name] = jdbc_partitions(column, low, high, max(1, min(max_partitions, -(-int(n) // rows_per_partition))))
+    return out
+
+
 # --------------------------------------------------------------------------------------------
 # Fixture mapping from the driver's TPC-H-like tables (FIXTURES.md §2).
 # Money goes through integer cents and floor() so that every engine agrees to the cent.
