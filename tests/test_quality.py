@@ -1,5 +1,6 @@
 """Discrepancy checks D1–D10 on hand-made rows."""
 
+from pyspark.sql import functions as F
 
 from conftest import rows
 from fixtures import ORDERS_SCHEMA, line, register, tables
@@ -60,3 +61,38 @@ def test_product_category_repairs(spark):
     assert d9 == {10: "toys", 11: "Others", 12: "food", 13: "food"}
     d10 = {r.product_id: r.category for r in Q.fix_missing_attributes(Q.fix_na_category(t.products)).collect()}
     assert d10 == {10: "toys", 11: "Others", 12: "Others", 13: "Others"}
+
+
+def test_duplicates_by_digest(spark, monkeypatch):
+    """Equal to the plain grouping, also where every row has one digest, and where nulls stand in other columns."""
+    df = spark.sql("""select * from values (1, null, 'a', 0.0D), (null, 1, 'a', 0.0D), (1, null, 'a', -0.0D), (2, 2, null, double('NaN')), (2, 2, null, double('NaN')),
+                      (2, 2, 'b', 1.0D) as t(x, y, s, d)""")
+    want = sorted(map(repr, df.groupBy(*df.columns).count().where("count > 1").withColumnRenamed("count", "duplicate_count").collect()))
+    assert len(want) == 2 and sorted(map(repr, Q.exact_duplicates(df).collect())) == want
+    assert Q.exact_duplicates(df.where("s = 'b'")).collect() == [] and Q.exact_duplicates(df.where("false")).collect() == []
+    monkeypatch.setattr(Q, "row_digest", lambda df: F.struct(F.lit(1).alias("h1"), F.lit(2).alias("h2")))
+    assert sorted(map(repr, Q.exact_duplicates(df).collect())) == want
+
+
+def test_counts_gathered_by_the_writes(spark):
+    """What the stage writes observed equals the counts over the written tables; no read of the fact for them."""
+    from tillroll.operators import reconcile as C
+    from tillroll.plans import dashboard as R
+    from tillroll.plans.batch import batch_for
+    p = batch_for(spark, "/root/testdata/sf0.001")
+    seen, final = p.seen_while_writing(), p.finalised_records()
+    want = {"multi_store_rows": Q.rows_of_orders_with_spread(final, "delivered_storeid").count(),
+            "multi_date_rows": Q.rows_of_orders_with_spread(final, "bill_date_timestamp").count(),
+            "multi_customer_orders": Q.multi_customer_orders(final).count(),
+            "store_fixes": final.join(final.groupBy("order_id").agg(F.min("delivered_storeid").alias("m")), "order_id").where("m <> delivered_storeid").count(),
+            "date_fixes": final.join(final.groupBy("order_id").agg(F.max("bill_date_timestamp").alias("m")), "order_id").where("m <> bill_date_timestamp").count()}
+    assert seen == want and seen["multi_store_rows"] > 0 and seen["date_fixes"] > 0
+    # another batch over the same inputs finds the stages and what was seen
+    assert p.variant().seen_while_writing() == want
+    df = R.data_quality_summary(p, ("1995-09-01", "2001-03-31"))
+    counted = {r.check_name: r.affected_rows for r in df.collect()}
+    assert {k: counted[k] for k in want} == want
+    # the observed aggregate stands above the last exchange, in the job's result stage
+    plan = p.clean_fact().observe("x", F.count("*"))._jdf.queryExecution().executedPlan().toString()
+    assert "CollectMetrics" in plan
+    assert set(C.ORDER_CHECKS) | set(C.FACT_CHECKS) == set(want)

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from tillroll.operators.perkey import Keep, rows_with, scratch
+from tillroll.operators.perkey import Keep, dealt_by, rows_with, scratch
 from tillroll.operators.reconcile import (  # noqa: F401  (re-exported)
     BILL_MONTH, fix_date_to_latest, fix_store_to_min, month_number, orders_with_spread,
 )
@@ -22,9 +22,24 @@ CUMULATIVE_KEYS = ["customer_id", "product_id", "channel", "delivered_storeid",
                    "cost_per_unit", "mrp", "discount"]
 
 
-def exact_duplicates(df: DataFrame) -> DataFrame:
-    """D1 — rows that occur more than once, with ``duplicate_count`` (GROUP BY every column)."""
-    return df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("duplicate_count")).where(F.col("duplicate_count") > 1)
+def row_digest(df: DataFrame) -> Column:
+    """128 bits of a whole row. Rows that differ may share it (nulls are passed over, for one), so it only narrows."""
+    return F.struct(F.xxhash64(*df.columns).alias("h1"), F.xxhash64(F.lit(1), *df.columns).alias("h2"))
+
+
+def exact_duplicates(df: DataFrame, keep: Keep | None = None) -> DataFrame:
+    """D1 — rows that occur more than once, with ``duplicate_count`` (GROUP BY every column).
+
+    Digests first: 16 bytes a row are shuffled to find the digests that repeat, and only rows with one of these
+    are compared whole. Duplicates are few, so the wide rows mostly stay where they are."""
+    digest = row_digest(df)
+    repeated = df.select(digest.alias("_d")).groupBy("_d").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > 1).select("_d")
+    repeated = (keep or scratch)("repeated_digests", repeated)
+    if not repeated.head(1):
+        rows = df.where(F.lit(False))
+    else:
+        rows = dealt_by(df.withColumn("_d", digest).join(repeated, "_d", "left_semi").drop("_d"), df.columns)
+    return rows.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("duplicate_count")).where(F.col("duplicate_count") > 1)
 
 
 def rows_of_orders_with_spread(df: DataFrame, column: str, keep: Keep | None = None) -> DataFrame:

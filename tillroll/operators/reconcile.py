@@ -323,6 +323,23 @@ def refresh_store_attrs(fact: DataFrame, stores: DataFrame) -> DataFrame:
 
 
 BILL_DATE_BEFORE_FIX = "_bill_date_before_fix"
+STORE_FIXED = "_store_fixed"
+ORDER_REPAIRS = "order_repairs"
+
+
+def order_repairs(finalised: DataFrame) -> DataFrame:
+    """One row per order: what D3 and D6 set, and the spread of stores, dates and customers over its lines."""
+    store, ts, cust = F.col("delivered_storeid"), F.col("bill_date_timestamp"), F.col("customer_id")
+    return _per_order(finalised, {"_min_store": F.min(store), "_max_store": F.max(store), "_min_date": F.min(ts), "_max_date": F.max(ts),
+                                  "_min_customer": F.min(cust), "_max_customer": F.max(cust), "_lines": F.count(F.lit(1))})
+
+
+#: Counts over :func:`order_repairs`: rows of orders with several stores or dates, orders with several customers.
+ORDER_CHECKS = {
+    "multi_store_rows": "sum(if(order_id is not null and _min_store < _max_store, _lines, 0))",
+    "multi_date_rows": "sum(if(order_id is not null and _min_date < _max_date, _lines, 0))",
+    "multi_customer_orders": "count_if(_min_customer < _max_customer)",
+}
 
 
 def clean_fact(finalised: DataFrame, order_facts: DataFrame | None = None, keep_original_date: bool = False,
@@ -334,10 +351,9 @@ def clean_fact(finalised: DataFrame, order_facts: DataFrame | None = None, keep_
     and its other columns are appended to every line: the lines pick them up in the join they
     need anyway, and later readers (the payment-weighted marts) need no join of their own.
     ``keep_original_date`` also keeps each line's bill date from before D6 (an audit column,
-    ``BILL_DATE_BEFORE_FIX``), so "F8 after D3 only" is a projection of this table.
+    ``BILL_DATE_BEFORE_FIX``), so "F8 after D3 only" is a projection of this table, and whether D3 changed its store.
     """
-    stats = _per_order(finalised, {"_min_store": F.min("delivered_storeid"),
-                                   "_max_date": F.max("bill_date_timestamp")})
+    stats = order_repairs(finalised)
     extra: list[str] = []
     if order_facts is not None:
         stats = stats.join(order_facts, "order_id", "left")
@@ -348,8 +364,9 @@ def clean_fact(finalised: DataFrame, order_facts: DataFrame | None = None, keep_
         "bill_date_timestamp": F.when(ts.isNotNull(), F.col("_max_date")).otherwise(ts),
     }
     if keep_original_date:
-        extra.append(ts.alias(BILL_DATE_BEFORE_FIX))
-    return join_facts(finalised, stats, ["order_id"], "order_repairs", keep=keep).select(
+        extra += [ts.alias(BILL_DATE_BEFORE_FIX), ((F.col("_min_store") != store) & F.col("order_id").isNotNull()).alias(STORE_FIXED)]
+    # the stage's other columns are for the checks that its write gathers; the join leaves them unread
+    return join_facts(finalised, stats, ["order_id"], ORDER_REPAIRS, keep=keep).select(
         *[fixed[c].alias(c) if c in fixed else F.col(c) for c in FACT_COLS], *extra)
 
 
@@ -384,6 +401,13 @@ def by_month(fact: DataFrame) -> DataFrame:
     return fact.hint("rebalance", BILL_MONTH).sortWithinPartitions(BILL_MONTH, "order_id")
 
 
+#: Counts over the fact with its audit columns: lines that D3 and D6 changed.
+FACT_CHECKS = {
+    "store_fixes": f"count_if({STORE_FIXED})",
+    "date_fixes": f"count_if({BILL_DATE_BEFORE_FIX} <> bill_date_timestamp)",
+}
+
+
 def order_lookup(fact: DataFrame, order_id) -> DataFrame:
     """C13 — all rows of one order (a filter that reaches the parquet scan)."""
     return fact.where(F.col("order_id") == F.lit(order_id))

@@ -65,10 +65,12 @@ class CleaningBatch:
         return other
 
     def _stage(self, name: str, build, lookup_by: str | None = None, depends: tuple[str, ...] = ("clean_categories",),
-               partition_by: str | None = None) -> DataFrame:
+               partition_by: str | None = None, observe: dict[str, str] | None = None) -> DataFrame:
         """The stage ``name`` as the options that it ``depends`` on make it."""
-        used = [o for o in depends if getattr(self.options, o)]
-        return self.store.stage("-".join([name, *used]), build, lookup_by, partition_by)
+        return self.store.stage(self._named(name, depends), build, lookup_by, partition_by, observe)
+
+    def _named(self, name: str, depends: tuple[str, ...]) -> str:
+        return "-".join([name, *(o for o in depends if getattr(self.options, o))])
 
     def keeper(self, prefix: str, depends: tuple[str, ...] = ("clean_categories", "refresh_store_attrs")) -> Keep:
         """Where an operator's written tables go: with the stages, under names of their own."""
@@ -138,11 +140,21 @@ class CleaningBatch:
         per-order join, and each line's bill date before D6; the payment-weighted marts and the
         after-D3 checks read it without joins of their own."""
         def build() -> DataFrame:
-            fact = reconcile.clean_fact(self.finalised_records(), marts.payment_summary(self.t.payments), True, self.keeper("clean_fact"))
+            keep = lambda name, df: self._stage(f"clean_fact.{name}", lambda: df, depends=self.FACT_OPTIONS, observe=reconcile.ORDER_CHECKS)
+            fact = reconcile.clean_fact(self.finalised_records(), marts.payment_summary(self.t.payments), True, keep)
             fact = reconcile.refresh_store_attrs(fact, self.t.stores) if self.options.refresh_store_attrs else fact
             return reconcile.by_month(reconcile.with_month(fact))
 
-        return self._stage("clean_fact", build, "order_id", ("clean_categories", "refresh_store_attrs"), reconcile.BILL_MONTH)
+        return self._stage("clean_fact", build, "order_id", self.FACT_OPTIONS, reconcile.BILL_MONTH, reconcile.FACT_CHECKS)
+
+    #: The options that the fact depends on.
+    FACT_OPTIONS = ("clean_categories", "refresh_store_attrs")
+
+    def seen_while_writing(self) -> dict[str, int]:
+        """The counts that the writes of the per-order table and of the fact have gathered (ORDER_CHECKS, FACT_CHECKS)."""
+        self.fact_with_payments()
+        names = [self._named(n, self.FACT_OPTIONS) for n in (f"clean_fact.{reconcile.ORDER_REPAIRS}", "clean_fact")]
+        return {k: v for n in names for k, v in self.store.seen(n).items()}
 
     def fact_by_month(self) -> DataFrame:
         """F8 and its partition column ``reconcile.BILL_MONTH``: reports of a period read only its months."""

@@ -111,8 +111,8 @@ _PLANS: dict[str, Callable[[CleaningBatch], DataFrame]] = {
     "order_lookup": lambda p: reconcile.order_lookup(p.clean_fact(), LOOKUP_ORDER),
     "table_view": lambda p: p.clean_fact().select("*"),
     # D — discrepancies
-    "exact_duplicates": lambda p: quality.exact_duplicates(p.finalised_records()),
-    "exact_duplicates_appended": lambda p: quality.exact_duplicates(p.append_multi_store()),
+    "exact_duplicates": lambda p: quality.exact_duplicates(p.finalised_records(), p.keeper("exact_duplicates")),
+    "exact_duplicates_appended": lambda p: quality.exact_duplicates(p.append_multi_store(), p.keeper("exact_duplicates_appended")),
     "multi_store_orders": lambda p: quality.multi_store_orders(p.finalised_records()),
     "fix_store_to_min": lambda p: reconcile.fix_store_to_min(p.finalised_records(), p.keeper("fix_store_to_min")),
     "cumulative_lines": lambda p: quality.cumulative_lines(p.store_fixed(), keep=p.keeper("cumulative_lines")),

@@ -17,11 +17,13 @@ A stage belongs to the inputs it was built from: its folder's name holds a finge
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 import tempfile
 import threading
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 _LOCKS: dict[str, threading.RLock] = {}
 _GUARD = threading.Lock()
@@ -63,6 +65,28 @@ def drop_path(spark: SparkSession, path: str) -> None:
     fs.delete(jpath, True)
 
 
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small file that must not be there yet."""
+    fs, jpath = _path(spark, path)
+    out = fs.create(jpath, False)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+
+
+def read_text(spark: SparkSession, path: str) -> str | None:
+    """A small file's text, or None where there is none."""
+    fs, jpath = _path(spark, path)
+    if not fs.exists(jpath):
+        return None
+    stream = fs.open(jpath)
+    try:
+        return bytes(spark._jvm.org.apache.commons.io.IOUtils.toByteArray(stream)).decode()
+    finally:
+        stream.close()
+
+
 def files_fingerprint(spark: SparkSession, paths: list[str]) -> str:
     """Names, sizes and modification times of files or folders of files."""
     found = []
@@ -99,13 +123,20 @@ class StageStore:
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
-    def stage(self, name: str, build, lookup_by: str | None = None, partition_by: str | None = None) -> DataFrame:
+    def seen(self, name: str) -> dict[str, int]:
+        """What was observed while stage ``name`` was written (it must have been, with ``observe``)."""
+        return json.loads(read_text(self.spark, f"{self.path(name)}.seen.json"))
+
+    def stage(self, name: str, build, lookup_by: str | None = None, partition_by: str | None = None,
+              observe: dict[str, str] | None = None) -> DataFrame:
         """Return stage ``name``; build and write it (``build()`` → DataFrame) on first use.
 
         ``lookup_by`` names a column that is looked up by value: its row groups get Bloom filters, so
         a pushed-down equality skips the ones without it (their min and max do not help, since the
         rows come out of a hash shuffle). ``partition_by`` names a column of few values: a filter on it
-        reads only the folders of its values.
+        reads only the folders of its values. ``observe`` names aggregates (SQL) over the rows that are gathered
+        by the write itself (:meth:`seen`): they stand right below it, in the job's last stage, and of a
+        partition written twice, by a retry or a speculative task, Spark counts one.
 
         Stages are plain parquet, not bucketed tables: a bucket holds every row of its keys, so
         one hot key (an order or customer with a third of the rows) would sit in one task in
@@ -118,13 +149,18 @@ class StageStore:
             df = None
             if not _exists(self.spark, path):
                 df = build()
-                writer = df.write.mode("overwrite")
+                watch = Observation(name) if observe else None
+                watched = df.observe(watch, *[F.expr(c).alias(k) for k, c in observe.items()]) if observe else df
+                writer = watched.write.mode("overwrite")
                 if lookup_by:
                     writer = (writer.option(f"parquet.bloom.filter.enabled#{lookup_by}", "true")
                               .option("parquet.bloom.filter.adaptive.enabled", "true"))
                 if partition_by:
                     writer = writer.partitionBy(partition_by)
                 writer.parquet(path)
+                if watch:
+                    drop_path(self.spark, f"{path}.seen.json")
+                    write_text(self.spark, f"{path}.seen.json", json.dumps({k: int(v or 0) for k, v in watch.get.items()}))
             # a partitioned table without rows has no file to tell its columns
             reader = self.spark.read.schema((df or build()).schema) if partition_by else self.spark.read
             out = reader.parquet(path)

@@ -25,6 +25,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
+from tillroll.sources.stage import read_text, write_text
+
 
 class Conflict(RuntimeError):
     """Another writer has made this version."""
@@ -69,23 +71,14 @@ class Versions:
             return Manifest()
         if version not in known:
             raise ValueError(f"there is no version {version}")
-        fs, path = self._path(self._manifest_path(version))
-        stream = fs.open(path)
-        try:
-            data = bytes(self.spark._jvm.org.apache.commons.io.IOUtils.toByteArray(stream))
-        finally:
-            stream.close()
-        return Manifest(**json.loads(data))
+        return Manifest(**json.loads(read_text(self.spark, self._manifest_path(version))))
 
     def commit(self, manifest: Manifest) -> None:
         """Make ``manifest`` the next version, or raise :class:`Conflict`."""
         fs, final = self._path(self._manifest_path(manifest.version))
-        _, draft = self._path(f"{self.root}/manifests/.draft-{os.urandom(6).hex()}")
-        out = fs.create(draft, False)
-        try:
-            out.write(bytearray(json.dumps(manifest.__dict__).encode()))
-        finally:
-            out.close()
+        name = f"{self.root}/manifests/.draft-{os.urandom(6).hex()}"
+        _, draft = self._path(name)
+        write_text(self.spark, name, json.dumps(manifest.__dict__))
         gateway = self.spark.sparkContext._gateway
         rename = self._fs_lib.Options.Rename
         context = self._fs_lib.FileContext.getFileContext(final.toUri(), self._conf)
