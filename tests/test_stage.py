@@ -23,3 +23,17 @@ def test_stage_built_once_and_reused(spark):
     assert StageStore(spark, "test-stage-key").stage("numbers", build).count() == 10 and len(calls) == 1
     # a different key gets its own folder
     assert StageStore(spark, "other-key").stage("numbers", build).count() == 10 and len(calls) == 2
+
+
+def test_scratch_scope(spark):
+    from tillroll.operators.ranking import global_row_number
+    from tillroll.sources.stage import _exists, scratch_path, scratch_scope, write_stage
+    out = scratch_path(spark, "result")
+    with scratch_scope(spark):
+        inner = scratch_path(spark, "inner")
+        write_stage(spark.range(3), inner)
+        with scratch_scope(spark):
+            numbered, n = global_row_number(spark.range(50), ["id"])
+            write_stage(numbered, out)
+        assert _exists(spark, inner)
+    assert n == 50 and spark.read.parquet(out).count() == 50 and not _exists(spark, inner)

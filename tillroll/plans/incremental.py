@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from tillroll.operators import reconcile
 from tillroll.plans.batch import CleaningBatch, Options
-from tillroll.sources.stage import drop_path, scratch_path, write_stage
+from tillroll.sources.stage import scratch_path, scratch_scope, write_stage
 from tillroll.sources.tables import RetailTables
 from tillroll.sources.versions import Manifest, Versions
 
@@ -67,10 +67,10 @@ class IncrementalFact:
             now.files[table] = [*old.files.get(table, []), *fresh[table]]
         added = {t: self.versions.read(t, now, f) for t, f in fresh.items()}
         every = {t: self.versions.read(t, now) for t in added}
-        scratch = scratch_path(self.spark, "increment")
-        try:
-            touched = write_stage(self._touched(added, every), f"{scratch}/touched")
-            own = {t: write_stage(every[t].join(touched, "order_id", "left_semi"), f"{scratch}/{t}") for t in PER_ORDER}
+        with scratch_scope(self.spark):
+            keep = lambda name, df: write_stage(df, scratch_path(self.spark, f"increment-{name}"))
+            touched = keep("touched", self._touched(added, every))
+            own = {t: keep(t, every[t].join(touched, "order_id", "left_semi")) for t in PER_ORDER}
             batch = CleaningBatch(self.spark, RetailTables(**own, **{t: every[t] for t in DIMENSIONS}), f"increment:{os.urandom(6).hex()}", options=self.options)
             try:
                 rows = batch.fact_with_payments()
@@ -79,8 +79,6 @@ class IncrementalFact:
             finally:
                 batch.store.drop()
             self.versions.commit(now)
-        finally:
-            drop_path(self.spark, scratch)
         return now.version
 
     def _touched(self, added: dict[str, DataFrame], every: dict[str, DataFrame]) -> DataFrame:

@@ -16,6 +16,7 @@ A stage belongs to the inputs it was built from: its folder's name holds a finge
 
 from __future__ import annotations
 
+import contextlib
 import hashlib
 import json
 import os
@@ -179,7 +180,33 @@ def write_stage(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+_SCOPES: list[list[str]] = []
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh folder under the checkpoint root for a one-off stage."""
+    """A fresh folder under the checkpoint root for a one-off stage. It stays until the :func:`scratch_scope` around
+    the call ends, or :func:`drop_scratch` is called."""
     token = os.urandom(6).hex()
-    return f"{checkpoint_root(spark)}/tillroll-scratch/{spark.sparkContext.applicationId}/{name}-{token}"
+    path = f"{checkpoint_root(spark)}/tillroll-scratch/{spark.sparkContext.applicationId}/{name}-{token}"
+    for scope in _SCOPES:
+        scope.append(path)
+    return path
+
+
+@contextlib.contextmanager
+def scratch_scope(spark: SparkSession):
+    """Scratch folders taken inside are deleted at the end. Results must have been written elsewhere by then (to a path
+    taken before): DataFrames that still read the scratch no longer work."""
+    scope: list[str] = []
+    _SCOPES.append(scope)
+    try:
+        yield
+    finally:
+        _SCOPES[:] = [s for s in _SCOPES if s is not scope]
+        for path in scope:
+            drop_path(spark, path)
+
+
+def drop_scratch(spark: SparkSession) -> None:
+    """Delete every scratch folder of this application, once its results are written."""
+    drop_path(spark, f"{checkpoint_root(spark)}/tillroll-scratch/{spark.sparkContext.applicationId}")
