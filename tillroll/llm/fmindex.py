@@ -43,20 +43,25 @@ class Wavelet:
         return self._walk(code, i) - self.base[code]
 
 
+def _half(depth: int) -> int:
+    """The largest power of two that is not above ``depth``."""
+    return 1 << depth.bit_length() - 1
+
+
 class FMIndex:
-    """Index of ``text`` (codes from 1; 0 ends each part), for patterns of up to ``depth`` codes
-    (suffixes are ordered by their first 32, so ``depth`` is at most 32 and at least 17)."""
+    """Index of ``text`` (codes from 1; 0 ends each part), for patterns of up to ``depth`` codes (at
+    least 2): suffixes are ordered by their first codes, ``depth`` or more."""
 
     def __init__(self, text: np.ndarray, depth: int):
         n, self.text, self.depth = len(text), text, depth
-        ranks, held, h = text.astype(np.int64), {}, 1
-        while h < 32:
+        ranks, held, h = text.astype(np.int64), {1: text.astype(np.int64)}, 1
+        while h < depth:
             ahead = np.zeros(n, np.int64)
             ahead[:max(n - h, 0)] = ranks[h:] + 1
-            ranks = np.unique(ranks * (n + 2) + ahead, return_inverse=True)[1] if h > 1 else np.unique(ranks * (int(text.max(initial=0)) + 2) + ahead, return_inverse=True)[1]
+            ranks = np.unique(ranks * (int(ranks.max(initial=0)) + 2) + ahead, return_inverse=True)[1]
             h *= 2
-            if h in (4, 16):
-                held[h] = ranks
+            held[h] = ranks
+            held = {x: r for x, r in held.items() if x in (_half(depth - 1), _half(depth))}
         self.order = sa = np.argsort(ranks, kind="stable")
         sigma = int(text.max(initial=0)) + 1
         self.first = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=sigma))])
@@ -66,13 +71,10 @@ class FMIndex:
 
     def _groups(self, held, depth: int):
         """First and end place, in suffix order, of the suffixes that share their first codes."""
-        sa, n = self.order, len(self.order)
-        tail = np.minimum(sa + depth - 4, n - 1)
+        sa, n, h = self.order, len(self.order), _half(depth)
+        tail = np.minimum(sa + depth - h, n - 1)  # the last h of the codes overlap the first h
         new = np.ones(n, bool)
-        new[1:] = (held[16][sa[1:]] != held[16][sa[:-1]]) | (held[4][tail[1:]] != held[4][tail[:-1]])
-        if depth > 20:
-            mid = np.minimum(sa + depth - 16, n - 1)
-            new[1:] |= held[16][mid[1:]] != held[16][mid[:-1]]
+        new[1:] = (held[h][sa[1:]] != held[h][sa[:-1]]) | (held[h][tail[1:]] != held[h][tail[:-1]])
         start = np.flatnonzero(new)
         which = np.cumsum(new) - 1
         return start, np.append(start[1:], n), which

@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 
 from tillroll.llm.components import components
 from tillroll.llm.sift import sift
+from tillroll.llm.split import join_split
 from tillroll.llm.substring import one_row_per_id
 from tillroll.llm.tokens import mix, slices
 from tillroll.llm.words import UNSPACED, Words, rolled
@@ -151,8 +152,9 @@ def _estimated(pairs: DataFrame, classes: DataFrame, threshold: float) -> DataFr
 def _verified(pairs: DataFrame, docs: DataFrame, k: int) -> DataFrame:
     """inter and total (union size) on full sets, for pairs (a, b). A task gets groups of at most
     about ``GROUP`` texts with a copy of their ``a``, sorted so that it comes first."""
-    parts = pairs.groupBy("a").agg(F.ceil(F.count("*") / GROUP).alias("parts"))
-    sized = pairs.join(parts, "a")
+    parts = pairs.groupBy("a").agg(F.count("*").alias("n")).withColumn("parts", F.ceil(F.col("n") / GROUP))
+    parts = write_stage(parts, scratch_path(docs.sparkSession, "parts"))
+    sized = join_split(pairs, parts, "a", "n")
     members = sized.select("a", F.pmod(F.xxhash64("b"), F.col("parts")).alias("part"), F.col("b").alias("doc_id"))
     heads = parts.select("a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.col("a").alias("doc_id"))
     asked = members.unionByName(heads)
@@ -180,10 +182,12 @@ def _between(pairs: DataFrame, labels: DataFrame, docs: DataFrame, k: int, perce
     """Links (a, b) between the partners of one ``a`` that lie in different components."""
     met = (pairs.select(F.col("a").alias("lead"), F.col("b").alias("doc_id"))
            .join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id")))
+    met = write_stage(met, scratch_path(docs.sparkSession, "met"))
     counts = met.groupBy("lead", "component").agg(F.count("*").alias("n"))
     mixed = (counts.groupBy("lead").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.sum("n").alias("all"), F.max("n").alias("most"))
-             .where("all > most").select("lead", "main", F.ceil(F.col("all") / BLOCK).alias("parts"), F.ceil((F.col("all") - F.col("most")) / BLOCK).alias("strays")))
-    met = write_stage(met.join(mixed, "lead"), scratch_path(docs.sparkSession, "mixed"))
+             .where("all > most").select("lead", "main", "all", F.ceil(F.col("all") / BLOCK).alias("parts"), F.ceil((F.col("all") - F.col("most")) / BLOCK).alias("strays")))
+    mixed = write_stage(mixed, scratch_path(docs.sparkSession, "leads"))
+    met = write_stage(join_split(met, mixed, "lead", "all"), scratch_path(docs.sparkSession, "mixed"))
     upto = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
     mine = lambda n: F.pmod(F.xxhash64("doc_id", F.lit(n)), F.col(n))
     columns = ["lead", "row", "col", "role", "doc_id", "component"]
@@ -244,7 +248,8 @@ def group(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
 
     banded = classes.select("doc_id", "regs").mapInArrow(bands, "key long, doc_id long")
     shared = banded.groupBy("key").agg(F.min("doc_id").alias("lead"), F.count("*").alias("size")).where("size > 1")
-    buckets = stage(banded.join(shared, "key"), "buckets")  # only rows of buckets with company
+    # written first: behind an aggregate on the key, Spark would not split a hot one
+    buckets = stage(banded.join(stage(shared, "shared"), "key"), "buckets")  # only rows of buckets with company
     threshold = percent / 100
     pairs = buckets.where("doc_id <> lead").select(F.col("lead").alias("a"), F.col("doc_id").alias("b")).distinct()
     linked = F.col("inter") * 100 >= F.col("total") * percent

@@ -33,23 +33,29 @@ from pyspark.sql import Window
 from tillroll.sources.stage import scratch_path, write_stage
 
 BUCKET, QUERIES, COSINE, FOCUS = 1024, 512, 0.6, 3
-_BLOCK = "block long, dim int, n int, ids binary, vectors binary"
+_BLOCK = "block long, dim int, n int, longest double, ids binary, vectors binary"
+#: Steps of a doubling of the norm, by which buckets are looked up; all norms lie below 2^32.
+STEPS = 4
 
 
 def integers(vectors: DataFrame, scale: int = 256) -> DataFrame:
-    """vec_id, dim, norm and v (int64 components as bytes) of the vectors that take part."""
+    """vec_id, dim, norm and v (int64 components as bytes; those beyond 2^62 are cut, their norm tells)
+    of the vectors that take part."""
 
     def run(batches):
         for b in batches:
-            ids, rows = [], []
+            ids, rows, norms = [], [], []
             for i, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 if i is not None and x is not None and None not in x:
                     v = np.array(x, np.float64)
                     if np.isfinite(v).all():
                         ids.append(i)
-                        rows.append(np.floor(v * scale).astype(np.int64))
+                        with np.errstate(over="ignore"):
+                            v = np.floor(v * scale)
+                            norms.append(float(np.linalg.norm(v)))
+                        rows.append(np.clip(v, -(2.0**62), 2.0**62).astype(np.int64))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array([len(v) for v in rows], pa.int32()), pa.array([float(np.linalg.norm(v.astype(float))) for v in rows], pa.float64()),
+                [pa.array(ids, pa.int64()), pa.array([len(v) for v in rows], pa.int32()), pa.array(norms, pa.float64()),
                  pa.array([v.tobytes() for v in rows], pa.binary())], ["vec_id", "dim", "norm", "v"])
 
     return vectors.select(F.col("vec_id").cast("long"), "embedding").mapInArrow(run, "vec_id long, dim int, norm double, v binary")
@@ -65,12 +71,12 @@ def _blocks(rows: DataFrame, size: int) -> DataFrame:
 
         def out():
             return pa.RecordBatch.from_arrays(
-                [pa.array([part + n], pa.int64()), pa.array([held[0][1]], pa.int32()), pa.array([len(held)], pa.int32()),
+                [pa.array([part + n], pa.int64()), pa.array([held[0][1]], pa.int32()), pa.array([len(held)], pa.int32()), pa.array([max(h[3] for h in held)], pa.float64()),
                  pa.array([np.array([h[0] for h in held], np.int64).tobytes()], pa.binary()), pa.array([b"".join(h[2] for h in held)], pa.binary())],
-                ["block", "dim", "n", "ids", "vectors"])
+                ["block", "dim", "n", "longest", "ids", "vectors"])
 
         for b in batches:
-            for row in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(3).to_pylist()):
+            for row in zip(*(b.column(i).to_pylist() for i in (0, 1, 3, 2))):
                 if held and (len(held) == size or held[0][1] != row[1]):
                     yield out()
                     n, held = n + 1, []
@@ -161,43 +167,56 @@ def _search(pairs: DataFrame, k: int) -> DataFrame:
     return pairs.mapInArrow(run, "query_id long, vec_id long, score long")
 
 
+def _step(norm: Column) -> Column:
+    return F.floor(F.log2(F.greatest(norm, F.lit(1.0))) * STEPS).cast("int")
+
+
 def top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: int = 256) -> DataFrame:
     """query_id, rank, vec_id, score: the ``k`` other vec_ids with the largest inner products of
-    every query with vectors of its dimension."""
+    every query with vectors of its dimension. Scores are longs: if the square of the longest norm
+    (after scaling) does not fit one, a ValueError says so before any score is made."""
     spark = vectors.sparkSession
     all_ = write_stage(integers(vectors, scale).dropDuplicates(["vec_id", "v"]), scratch_path(spark, "integers"))
-    total = all_.count()
+    total, longest = all_.agg(F.count("*"), F.max("norm")).first()
+    if (longest or 0) >= 2**31.5:
+        raise ValueError(f"inner products of vectors with a norm of {longest:.3g} (scaled by {scale}) do not fit a long")
     parts = max(1, -(-total // BUCKET))
     ranged = all_.repartitionByRange(parts, F.col("dim"), F.col("norm").desc(), F.col("vec_id")).sortWithinPartitions("dim", F.col("norm").desc(), "vec_id")
     buckets = write_stage(_blocks(ranged, BUCKET), scratch_path(spark, "buckets"))
     asked = all_.where(is_query)
     asked = asked.repartition(max(1, -(-asked.count() // QUERIES)), "vec_id").sortWithinPartitions("dim", "vec_id")
     blocks = write_stage(_blocks(asked, QUERIES), scratch_path(spark, "queries")).select(F.col("block").alias("qblock"), "dim", F.col("ids").alias("qids"), F.col("vectors").alias("qvectors"))
-    numbers = [(r[0], r[1]) for r in buckets.select("block", "dim").orderBy("block").toLocalIterator()]  # one row a bucket
-    head: dict[int, int] = {}
-    for block, dim in numbers:
-        head.setdefault(dim, block)
-    first = buckets.where(F.col("block").isin(list(head.values()))) if head else buckets
-    begun = _search(blocks.join(first, "dim").select("block", "dim", "ids", "vectors", "qids", "qvectors", F.lit(None).cast("binary").alias("bounds")), k)
+    sides = ["block", "dim", "ids", "vectors", "qids", "qvectors", "bounds"]
+    heads = buckets.groupBy("dim").agg(F.min("block").alias("block"))  # the bucket of the longest vectors
+    first = buckets.join(heads, ["dim", "block"], "left_semi")
+    begun = _search(blocks.join(first, "dim").withColumn("bounds", F.lit(None).cast("binary")).select(sides), k)
     begun = write_stage(begun, scratch_path(spark, "begun"))
     least = _ranked(begun, k).where(F.col("rank") == k).select("query_id", F.col("score").alias("bound"))
 
-    def bounds(batches):  # the bounds of a block's queries, in the order of the block
+    def bounds(batches):  # the bounds of a block's queries, in its order, and the least norm that can reach one
         for b in batches:
             for r in b.to_pylist():
                 got = {x["query_id"]: float(x["bound"]) for x in r["least"] or ()}
-                ids = np.frombuffer(r["qids"], np.int64).tolist()
+                ids = np.frombuffer(r["qids"], np.int64)
+                bound = np.array([got.get(i, -np.inf) for i in ids.tolist()])
+                size = np.linalg.norm(np.frombuffer(r["qvectors"], np.int64).reshape(len(ids), r["dim"]).astype(np.float64), axis=1)
+                reach = np.where(bound > 0, bound / np.maximum(size, 1e-300), 0).min(initial=np.inf)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([r["qblock"]], pa.int64()), pa.array([r["dim"]], pa.int32()), pa.array([r["qids"]], pa.binary()), pa.array([r["qvectors"]], pa.binary()),
-                     pa.array([np.array([got.get(i, -np.inf) for i in ids]).tobytes()], pa.binary())], ["qblock", "dim", "qids", "qvectors", "bounds"])
+                    [pa.array([r["qblock"]], pa.int64()), pa.array([r["dim"]], pa.int32()), pa.array([reach * (1 - 1e-9)], pa.float64()), pa.array([bound.tobytes()], pa.binary())],
+                    ["qblock", "dim", "reach", "bounds"])
 
     member = blocks.select("qblock", F.col("qids")).mapInArrow(_members, "qblock long, query_id long")
     per = member.join(least, "query_id").groupBy("qblock").agg(F.collect_list(F.struct("query_id", "bound")).alias("least"))  # QUERIES at most
-    bounded = blocks.join(per, "qblock", "left").mapInArrow(bounds, "qblock long, dim int, qids binary, qvectors binary, bounds binary")
-    rest = buckets.where(~F.col("block").isin(list(head.values()))) if head else buckets.where("false")
-    others = [b for b, _ in numbers if b not in set(head.values())]
-    grid = bounded.withColumn("block", F.explode(F.lit(others or [-1]).cast("array<long>")))
-    found = begun.unionByName(_search(rest.join(grid, ["block", "dim"]).select("block", "dim", "ids", "vectors", "qids", "qvectors", "bounds"), k))
+    bounded = blocks.join(per, "qblock", "left").mapInArrow(bounds, "qblock long, dim int, reach double, bounds binary")
+    bounded = write_stage(bounded, scratch_path(spark, "bounds"))
+    # a block meets the buckets whose longest vector reaches its least bound: found by steps of the norm, before any vector moves
+    steps = F.explode(F.sequence(_step(F.col("reach")), F.lit(32 * STEPS)))
+    need = bounded.select("qblock", "dim", "reach", steps.alias("step"))
+    rest = buckets.join(heads, ["dim", "block"], "left_anti")
+    grid = need.join(rest.select("dim", "block", "longest", _step(F.col("longest")).alias("step")), ["dim", "step"]).where("longest >= reach").select("qblock", "block")
+    grid = write_stage(grid, scratch_path(spark, "grid"))
+    pairs = grid.join(blocks.join(bounded.select("qblock", "bounds"), "qblock").drop("dim"), "qblock").join(buckets, "block")
+    found = begun.unionByName(_search(pairs.select(sides), k))
     return _ranked(found, k).select("query_id", "rank", "vec_id", "score")
 
 

@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 
 from tillroll.llm.fmindex import FMIndex
 from tillroll.llm.sift import sift
+from tillroll.llm.split import join_split
 from tillroll.llm.tokens import mix, slices
 from tillroll.llm.words import UNSPACED, Words, ranges, rolled
 from tillroll.sources.stage import scratch_path, write_stage
@@ -176,12 +177,13 @@ def _spread(content: DataFrame, n: int) -> DataFrame:
 def spans(docs: DataFrame, n: int = WINDOW) -> DataFrame:
     """doc_id and late: (window, windows) runs of repeated windows, of the documents that have any."""
     spark = docs.sparkSession
-    light = _light(docs, n)
-    often = light.groupBy("m").agg(F.sum(F.when(F.col("again"), 2).otherwise(1)).alias("w")).where("w > 1").select("m")
-    flagged = write_stage(light.join(often, "m", "left_semi"), scratch_path(spark, "fragments"))
-    first = flagged.groupBy("m", "hash").agg(F.min(F.struct("doc_id", "start")).alias("f"), F.max("again").alias("again"))
-    kinds = first.groupBy("m").agg(F.count("*").alias("kinds"), F.max("again").alias("any"))
-    first = write_stage(first.join(kinds, "m").select("m", "hash", "f.doc_id", "f.start", "again", "kinds"), scratch_path(spark, "first"))
+    stage = lambda df, name: write_stage(df, scratch_path(spark, name))
+    light = stage(_light(docs, n), "light")
+    often = light.groupBy("m").agg(F.sum(F.when(F.col("again"), 2).otherwise(1)).alias("w")).where("w > 1")
+    flagged = stage(join_split(light, stage(often, "often"), "m", "w"), "fragments")
+    first = stage(flagged.groupBy("m", "hash").agg(F.min(F.struct("doc_id", "start")).alias("f"), F.max("again").alias("again")), "instances")
+    kinds = stage(first.groupBy("m").agg(F.count("*").alias("kinds")), "kinds")
+    first = stage(join_split(first, kinds, "m", "kinds").select("m", "hash", "f.doc_id", "f.start", "again", "kinds"), "first")
     wanted = first.where("kinds > 1 or again")
     content = write_stage(_content(docs, wanted.groupBy("doc_id").agg(F.collect_list("start").alias("starts")), n)
                           .join(wanted.select("m", "hash", F.col("kinds").alias("k")), ["m", "hash"]).select("doc_id", "start", "m", "hash", "words", "k"),
@@ -205,7 +207,10 @@ def one_row_per_id(docs: DataFrame) -> DataFrame:
 
 
 def dedup(docs: DataFrame, n: int = WINDOW) -> DataFrame:
-    """doc_id, n_words, n_removed and kept (the words that stay, joined by one space)."""
+    """doc_id, n_words, n_removed and kept (the words that stay, joined by one space). A window has at
+    least ``GRAM`` words."""
+    if n < GRAM:
+        raise ValueError(f"a window of {n} words is shorter than a gram of {GRAM}")
     docs = one_row_per_id(docs)
 
     def run(batches):
