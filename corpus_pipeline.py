@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tillroll.llm import decontaminate, hyperminhash, langid, line_dedup, packing
+from tillroll.llm.components import components
 from tillroll.llm.queries import table, vocabulary
 from tillroll.sources.stage import scratch_path, write_stage
 
@@ -40,11 +41,24 @@ def line_dedupe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedupe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates (five-word shingles, similarity of 0.8)."""
-    gone = hyperminhash.group(docs, k=5, percent=80).where(~F.col("kept")).select("doc_id")
+    """One document of each group of near duplicates, the smallest doc_id. Two documents are linked by
+    what is left of their texts (five-word shingles, similarity of 0.8) or by their texts as read from
+    ``documents`` (two-word shingles, as op10): the stage before has taken the lines that copies share
+    out of all but the first, so what is left of a near copy is often unlike its original. A document
+    that is not in the table, or any if ``sf_dir`` is empty, is judged by what is left alone."""
+    links = _grouped(docs, 5)
+    if sf_dir:
+        read = table(spark, sf_dir, "documents").join(docs.select("doc_id"), "doc_id", "left_semi")
+        links = links.unionByName(_grouped(read, 2))
+    gone = components(links).where("node <> component").select(F.col("node").alias("doc_id"))
     return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
 
 
+def _grouped(docs: DataFrame, k: int) -> DataFrame:
+    """Documents (a) with the first of their group (b), where that is another."""
+    return hyperminhash.group(docs, k=k, percent=80).where(~F.col("kept")).select(F.col("doc_id").alias("a"), F.col("component_id").alias("b"))
+
+
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no window of ten benchmark words and no whole item of fewer. Exempt are
     only items of one to three words that are common in these documents (single numbers, say)."""
