@@ -96,9 +96,9 @@ def _filter(hashes: DataFrame):
 
 def _passing(bits: np.ndarray, w: Words, m: int) -> tuple[np.ndarray, np.ndarray]:
     """Places of the shingles of ``m`` words that may be in the filter and lie in one text, and their hashes."""
-    h = rolled(w.hash, m)
+    h, mask = rolled(w.hash, m), np.uint64(64 * len(bits) - 1)
     ok = np.ones(len(h), bool)
-    for p in (h & np.uint64(BITS - 1), h >> np.uint64(32) & np.uint64(BITS - 1)):
+    for p in (h & mask, h >> np.uint64(32) & mask):
         ok &= (bits[(p >> np.uint64(6)).astype(np.int64)] >> (p & np.uint64(63)) & np.uint64(1)).astype(bool)
     at = np.flatnonzero(ok)
     at = at[w.doc[at] == w.doc[at + m - 1]]
