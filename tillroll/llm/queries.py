@@ -177,4 +177,46 @@ ends as (select c.word, c.last as root from chain c join judged j on j.word = c.
 select j.word, form, root, n, n_near, form_n from judged j join ends using (word)
 """
 
-ORACLE_SQL: dict[str, str] = {"op12_trie_pairs": _OP12_SQL, "op13_importance_resampling": _OP13_SQL, "op5_norm_buckets": _OP5_SQL, "op8_line_runs": _OP8_SQL}
+_LOWER_SQL = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+_OP6_SQL = rf"""
+with d as (select doc_id, regexp_extract_all({_LOWER_SQL}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents),
+b as (select distinct item_id::varchar as item, regexp_extract_all({_LOWER_SQL}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from benchmark where item_id is not null),
+wins as (select distinct item, w[i:least(i + 9, len(w))] as win from (select item, w, unnest(range(1, 1 + greatest(len(w) - 9, 1))) as i from b where len(w) > 0)),
+places as (select doc_id, m, i, w[i:i + m - 1] as win from (select doc_id, w, m, unnest(range(1, len(w) - m + 2)) as i from d, (select distinct len(win) as m from wins) where len(w) >= m)),
+hits as (select doc_id, i, m, item from places join wins using (win)),
+covered as (select doc_id, count(distinct p) as n_hit from (select doc_id, unnest(range(i, i + m)) as p from hits) group by doc_id),
+found as (select doc_id, count(*) as n_items, string_agg(item, ',' order by item) as items from (select distinct doc_id, item from hits) group by doc_id)
+select d.doc_id, len(w) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items, sha256(coalesce(items, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from d left join covered using (doc_id) left join found using (doc_id)
+"""
+
+_OP7_SQL = r"""
+with d as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
+wins as (select doc_id, i, w[i:i + 19] as win from (select doc_id, w, unnest(range(1, len(w) - 18)) as i from d where len(w) >= 20)),
+again as (select doc_id, i from (select doc_id, i, row_number() over (partition by win order by doc_id, i) as nth from wins) where nth > 1),
+gone as (select distinct doc_id, unnest(range(i, i + 20)) as p from again),
+words as (select doc_id, unnest(w) as word, unnest(range(1, 1 + len(w))) as p from d),
+kept as (select doc_id, count(*) as n_kept, string_agg(word, ' ' order by p) as text from words anti join gone using (doc_id, p) group by doc_id)
+select d.doc_id, len(w) as n_words, len(w) - coalesce(n_kept, 0) as n_removed, sha256(coalesce(k.text, '')) as kept_sha256 from d left join kept k using (doc_id)
+"""
+
+
+def _jaccard_sql(k: int, percent: int, more: str = "") -> str:
+    """Components of documents by the similarity of their sets of ``k``-word shingles."""
+    return rf"""
+with recursive d as (select doc_id, regexp_extract_all({_LOWER_SQL}, '[^\x20\x09-\x0D]+') as w from documents),
+sets as (select distinct doc_id, array_to_string(w[i:i + {k - 1}], ' ') as x from (select doc_id, w, unnest(range(1, 1 + greatest(len(w) - {k - 1}, 1))) as i from d where len(w) > 0)),
+sizes as (select doc_id, count(*) as n from sets group by doc_id),
+pairs as (select a.doc_id as a, b.doc_id as b, count(*) as common from sets a join sets b on a.x = b.x and a.doc_id <> b.doc_id group by all),
+links as (select a, b from pairs join sizes s on s.doc_id = a join sizes t on t.doc_id = b where 100 * common >= {percent} * (s.n + t.n - common)),
+reach(a, b) as (select doc_id, doc_id from d union select r.a, l.b from reach r join links l on l.a = r.b),
+least as (select a as doc_id, min(b) as component_id from reach group by a)
+select doc_id, coalesce(n, 0) as n_shingles, component_id{more} from least left join sizes using (doc_id)
+"""
+
+
+ORACLE_SQL: dict[str, str] = {
+    "op5_norm_buckets": _OP5_SQL, "op6_prefix_filtered_join": _OP6_SQL, "op7_fm_index": _OP7_SQL, "op8_line_runs": _OP8_SQL,
+    "op10_hyperminhash": _jaccard_sql(2, 80, ", component_id = doc_id as kept"), "op11_set_relations": _jaccard_sql(3, 90),
+    "op12_trie_pairs": _OP12_SQL, "op13_importance_resampling": _OP13_SQL}
