@@ -47,6 +47,8 @@ MARGIN = 0.2
 GROUP = 500
 #: Texts on each side of a block of the second comparison.
 BLOCK = 500
+#: Bytes of text (unless one text has more) and sets that a task works on at once; its arrays take about 40 and 20,000 bytes for each.
+SLICE, SETS = 1_000_000, 1000
 _RNG = np.random.default_rng(5)
 _BORROW = _RNG.integers(0, REGISTERS, (64, REGISTERS))
 _BAND = _RNG.integers(1, 2**63, (BANDS, ROWS + 1), np.uint64) * np.uint64(2) + np.uint64(1)
@@ -111,13 +113,13 @@ def sign(docs: DataFrame, k: int) -> DataFrame:
     """doc_id, n (set size), s1, s2 (set identity) and registers (null if the set is empty)."""
 
     def run(batches):
-        for part in slices(batches, limit=4_000_000):
+        for part in slices(batches, limit=SLICE):
             sets = shingle_sets(part.column(1), k)
             some = [i for i, s in enumerate(sets) if len(s)]
-            regs = registers([sets[i] for i in some]) if some else np.zeros((0, REGISTERS), np.uint16)
             rows = [None] * len(sets)
-            for i, r in zip(some, regs):
-                rows[i] = r.tobytes()
+            for j in range(0, len(some), SETS):
+                for i, r in zip(some[j:j + SETS], registers([sets[i] for i in some[j:j + SETS]])):
+                    rows[i] = r.tobytes()
             ids = [[int(mix(s ^ np.uint64(x)).sum(dtype=np.uint64).astype(np.int64)) for s in sets] for x in (3, 0x1234567)]
             yield pa.RecordBatch.from_arrays(
                 [part.column(0), pa.array([len(s) for s in sets], pa.int64()), *(pa.array(x, pa.int64()) for x in ids), pa.array(rows, pa.binary())],
@@ -163,7 +165,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, k: int) -> DataFrame:
 
     def run(batches):
         head, own = None, np.zeros(0, np.uint64)
-        for p in slices(batches, limit=4_000_000):
+        for p in slices(batches, limit=SLICE):
             sets, out = shingle_sets(p.column(4), k), []
             for a, member, b, s in zip(p.column(0).to_pylist(), p.column(2).to_pylist(), p.column(3).to_pylist(), sets):
                 if not member:
@@ -198,7 +200,7 @@ def _between(pairs: DataFrame, labels: DataFrame, docs: DataFrame, k: int, perce
 
     def run(batches):
         block, ids, comps, sets, known = None, [], [], [], None
-        for p in slices(batches, limit=4_000_000):
+        for p in slices(batches, limit=SLICE):
             at = list(zip(*(p.column(i).to_pylist() for i in range(3))))
             role, doc, comp = (p.column(i).to_numpy() for i in (3, 4, 5))
             own, links = shingle_sets(p.column(6), k), []
