@@ -33,16 +33,25 @@ PAYMENT_TYPES = {
 SUMMARY_COLS = ["_np", *[f"_n_{s}" for s in PAYMENT_TYPES.values()], "_types"]
 
 
+def payments_per_order(payments: DataFrame) -> DataFrame:
+    """C2 and :func:`payment_summary` by one grouping of the payments."""
+    return payments.groupBy("order_id").agg(F.round(F.sum("payment_value"), 0).alias("paymenttotal"), *_summary())
+
+
 def payment_summary(payments: DataFrame) -> DataFrame:
     """One row per order: ``_np`` payment rows, ``_n_<type>`` rows per counted type
     (case-insensitive) and ``_types``, the different types (no more than there are payment types)."""
+    return payments.groupBy("order_id").agg(*_summary())
+
+
+def _summary() -> list[Column]:
     ptype = F.lower(F.col("payment_type"))
-    return payments.groupBy("order_id").agg(
+    return [
         F.count(F.lit(1)).cast("bigint").alias("_np"),
         *[F.sum(F.when(ptype == F.lit(t), 1).otherwise(0)).cast("bigint").alias(f"_n_{s}")
           for t, s in PAYMENT_TYPES.items()],
         F.array_sort(F.collect_set(ptype)).alias("_types"),
-    )
+    ]
 
 
 def paid_lines(fact: DataFrame, payments: DataFrame | None, dedupe: bool = False, keep: Keep | None = None) -> DataFrame:

@@ -23,7 +23,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tillroll.operators.perkey import Keep, dealt_by, join_facts, rows_with, scratch
+from tillroll.operators.perkey import Keep, dealt_by, join_facts, likely_with, rows_with, scratch
 from tillroll.sources.tables import CUSTOMER_COLS, ORDER_COLS, STORE_COLS
 
 ENRICH_COLS = ["category", "avg_rating", "seller_city", "seller_state", "region",
@@ -42,6 +42,35 @@ def cust_order_totals(orders: DataFrame) -> DataFrame:
     return orders.groupBy("customer_id", "order_id").agg(_round0(F.sum("total_amount")).alias("totalamount"))
 
 
+#: Whether an order's lines differ in store, bill date or customer: of no other order can C8–C11, D3 and D6 change a line.
+MIXED = "_mixed"
+
+
+def order_totals(orders: DataFrame) -> DataFrame:
+    """C1 with the least and largest store and bill date of its lines: all that later steps ask of an order's lines, so
+    that the lines are grouped once."""
+    store, ts = F.col("delivered_storeid"), F.col("bill_date_timestamp")
+    return orders.groupBy("customer_id", "order_id").agg(
+        _round0(F.sum("total_amount")).alias("totalamount"), F.min(store).alias("_min_store"), F.max(store).alias("_max_store"),
+        F.min(ts).alias("_min_date"), F.max(ts).alias("_max_date"))
+
+
+def _differ(lo: str, hi: str) -> Column:
+    return F.coalesce(F.min(lo) < F.max(hi), F.lit(False))
+
+
+def several_stores(totals: DataFrame) -> DataFrame:
+    """:func:`orders_with_spread` of the stores, from :func:`order_totals`."""
+    return totals.groupBy("order_id").agg(_differ("_min_store", "_max_store").alias("_s")).where("_s").select("order_id")
+
+
+def mixed_orders(totals: DataFrame) -> DataFrame:
+    """order_id of each order that is ``MIXED``, from :func:`order_totals`."""
+    return totals.groupBy("order_id").agg(
+        (_differ("_min_store", "_max_store") | _differ("_min_date", "_max_date") | _differ("customer_id", "customer_id")).alias("_s")
+    ).where("_s").select("order_id")
+
+
 def order_payment_totals(payments: DataFrame) -> DataFrame:
     """C2 — (order_id, paymenttotal), the payments in whole units."""
     return payments.groupBy("order_id").agg(_round0(F.sum("payment_value")).alias("paymenttotal"))
@@ -120,29 +149,34 @@ def _apply_plan(orders: DataFrame, plan: DataFrame) -> DataFrame:
 
 
 def reconciled_integrated(orders: DataFrame, matched: DataFrame, remaining: DataFrame, reviews: DataFrame,
-                          products: DataFrame, stores: DataFrame, customers: DataFrame) -> DataFrame:
+                          products: DataFrame, stores: DataFrame, customers: DataFrame,
+                          order_facts: list[DataFrame] | None = None) -> DataFrame:
     """C6 then C7 in one plan: the rows of ``integrated_orders(reconciled_orders(…), …)``, each once
     with ``COPIES`` (:func:`copies` makes them; C11 removes duplicates, so it never needs to).
 
     The mean review (per order) and the customer row (per customer) are joined to the
     per-(customer, order) plan of C6 — a table of order size — so the order lines pick them up
-    in C6's one join; only the product and store joins remain at line grain. Inner-join
+    in C6's one join; only the product and store joins remain at line grain. They come first, while the lines
+    are narrow, and C6's join leaves an order's lines side by side, which later steps group and compress by. Inner-join
     semantics are kept: a (customer, order) without a review or customer row drops its lines,
     and a customer listed twice doubles them, as in the reference.
+
+    Each of ``order_facts`` (at most one row per ``order_id``) is joined to the plan as well (left) and its
+    columns come with every line.
     """
+    order_facts = order_facts or []
+    extra = [c for df in order_facts for c in df.columns if c != "order_id"]
     plan = (
-        _reconcile_plan(matched, remaining)
-        .join(avg_rating_per_order(reviews), "order_id")
+        reduce(lambda a, b: a.join(b, "order_id", "left"), order_facts,
+               _reconcile_plan(matched, remaining).join(avg_rating_per_order(reviews), "order_id"))
         .join(customers.select(*CUSTOMER_COLS), F.col("customer_id") == F.col("custid"))
         .drop("custid")
     )
     prod = products.select("product_id", "category")
     store = stores.select(*STORE_COLS).distinct()
     return (
-        _apply_plan(orders, plan)
-        .join(prod, "product_id")
-        .join(store, F.col("delivered_storeid") == F.col("storeid"))
-        .select(*FACT_COLS, COPIES)
+        _apply_plan(orders.join(prod, "product_id").join(store, F.col("delivered_storeid") == F.col("storeid")), plan)
+        .select(*FACT_COLS, COPIES, *extra)
     )
 
 
@@ -184,15 +218,22 @@ def orders_with_spread(df: DataFrame, column: str) -> DataFrame:
     )
 
 
-def multi_store_lines(orders: DataFrame, keep: Keep | None = None) -> DataFrame:
+def multi_store_lines(orders: DataFrame, keep: Keep | None = None, spread: DataFrame | None = None) -> DataFrame:
     """C8 — distinct order lines whose order has a line at another store, with the unit amount
     ``net_amount = total_amount / quantity`` and ``net_qty = quantity / quantity`` (integer).
 
     The reference self-joins orders on ``a.order_id = b.order_id AND a.store <> b.store``
     (cost Σ lines² per order). A line qualifies iff its store is not null and its order has two
-    distinct non-null stores, which is a semi-join against :func:`orders_with_spread`.
+    distinct non-null stores, which is a semi-join against :func:`orders_with_spread` (``spread``, where it is
+    known already).
     """
-    lines = (rows_with(orders, orders_with_spread(orders, "delivered_storeid"), ["order_id"], "orders_of_several_stores", keep)
+    if spread is None:
+        spread = (keep or scratch)("orders_of_several_stores", orders_with_spread(orders, "delivered_storeid"))
+    else:
+        spread = (keep or scratch)("orders_of_several_stores", spread)
+        orders = likely_with(orders, spread, "order_id")
+    # one row an order, so an inner join; a semi-join would be moved below the filter
+    lines = (orders.join(spread, "order_id")
              .where(F.col("delivered_storeid").isNotNull())
              .select(*ORDER_COLS))
     return (
@@ -212,18 +253,19 @@ def _counted(df: DataFrame, cols: list[str], name: str) -> DataFrame:
 
 
 def multi_store_insert(multi: DataFrame, products: DataFrame, payments: DataFrame, customers: DataFrame,
-                       reviews: DataFrame, stores: DataFrame, keep: Keep | None = None) -> DataFrame:
+                       reviews: DataFrame, stores: DataFrame, keep: Keep | None = None, payment_counts: DataFrame | None = None) -> DataFrame:
     """C9's inserted rows: C8 joined (inner) with products, payments, customers, reviews and
     stores — none deduplicated — then grouped by all 21 columns, summing net_qty and net_amount.
 
     Each C8 row × each distinct combination of dimension attributes is one group, whose size is
     the product of the matching row counts on every side. We join each side pre-aggregated to
     (key, attributes, count) and multiply, which gives the same sums without materialising the
-    fan-out. ``avg_rating`` here is the raw score of a review row, as in the reference.
+    fan-out. ``avg_rating`` here is the raw score of a review row, as in the reference. ``payment_counts``, if
+    given, is a written table of order_id and its payments ``_n2``.
     """
     prod = _counted(products, ["product_id", "category"], "_n1")
     # the other sides are grouped by more than their join key, so they are shuffled anew for the join
-    pay = (keep or scratch)("payments_per_order", _counted(payments, ["order_id"], "_n2"))
+    pay = (keep or scratch)("payments_per_order", _counted(payments, ["order_id"], "_n2")) if payment_counts is None else payment_counts
     cust = _counted(customers, CUSTOMER_COLS, "_n3")
     rev = _counted(reviews, ["order_id", "customer_satisfaction_score"], "_n4")
     store = _counted(stores, STORE_COLS, "_n5")
@@ -285,6 +327,21 @@ def finalised_records(appended: DataFrame, add_records: DataFrame, integrated: D
             .select(*FACT_COLS))
 
 
+def unrepeated(lines: DataFrame, columns: list[str], keep: Keep | None = None) -> DataFrame:
+    """``lines`` with each different value of ``columns`` once (its other columns follow from these).
+
+    Digests first, as in D1: 8 bytes a line are shuffled to find those that repeat, and only lines with one of these are
+    compared whole; the others stay where they are."""
+    digest = F.xxhash64(*columns)
+    repeated = (keep or scratch)("repeated_lines", lines.select(digest.alias("_d")).groupBy("_d").agg(F.count(F.lit(1)).alias("_n"))
+                                 .where(F.col("_n") > 1).select("_d"))
+    if not repeated.head(1):
+        return lines
+    told = lines.withColumn("_d", digest).join(repeated.withColumn("_again", F.lit(True)), "_d", "left")
+    again = dealt_by(told.where(F.col("_again")).select(*lines.columns), columns).dropDuplicates(columns)
+    return told.where(F.col("_again").isNull()).select(*lines.columns).unionByName(again)
+
+
 # ---- D3 / D6 / C12: per-order repairs ----------------------------------------------------------
 
 def _per_order(df: DataFrame, aggs: dict[str, Column]) -> DataFrame:
@@ -370,6 +427,12 @@ def clean_fact(finalised: DataFrame, order_facts: DataFrame | None = None, keep_
         *[fixed[c].alias(c) if c in fixed else F.col(c) for c in FACT_COLS], *extra)
 
 
+def clean_as_is(lines: DataFrame, order_facts: list[str]) -> DataFrame:
+    """What :func:`clean_fact` makes of lines whose orders have one store and one date: the same, with its audit columns and
+    the columns ``order_facts`` that they carry."""
+    return lines.select(*FACT_COLS, *order_facts, F.col("bill_date_timestamp").alias(BILL_DATE_BEFORE_FIX), F.lit(False).alias(STORE_FIXED))
+
+
 #: Partition column of the stored fact: 100 * year + month of the bill date (null: no date).
 BILL_MONTH = "bill_month"
 

@@ -129,7 +129,7 @@ class StageStore:
         return json.loads(read_text(self.spark, f"{self.path(name)}.seen.json"))
 
     def stage(self, name: str, build, lookup_by: str | None = None, partition_by: str | None = None,
-              observe: dict[str, str] | None = None) -> DataFrame:
+              observe: dict[str, str] | None = None, packed: bool = False) -> DataFrame:
         """Return stage ``name``; build and write it (``build()`` → DataFrame) on first use.
 
         ``lookup_by`` names a column that is looked up by value: its row groups get Bloom filters, so
@@ -137,7 +137,8 @@ class StageStore:
         rows come out of a hash shuffle). ``partition_by`` names a column of few values: a filter on it
         reads only the folders of its values. ``observe`` names aggregates (SQL) over the rows that are gathered
         by the write itself (:meth:`seen`): they stand right below it, in the job's last stage, and of a
-        partition written twice, by a retry or a speculative task, Spark counts one.
+        partition written twice, by a retry or a speculative task, Spark counts one. ``packed`` is for tables of line size:
+        they are written with zstd. Smaller ones are not, since Spark judges what it may broadcast by the files' size.
 
         Stages are plain parquet, not bucketed tables: a bucket holds every row of its keys, so
         one hot key (an order or customer with a third of the rows) would sit in one task in
@@ -153,6 +154,8 @@ class StageStore:
                 watch = Observation(name) if observe else None
                 watched = df.observe(watch, *[F.expr(c).alias(k) for k, c in observe.items()]) if observe else df
                 writer = watched.write.mode("overwrite")
+                if packed:
+                    writer = writer.option("compression", "zstd")
                 if lookup_by:
                     writer = (writer.option(f"parquet.bloom.filter.enabled#{lookup_by}", "true")
                               .option("parquet.bloom.filter.adaptive.enabled", "true"))
