@@ -114,11 +114,11 @@ _PLANS: dict[str, Callable[[CleaningBatch], DataFrame]] = {
     "exact_duplicates": lambda p: quality.exact_duplicates(p.finalised_records(), p.keeper("exact_duplicates")),
     "exact_duplicates_appended": lambda p: quality.exact_duplicates(p.append_multi_store(), p.keeper("exact_duplicates_appended")),
     "multi_store_orders": lambda p: quality.multi_store_orders(p.finalised_records()),
-    "fix_store_to_min": lambda p: reconcile.fix_store_to_min(p.finalised_records(), p.keeper("fix_store_to_min")),
+    "fix_store_to_min": lambda p: p.stores_fixed_of_finalised(),
     "cumulative_lines": lambda p: quality.cumulative_lines(p.store_fixed(), keep=p.keeper("cumulative_lines")),
     "cumulative_lines_orders": lambda p: quality.cumulative_lines(p.t.orders, keep=p.keeper("cumulative_lines_orders", ())),
     "multi_date_orders": lambda p: quality.multi_date_orders(p.store_fixed(), p.keeper("multi_date_orders")),
-    "fix_date_to_latest": lambda p: quality.fix_date_to_latest(p.store_fixed(), p.keeper("fix_date_to_latest")),
+    "fix_date_to_latest": lambda p: p.dates_fixed(),
     "out_of_period": lambda p: quality.out_of_period(p.fact_by_month(), *PERIOD),
     "multi_customer_orders": lambda p: quality.multi_customer_orders(p.clean_fact()),
     # the check of multi_customer_orders on raw lines and a column that does vary within orders
