@@ -201,7 +201,8 @@ def orders_360(fact: DataFrame, payments: DataFrame | None, dedupe_payments: boo
     in :func:`paid_lines`."""
     lines = paid_lines(fact, payments, dedupe_payments)
     ts = F.col("bill_date_timestamp")
-    agg = lines.groupBy("order_id", "customer_id", "channel", "bill_date_timestamp").agg(
+    keys = ["order_id", "customer_id", "channel", "bill_date_timestamp"]
+    per_order = lines.groupBy(*keys).agg(
         F.sum(_wn(F.when(F.col("product_id").isNotNull(), F.lit(1)).otherwise(0))).alias("total_products_in_order"),
         F.sum(_wn(F.col("quantity"))).alias("total_quantity_in_order"),
         F.sum(_w(F.col("total_amount"))).alias("total_order_value"),
@@ -210,11 +211,17 @@ def orders_360(fact: DataFrame, payments: DataFrame | None, dedupe_payments: boo
         _kinds("category", approx).alias("distinct_categories_in_order"),
         _kinds("seller_city", approx).alias("distinct_seller_cities"),
         _kinds("delivered_storeid", approx).alias("distinct_delivered_stores"),
-        _distinct("product_id", approx).alias("distinct_products_in_order"),
+        *([_distinct("product_id", approx).alias("distinct_products_in_order")] if approx else []),
         F.max(F.size("_types")).cast("bigint").alias("different_payment_types_used"),
         *_payment_counters(per_order=dedupe_payments),
     )
-    return agg.select(
+    if not approx:
+        # apart from the rest: one aggregate of both would shuffle the sums and sets once a line, not once an order.
+        # Put together by a union, not by a join on nullable keys
+        products = lines.groupBy(*keys).agg(F.countDistinct("product_id").alias("distinct_products_in_order"))
+        both = per_order.unionByName(products, allowMissingColumns=True)
+        per_order = both.groupBy(*keys).agg(*[F.max(c).alias(c) for c in both.columns if c not in keys])
+    return per_order.select(
         "order_id", "customer_id", "channel", "bill_date_timestamp",
         month_name(ts).alias("order_month"),
         F.quarter(ts).alias("order_quarter"),
