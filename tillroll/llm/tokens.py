@@ -10,6 +10,7 @@ libraries might differ) and texts with an added token's string are encoded whole
 
 from __future__ import annotations
 
+import ctypes
 import os
 import re
 
@@ -260,6 +261,7 @@ class CachedEncoder:
 
 
 _HELD: dict[tuple[str, str, bool], CachedEncoder] = {}
+_LIBC = ctypes.CDLL(None)
 
 
 def encoder(path: str, kind: str, added: bool = False) -> CachedEncoder:
@@ -291,6 +293,15 @@ def slices(batches, column: str = "text", limit: int = 4_000_000):
             to = max(at + 1, int(np.searchsorted(ends, base + limit, "right")))
             yield batch.slice(at, to - at)
             at = to
+        give_back()
+
+
+def give_back() -> None:
+    """Return freed memory to the system: the workers of an executor outlive their tasks, and what their allocators
+    hold on to would count beside the memory of the next stage."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(_LIBC, "malloc_trim"):
+        _LIBC.malloc_trim(0)
 
 
 def list_array(values: np.ndarray, bounds: np.ndarray, kind: pa.DataType) -> pa.ListArray:
