@@ -102,9 +102,13 @@ def orders_not_matching(cust_totals: DataFrame, pay_totals: DataFrame) -> DataFr
     return pay_totals.join(present, ["order_id", "paymenttotal"], "left_anti")
 
 
-def remaining_orders(not_matching: DataFrame, orders: DataFrame) -> DataFrame:
+def remaining_orders(not_matching: DataFrame, orders: DataFrame, keep: Keep | None = None) -> DataFrame:
     """C5 — (customer_id, order_id, paymenttotal) where one single line's rounded amount equals the
-    payment total (one row per such line)."""
+    payment total (one row per such line). With ``keep`` C4 is written, and of the lines only those likely to be in its orders
+    are shuffled."""
+    if keep:
+        not_matching = keep("orders_not_matching", not_matching)
+        orders = likely_with(orders, not_matching, "order_id")
     lines = orders.select("customer_id", "order_id", _round0(F.col("total_amount")).alias("paymenttotal"))
     return lines.join(not_matching, ["order_id", "paymenttotal"]).select("customer_id", "order_id", "paymenttotal")
 
@@ -327,6 +331,32 @@ def finalised_records(appended: DataFrame, add_records: DataFrame, integrated: D
             .select(*FACT_COLS))
 
 
+def finalised_with_insert(lines: DataFrame, insert: DataFrame, keep: Keep | None = None) -> DataFrame:
+    """C11 from C7 (``lines``) and C9's insert: ``finalised_records(append_multi_store(lines, insert),
+    multi_store_records(insert), lines)``.
+
+    A group of C10 with one row of the insert has that very row, so its row stands for both sides and the row of the
+    insert need not come along: it is on the right side if its order is in C7, else on the left. Only rows of larger groups are
+    looked up, by a digest of the group's columns (a few others that share one change nothing).
+    """
+    keep = keep or scratch
+    keys = [c for c in FACT_COLS if c not in ("quantity", "total_amount")]
+    digest = F.xxhash64(*keys).alias("_d")
+    groups = keep("insert_groups", insert.groupBy(*keys).agg(
+        F.sum("quantity").cast("bigint").alias("quantity"), F.sum("total_amount").cast(SUM_TYPE).alias("total_amount"),
+        F.count(F.lit(1)).alias("_n")))
+    several = keep("insert_groups_of_several", groups.where(F.col("_n") > 1).select(digest).distinct())
+    ids = lines.select("order_id").distinct().withColumn("_right", F.lit(1))
+    told = join_facts(groups, ids, ["order_id"], "integrated_order_ids", keep=keep).where((F.col("_n") == 1) | F.col("_right").isNotNull())
+    of_several = insert.select(*FACT_COLS, digest).join(several, "_d", "left_semi")
+    tagged = (lines.select(*FACT_COLS, F.lit(0).alias("_right"))
+              .unionByName(told.select(*FACT_COLS, F.coalesce("_right", F.lit(0)).alias("_right")))
+              .unionByName(of_several.select(*FACT_COLS, F.lit(0).alias("_right"))))
+    return (tagged.groupBy(*FACT_COLS).agg(F.max("_right").alias("_right"))
+            .where(F.col("_right") == 0)
+            .select(*FACT_COLS))
+
+
 def unrepeated(lines: DataFrame, columns: list[str], keep: Keep | None = None) -> DataFrame:
     """``lines`` with each different value of ``columns`` once (its other columns follow from these).
 

@@ -111,7 +111,7 @@ class CleaningBatch:
         return reconcile.orders_not_matching(self.cust_order_totals(), self.order_payment_totals())
 
     def remaining_orders(self) -> DataFrame:
-        return reconcile.remaining_orders(self.orders_not_matching(), self.t.orders)
+        return reconcile.remaining_orders(self.orders_not_matching(), self.t.orders, self.keeper("remaining_orders", ()))
 
     def reconciled_orders(self) -> DataFrame:
         # C7's stage computes C6 and C7 together (reconcile.reconciled_integrated)
@@ -162,9 +162,7 @@ class CleaningBatch:
         """C11's other rows: those of ``MIXED`` orders, and of C9's insert."""
         def build() -> DataFrame:
             lines, insert = side_by_side(self.spark, self.integrated_lines, self.multi_store_insert)
-            lines = lines.where(reconcile.MIXED)
-            return reconcile.finalised_records(reconcile.append_multi_store(lines, insert), self.multi_store_records(), lines,
-                                               self.keeper("finalised_records"))
+            return reconcile.finalised_with_insert(lines.where(reconcile.MIXED), insert, self.keeper("finalised_records"))
 
         return self._stage("finalised_mixed", build, packed=True)
 

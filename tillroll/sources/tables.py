@@ -27,7 +27,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, fields
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 ORDER_COLS = [
@@ -174,11 +174,10 @@ def fixture_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = _tpch(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_shipdate")
     od = _tpch(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority")
-    # Lowest supplier of each order: the store that normally delivers the whole order.
-    s0 = li.groupBy("l_orderkey").agg(F.min("l_suppkey").alias("s0"))
     lines = (
         li.join(od, li.l_orderkey == od.o_orderkey)
-        .join(s0, "l_orderkey")
+        # Lowest supplier of each order: the store that normally delivers the whole order. The join has the order's lines together.
+        .withColumn("s0", F.min("l_suppkey").over(Window.partitionBy("l_orderkey")))
         .withColumn("qty", F.col("l_quantity").cast("int"))
         .withColumn("ext_c", F.round(F.col("l_extendedprice") * 100).cast("bigint"))
         .withColumn("pct", F.round(F.col("l_discount") * 100).cast("int"))
