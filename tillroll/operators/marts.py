@@ -129,7 +129,7 @@ def customer_360(customers: DataFrame, fact: DataFrame, payments: DataFrame | No
                  approx: bool = False) -> DataFrame:
     """M1 — one row per customer with at least one paid fact line.
 
-    The fact lines are aggregated per ``customer_id`` (the distinct products apart from the rest, so
+    The fact lines are aggregated per ``customer_id`` (each distinct count apart from the sums, so
     that no line is copied) and the customer attributes are joined to the much smaller per-customer
     rows afterwards. A customer listed n times in the customer table multiplies the additive
     metrics by n, as the reference's inner join does. ``payments`` as in :func:`paid_lines`.
@@ -143,16 +143,10 @@ def customer_360(customers: DataFrame, fact: DataFrame, payments: DataFrame | No
         F.sum(_wn(F.when(is_weekend(ts), one).otherwise(0))).alias("weekend_transactions"),
         F.sum(_wn(F.when(~is_weekend(ts), one).otherwise(0))).alias("weekday_transactions"),
         F.sum(_wn(F.when(F.col("order_id").isNotNull(), one).otherwise(0))).alias("total_transactions"),
-        _distinct("order_id", approx).alias("total_distinct_transactions"),
         F.sum(_w(F.col("total_amount"))).alias("total_revenue"),
         F.sum(_wn(F.col("quantity"))).alias("total_quantity_purchased"),
         F.sum(_w(F.col("discount"))).alias("total_discount_taken"),
         F.sum(_w(_profit_line())).alias("profit"),
-        _kinds("category", approx).alias("distinct_categories_purchased"),
-        _kinds("delivered_storeid", approx).alias("distinct_stores_purchased"),
-        _kinds("seller_city", approx).alias("distinct_cities_purchased"),
-        # orders' sets of payment types: few differ, whatever the number of orders
-        F.size(F.array_distinct(F.flatten(F.collect_set("_types")))).cast("bigint").alias("different_payment_types_used"),
         *([] if dedupe_payments else _payment_counters()),
     )
     if dedupe_payments:
@@ -166,9 +160,14 @@ def customer_360(customers: DataFrame, fact: DataFrame, payments: DataFrame | No
     nc = F.col("_nc")
     ncd = weight(nc)
     last = _global_last_date(fact)
-    out = (cust.join(per_cust, F.col("custid") == F.col("customer_id"))
-           .drop("customer_id")
-           .join(_distinct_per_key(lines, "customer_id", "product_id", "distinct_items_purchased", approx), F.col("custid") == F.col("_key")))
+    out = cust.join(per_cust, F.col("custid") == F.col("customer_id")).drop("customer_id")
+    # each count apart: sets in the sums' rows outgrow a task's memory, and one distinct count shuffles these rows twice
+    types = lines.select("customer_id", F.explode_outer("_types").alias("_type"))
+    for rows, column, name, estimate in (
+            (lines, "order_id", "total_distinct_transactions", approx), (lines, "product_id", "distinct_items_purchased", approx),
+            (lines, "category", "distinct_categories_purchased", approx), (lines, "delivered_storeid", "distinct_stores_purchased", approx),
+            (lines, "seller_city", "distinct_cities_purchased", approx), (types, "_type", "different_payment_types_used", False)):
+        out = out.join(_distinct_per_key(rows, "customer_id", column, name, estimate), F.col("custid") == F.col("_key")).drop("_key")
 
     def money(c: str) -> Column:
         # per-customer sums fit in decimal(28,8); times decimal(9,0) stays within 38 digits
@@ -245,8 +244,6 @@ def store_360(fact: DataFrame, stores: DataFrame, approx: bool = False) -> DataF
     """
     ts = F.col("bill_date_timestamp")
     per_store = fact.groupBy("delivered_storeid").agg(
-        _distinct("order_id", approx).alias("total_orders_fulfilled"),
-        _kinds("category", approx).alias("distinct_categories_sold"),
         F.sum("quantity").alias("_qty"),
         F.sum("total_amount").alias("_rev"),
         F.sum("discount").alias("_disc"),
@@ -257,7 +254,8 @@ def store_360(fact: DataFrame, stores: DataFrame, approx: bool = False) -> DataF
     dim = stores.groupBy(*STORE_COLS).agg(F.count(F.lit(1)).alias("_ns"))
     n = weight(F.coalesce(F.col("_ns"), F.lit(1)))
     last = _global_last_date(fact)
-    for column, out in (("customer_id", "unique_customers_served"), ("product_id", "distinct_products_sold")):
+    for column, out in (("order_id", "total_orders_fulfilled"), ("customer_id", "unique_customers_served"),
+                        ("product_id", "distinct_products_sold"), ("category", "distinct_categories_sold")):
         counts = _distinct_per_key(fact, "delivered_storeid", column, out, approx)
         per_store = per_store.join(counts, F.col("delivered_storeid").eqNullSafe(F.col("_key"))).drop("_key")
     return (
