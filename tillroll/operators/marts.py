@@ -162,12 +162,14 @@ def customer_360(customers: DataFrame, fact: DataFrame, payments: DataFrame | No
     last = _global_last_date(fact)
     out = cust.join(per_cust, F.col("custid") == F.col("customer_id")).drop("customer_id")
     # each count apart: sets in the sums' rows outgrow a task's memory, and one distinct count shuffles these rows twice
-    types = lines.select("customer_id", F.explode_outer("_types").alias("_type"))
-    for rows, column, name, estimate in (
-            (lines, "order_id", "total_distinct_transactions", approx), (lines, "product_id", "distinct_items_purchased", approx),
-            (lines, "category", "distinct_categories_purchased", approx), (lines, "delivered_storeid", "distinct_stores_purchased", approx),
-            (lines, "seller_city", "distinct_cities_purchased", approx), (types, "_type", "different_payment_types_used", False)):
-        out = out.join(_distinct_per_key(rows, "customer_id", column, name, estimate), F.col("custid") == F.col("_key")).drop("_key")
+    for column, name in (("order_id", "total_distinct_transactions"), ("product_id", "distinct_items_purchased"),
+                         ("category", "distinct_categories_purchased"), ("delivered_storeid", "distinct_stores_purchased"),
+                         ("seller_city", "distinct_cities_purchased")):
+        out = out.join(_distinct_per_key(lines, "customer_id", column, name, approx), F.col("custid") == F.col("_key")).drop("_key")
+    # orders' sets of payment types: few differ, whatever the number of orders
+    types = lines.select(F.col("customer_id").alias("_key"), "_types").distinct().groupBy("_key").agg(
+        F.size(F.array_distinct(F.flatten(F.collect_set("_types")))).cast("bigint").alias("different_payment_types_used"))
+    out = out.join(types, F.col("custid") == F.col("_key")).drop("_key")
 
     def money(c: str) -> Column:
         # per-customer sums fit in decimal(28,8); times decimal(9,0) stays within 38 digits
