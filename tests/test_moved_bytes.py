@@ -81,3 +81,36 @@ def test_remaining_orders_with_few_lines_shuffled(spark, tmp_path):
 
 def test_batch_filters_the_lines_of_c5(batch):
     assert "bitmap" in plan(batch.remaining_orders())
+
+
+def test_set_difference_shuffles_whole_rows_only_where_digests_repeat(spark, tmp_path):
+    """Rows of the insert that share no group and equal no other row stay where they are; the rest as the literal set difference has it."""
+    lines = attributed(spark, [line(o, p, 1, 1, str(o)) for o in range(1, 40) for p in (1, 2)] + [line(None, 1, 1, 1, "1"), line(50, 1, 1, 1, "2")])
+    lines = lines.withColumns({"quantity": F.col("quantity").cast("int"), "total_amount": F.col("total_amount").cast("decimal(18,8)")})
+    insert = attributed(spark, [line(o, 1, 1, 1, str(o)) for o in range(1, 60)] + [
+        line(None, 1, 1, 1, "1"), line(None, 2, 1, 1, "1"), line(50, 1, 1, 1, "0"), line(50, 1, 1, 1, "2"), line(90, 1, 1, 1, "2"), line(90, 1, 1, 1, "0"), line(90, 1, 1, 1, "2")])
+    kept = {}
+
+    def keep(name, df):
+        df.write.parquet(str(tmp_path / name))
+        kept[name] = spark.read.parquet(str(tmp_path / name))
+        return kept[name]
+
+    made = reconcile.finalised_with_insert(lines, insert, keep)
+    was = reconcile.finalised_records(reconcile.append_multi_store(lines, insert), reconcile.multi_store_records(insert), lines)
+    assert rows(made, reconcile.FACT_COLS) == rows(was, reconcile.FACT_COLS) and made.dtypes == was.dtypes
+    wide = [name for name, df in kept.items() if len(df.columns) > 1]
+    assert sum(kept[name].count() for name in wide) <= 4 and kept["insert_orders_outside"].count() == 21
+
+
+def test_c6_leaves_out_lines_before_products_and_stores(spark, batch):
+    t, kept = batch.t, []
+
+    def keep(name, df):
+        kept.append(name)
+        return df
+
+    args = (t.orders, batch.matched_orders(), batch.remaining_orders(), t.reviews, t.products, t.stores, t.customers)
+    made = reconcile.reconciled_integrated(*args, keep=keep)
+    assert kept == ["reconcile_plan"] and "bitmap" in plan(made)
+    assert rows(made) == rows(reconcile.reconciled_integrated(*args))

@@ -45,16 +45,22 @@ def rows_with(rows: DataFrame, facts: DataFrame, keys: list[str], name: str, kee
 FILTER_BITS = 2**27
 
 
-def likely_with(rows: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
-    """The ``rows`` whose ``key`` is in ``wanted``, and a few others (4 % of them at five million wanted keys): a bit of the
-    key's hash is looked up in bitmaps that are broadcast, so that an exact join behind it shuffles few of the rows."""
+def likely_in(rows: DataFrame, wanted: DataFrame, key: str, flag: str = "_likely") -> DataFrame:
+    """``rows`` with a boolean ``flag``: true where ``key`` is in ``wanted``, and for a few others (4 % of them at five million
+    wanted keys): a bit of the key's hash is looked up in bitmaps that are broadcast. Rows of one key get one answer."""
     h = F.pmod(F.xxhash64(key), F.lit(FILTER_BITS))
     bucket, bit = F.bitmap_bucket_number(h), F.bitmap_bit_position(h)
     bits = wanted.select(bucket.alias("_bucket"), bit.alias("_bit")).repartition("_bucket").groupBy("_bucket").agg(F.bitmap_construct_agg("_bit").alias("_bits"))
     byte = F.conv(F.hex(F.substring("_bits", F.floor(bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    return (rows.withColumn("_bucket", bucket).join(F.broadcast(bits), "_bucket")
-            .where(byte.bitwiseAND(F.expr(f"shiftleft(1, cast(bitmap_bit_position(pmod(xxhash64({key}), {FILTER_BITS}L)) % 8 as int))")) != 0)
-            .select(*rows.columns))
+    told = byte.bitwiseAND(F.expr(f"shiftleft(1, cast(bitmap_bit_position(pmod(xxhash64({key}), {FILTER_BITS}L)) % 8 as int))")) != 0
+    return (rows.withColumn("_bucket", bucket).join(F.broadcast(bits), "_bucket", "left")
+            .select(*rows.columns, F.coalesce(told, F.lit(False)).alias(flag)))
+
+
+def likely_with(rows: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
+    """The ``rows`` whose ``key`` is in ``wanted``, and a few others (:func:`likely_in`), so that an exact join behind it
+    shuffles few of the rows."""
+    return likely_in(rows, wanted, key).where("_likely").select(*rows.columns)
 
 
 def dealt_by(rows: DataFrame, columns: list[str]) -> DataFrame:

@@ -23,7 +23,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tillroll.operators.perkey import Keep, dealt_by, join_facts, likely_with, rows_with, scratch
+from tillroll.operators.perkey import Keep, dealt_by, join_facts, likely_in, likely_with, rows_with, scratch
 from tillroll.sources.tables import CUSTOMER_COLS, ORDER_COLS, STORE_COLS
 
 ENRICH_COLS = ["category", "avg_rating", "seller_city", "seller_state", "region",
@@ -154,7 +154,7 @@ def _apply_plan(orders: DataFrame, plan: DataFrame) -> DataFrame:
 
 def reconciled_integrated(orders: DataFrame, matched: DataFrame, remaining: DataFrame, reviews: DataFrame,
                           products: DataFrame, stores: DataFrame, customers: DataFrame,
-                          order_facts: list[DataFrame] | None = None) -> DataFrame:
+                          order_facts: list[DataFrame] | None = None, keep: Keep | None = None) -> DataFrame:
     """C6 then C7 in one plan: the rows of ``integrated_orders(reconciled_orders(…), …)``, each once
     with ``COPIES`` (:func:`copies` makes them; C11 removes duplicates, so it never needs to).
 
@@ -166,13 +166,18 @@ def reconciled_integrated(orders: DataFrame, matched: DataFrame, remaining: Data
     and a customer listed twice doubles them, as in the reference.
 
     Each of ``order_facts`` (at most one row per ``order_id``) is joined to the plan as well (left) and its
-    columns come with every line.
+    columns come with every line. With ``keep`` C6's plan is written, and only lines likely to be of its orders are shuffled
+    to the products and stores.
     """
     order_facts = order_facts or []
+    kept = _reconcile_plan(matched, remaining)
+    if keep:
+        kept = keep("reconcile_plan", kept)
+        orders = likely_with(orders, kept, "order_id")
     extra = [c for df in order_facts for c in df.columns if c != "order_id"]
     plan = (
         reduce(lambda a, b: a.join(b, "order_id", "left"), order_facts,
-               _reconcile_plan(matched, remaining).join(avg_rating_per_order(reviews), "order_id"))
+               kept.join(avg_rating_per_order(reviews), "order_id"))
         .join(customers.select(*CUSTOMER_COLS), F.col("customer_id") == F.col("custid"))
         .drop("custid")
     )
@@ -275,8 +280,8 @@ def multi_store_insert(multi: DataFrame, products: DataFrame, payments: DataFram
     store = _counted(stores, STORE_COLS, "_n5")
     joined = (
         multi.join(prod, "product_id")
-        .join(pay, "order_id")
         .join(cust, F.col("customer_id") == F.col("custid"))
+        .join(pay, "order_id")  # with the next join, one shuffle of the lines
         .join(rev, "order_id")
         .join(store, F.col("delivered_storeid") == F.col("storeid"))
     )
@@ -335,26 +340,41 @@ def finalised_with_insert(lines: DataFrame, insert: DataFrame, keep: Keep | None
     """C11 from C7 (``lines``) and C9's insert: ``finalised_records(append_multi_store(lines, insert),
     multi_store_records(insert), lines)``.
 
-    A group of C10 with one row of the insert has that very row, so its row stands for both sides and the row of the
-    insert need not come along: it is on the right side if its order is in C7, else on the left. Only rows of larger groups are
-    looked up, by a digest of the group's columns (a few others that share one change nothing).
+    A group of C10 with one row of the insert has that very row: if its order is in C7 the row removes itself and its equals in
+    C7, else it stays. So whole rows are shuffled only where another row may be equal or may share the group, which digests tell
+    first (8 bytes a row), and where the order is not in C7. All rows of one digest go the same way, so that a digest
+    shared by different rows, or found by chance in the filter, changes nothing.
     """
     keep = keep or scratch
     keys = [c for c in FACT_COLS if c not in ("quantity", "total_amount")]
-    digest = F.xxhash64(*keys).alias("_d")
-    groups = keep("insert_groups", insert.groupBy(*keys).agg(
-        F.sum("quantity").cast("bigint").alias("quantity"), F.sum("total_amount").cast(SUM_TYPE).alias("total_amount"),
-        F.count(F.lit(1)).alias("_n")))
-    several = keep("insert_groups_of_several", groups.where(F.col("_n") > 1).select(digest).distinct())
-    ids = lines.select("order_id").distinct().withColumn("_right", F.lit(1))
-    told = join_facts(groups, ids, ["order_id"], "integrated_order_ids", keep=keep).where((F.col("_n") == 1) | F.col("_right").isNotNull())
-    of_several = insert.select(*FACT_COLS, digest).join(several, "_d", "left_semi")
-    tagged = (lines.select(*FACT_COLS, F.lit(0).alias("_right"))
-              .unionByName(told.select(*FACT_COLS, F.coalesce("_right", F.lit(0)).alias("_right")))
-              .unionByName(of_several.select(*FACT_COLS, F.lit(0).alias("_right"))))
-    return (tagged.groupBy(*FACT_COLS).agg(F.max("_right").alias("_right"))
-            .where(F.col("_right") == 0)
-            .select(*FACT_COLS))
+    # the digests of equal rows are equal only in one type
+    summed = insert.withColumns({"quantity": F.col("quantity").cast("bigint"), "total_amount": F.col("total_amount").cast(SUM_TYPE)})
+    types = reduce(DataFrame.unionByName, [df.select(*FACT_COLS) for df in (lines, insert, summed)]).schema
+    lines, insert = (df.select(*[F.col(c).cast(types[c].dataType).alias(c) for c in FACT_COLS]) for df in (lines, insert))
+    grouped = insert.withColumn("_g", F.xxhash64(*keys))
+    several = keep("insert_groups_of_several", grouped.groupBy("_g").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > 1).select("_g"))
+    # orders of the insert that are not in C7; one without an id is in no join
+    outside = keep("insert_orders_outside", insert.select("order_id").distinct().join(lines.select("order_id").distinct(), "order_id", "left_anti"))
+
+    def in_c7(df: DataFrame) -> DataFrame:
+        return df.where(F.col("order_id").isNotNull()).join(outside, "order_id", "left_anti")
+
+    stay = (likely_with(insert, outside, "order_id").join(outside, "order_id", "left_semi")
+            .unionByName(insert.where(F.col("order_id").isNull())))
+    of_several = keep("insert_rows_of_several", in_c7(likely_with(grouped, several, "_g").join(several, "_g", "left_semi").select(*FACT_COLS)))
+    sums = keep("insert_sums_of_several", of_several.groupBy(*keys).agg(
+        *[F.sum(c).cast(types[c].dataType).alias(c) for c in ("quantity", "total_amount")]).select(*FACT_COLS))
+    told = lambda df: df.withColumn("_d", F.xxhash64(*FACT_COLS))
+    repeated = keep("repeated_rows", reduce(DataFrame.unionByName, [told(df).select("_d") for df in (lines, insert, sums)])
+                    .groupBy("_d").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > 1).select("_d"))
+    left = likely_in(reduce(DataFrame.unionByName, [told(df) for df in (lines, stay, of_several)]), repeated, "_d")
+    alone = in_c7(likely_with(told(insert), repeated, "_d").withColumn("_g", F.xxhash64(*keys)).join(several, "_g", "left_anti"))
+    tagged = (left.where("_likely").select(*FACT_COLS, F.lit(0).alias("_right"))
+              .unionByName(alone.select(*FACT_COLS).unionByName(sums).select(*FACT_COLS, F.lit(1).alias("_right"))))
+    return left.where(~F.col("_likely")).select(*FACT_COLS).unionByName(
+        tagged.groupBy(*FACT_COLS).agg(F.max("_right").alias("_right"))
+        .where(F.col("_right") == 0)
+        .select(*FACT_COLS))
 
 
 def unrepeated(lines: DataFrame, columns: list[str], keep: Keep | None = None) -> DataFrame:

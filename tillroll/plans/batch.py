@@ -128,7 +128,7 @@ class CleaningBatch:
         def build() -> DataFrame:
             mixed = reconcile.mixed_orders(self.order_totals()).withColumn(reconcile.MIXED, F.lit(True))
             lines = reconcile.reconciled_integrated(t.orders, self.matched_orders(), self.remaining_orders(), t.reviews, self._products(),
-                                                    t.stores, t.customers, [self.payment_summary(), mixed])
+                                                    t.stores, t.customers, [self.payment_summary(), mixed], self.keeper("integrated_orders", ()))
             return lines.withColumn(reconcile.MIXED, F.coalesce(reconcile.MIXED, F.lit(False)))
 
         return self._stage("integrated_orders", build, packed=True)
