@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import rows
-from tillroll.operators import reconcile
+from tillroll.operators import quality, reconcile
 from tillroll.plans.batch import batch_for
 from tillroll.sources.tables import ORDER_COLS, fixture_orders
 
@@ -114,3 +114,30 @@ def test_c6_leaves_out_lines_before_products_and_stores(spark, batch):
     made = reconcile.reconciled_integrated(*args, keep=keep)
     assert kept == ["reconcile_plan"] and "bitmap" in plan(made)
     assert rows(made) == rows(reconcile.reconciled_integrated(*args))
+
+
+def test_cumulative_lines_finds_varied_keys_by_digest(spark, tmp_path, monkeypatch):
+    lines = spark.createDataFrame([tuple(x[c] for c in ORDER_COLS) for x in
+                                   [line(1, 1, 1, 2, "5"), line(2, 1, 1, 3, "5"), line(3, 1, 1, 3, "5"), line(1, 2, 1, 2, "5"), line(2, 2, 1, 2, "5"), line(1, 3, 1, 1, "5")]], SCHEMA)
+    kept = {}
+
+    def keep(name, df):
+        path = str(tmp_path / f"{name}{len(kept)}")
+        df.write.parquet(path)
+        kept[name] = spark.read.parquet(path)
+        return kept[name]
+
+    want = [(1, 1, 3)]
+    got = lambda: rows(quality.cumulative_lines(lines, keep=keep), ["order_id", "product_id", "rnk"])
+    assert got() == want and kept["varied_keys"].columns == ["_d"] and kept["lines_of_varied_keys"].count() == 3
+    monkeypatch.setattr(quality, "likely_with", lambda rows, wanted, key: rows)
+    monkeypatch.setattr(quality.F, "xxhash64", lambda *c: F.lit(7).cast("long"))  # all keys share one digest
+    assert got() == want
+
+
+def test_mixed_and_unmatched_orders_are_written_once(spark, batch):
+    assert rows(batch.mixed_orders().select("order_id")) == rows(reconcile.mixed_orders(batch.order_totals()))
+    assert rows(batch.mixed_orders().where("_several").select("order_id")) == rows(reconcile.several_stores(batch.order_totals()))
+    for df in (batch.mixed_orders(), batch.orders_not_matching()):
+        assert "Exchange" not in plan(df)
+    assert rows(batch.orders_not_matching()) == rows(reconcile.orders_not_matching(batch.cust_order_totals(), batch.order_payment_totals()))

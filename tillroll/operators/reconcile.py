@@ -71,6 +71,13 @@ def mixed_orders(totals: DataFrame) -> DataFrame:
     ).where("_s").select("order_id")
 
 
+def order_spread(totals: DataFrame) -> DataFrame:
+    """order_id of each order that is ``MIXED``, and ``_several``: whether its lines have several stores."""
+    several = _differ("_min_store", "_max_store")
+    mixed = several | _differ("_min_date", "_max_date") | _differ("customer_id", "customer_id")
+    return totals.groupBy("order_id").agg(several.alias("_several"), mixed.alias("_s")).where("_s").select("order_id", "_several")
+
+
 def order_payment_totals(payments: DataFrame) -> DataFrame:
     """C2 — (order_id, paymenttotal), the payments in whole units."""
     return payments.groupBy("order_id").agg(_round0(F.sum("payment_value")).alias("paymenttotal"))

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tillroll.operators import marts, quality, reconcile
-from tillroll.operators.perkey import Keep
+from tillroll.operators.perkey import Keep, likely_with
 from tillroll.plans import segments
 from tillroll.sources.stage import StageStore, files_fingerprint, input_fingerprint
 from tillroll.sources.tables import fixture_tables
@@ -108,7 +108,12 @@ class CleaningBatch:
         return reconcile.matched_orders(self.cust_order_totals(), self.order_payment_totals())
 
     def orders_not_matching(self) -> DataFrame:
-        return reconcile.orders_not_matching(self.cust_order_totals(), self.order_payment_totals())
+        """C4, written: C5 reads it, and the summary of checks."""
+        return self.keeper("remaining_orders", ())("orders_not_matching", reconcile.orders_not_matching(self.cust_order_totals(), self.order_payment_totals()))
+
+    def mixed_orders(self) -> DataFrame:
+        """The orders that are ``MIXED``, and which of them have several stores: the one grouping of C1 by order."""
+        return self._stage("mixed_orders", lambda: reconcile.order_spread(self.order_totals()), depends=())
 
     def remaining_orders(self) -> DataFrame:
         return reconcile.remaining_orders(self.orders_not_matching(), self.t.orders, self.keeper("remaining_orders", ()))
@@ -126,7 +131,7 @@ class CleaningBatch:
         t = self.t
 
         def build() -> DataFrame:
-            mixed = reconcile.mixed_orders(self.order_totals()).withColumn(reconcile.MIXED, F.lit(True))
+            mixed = self.mixed_orders().select("order_id").withColumn(reconcile.MIXED, F.lit(True))
             lines = reconcile.reconciled_integrated(t.orders, self.matched_orders(), self.remaining_orders(), t.reviews, self._products(),
                                                     t.stores, t.customers, [self.payment_summary(), mixed], self.keeper("integrated_orders", ()))
             return lines.withColumn(reconcile.MIXED, F.coalesce(reconcile.MIXED, F.lit(False)))
@@ -135,7 +140,7 @@ class CleaningBatch:
 
     def multi_store_lines(self) -> DataFrame:
         # read only by C9's insert, which is staged
-        return reconcile.multi_store_lines(self.t.orders, self.keeper("multi_store_lines", ()), reconcile.several_stores(self.order_totals()))
+        return reconcile.multi_store_lines(self.t.orders, self.keeper("multi_store_lines", ()), self.mixed_orders().where("_several").select("order_id"))
 
     def multi_store_insert(self) -> DataFrame:
         t = self.t
@@ -194,7 +199,8 @@ class CleaningBatch:
         after-D3 checks read it without joins of their own. Only ``MIXED`` orders meet C12's repairs."""
         def build() -> DataFrame:
             keep = lambda name, df: self._stage(f"clean_fact.{name}", lambda: df, depends=self.FACT_OPTIONS, observe=reconcile.ORDER_CHECKS)
-            fact = reconcile.clean_fact(self.finalised_mixed(), self.payment_summary(), True, keep)
+            summary = likely_with(self.payment_summary(), self.mixed_orders(), "order_id")
+            fact = reconcile.clean_fact(self.finalised_mixed(), summary, True, keep)
             fact = (reconcile.clean_as_is(self.settled_lines(), marts.SUMMARY_COLS).withColumn(reconcile.MIXED, F.lit(False))
                     .unionByName(fact.withColumn(reconcile.MIXED, F.lit(True))))
             fact = reconcile.refresh_store_attrs(fact, self.t.stores) if self.options.refresh_store_attrs else fact
