@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from tillroll.operators.perkey import Keep, dealt_by, rows_with, scratch
+from tillroll.operators.perkey import Keep, dealt_by, likely_with, rows_with, scratch
 from tillroll.operators.reconcile import (  # noqa: F401  (re-exported)
     BILL_MONTH, fix_date_to_latest, fix_store_to_min, month_number, orders_with_spread,
 )
@@ -69,8 +69,8 @@ def cumulative_lines(df: DataFrame, keys: list[str] | None = None, keep: Keep |
     null keys explicitly.
 
     Scale: only key groups whose quantities differ can hold a rank above 1, so they are found
-    first with a partial aggregate (``min < max``) and the lines are narrowed to them by a
-    semi-join, both written; the rank is then 1 + the number of rows with a larger quantity, computed
+    first with a partial aggregate (``min < max``) over a digest of the keys (8 bytes a line; groups that share one are
+    ranked apart later) and the lines are narrowed to them by a semi-join, both written; the rank is then 1 + the number of rows with a larger quantity, computed
     from the counts per (keys, quantity) with a window over the distinct quantities of a group — never
     over all its rows — and joined back on the 9 values. A hot key group is never sorted in one
     task, and AQE splits a hot key on the joins' large side.
@@ -80,9 +80,10 @@ def cumulative_lines(df: DataFrame, keys: list[str] | None = None, keep: Keep |
     cols = keys + ["quantity"]
     not_null = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in cols])
     rows = df.where(not_null)
-    varied = (rows.groupBy(*keys).agg(F.min("quantity").alias("_lo"), F.max("quantity").alias("_hi"))
-              .where(F.col("_lo") < F.col("_hi")).select(*keys))
-    candidates = keep("lines_of_varied_keys", rows_with(rows, varied, keys, "varied_keys", keep))
+    digest = F.xxhash64(*keys).alias("_d")
+    varied = keep("varied_keys", rows.select(digest, "quantity").groupBy("_d").agg(F.min("quantity").alias("_lo"), F.max("quantity").alias("_hi"))
+                  .where(F.col("_lo") < F.col("_hi")).select("_d"))
+    candidates = keep("lines_of_varied_keys", likely_with(rows.select("*", digest), varied, "_d").join(varied, "_d", "left_semi").select(*df.columns))
     counts = candidates.groupBy(*cols).agg(F.count(F.lit(1)).alias("_n"))
     larger = Window.partitionBy(*keys).orderBy(F.col("quantity").desc()).rowsBetween(Window.unboundedPreceding, -1)
     ranks = (
