@@ -138,6 +138,6 @@ def test_cumulative_lines_finds_varied_keys_by_digest(spark, tmp_path, monkeypat
 def test_mixed_and_unmatched_orders_are_written_once(spark, batch):
     assert rows(batch.mixed_orders().select("order_id")) == rows(reconcile.mixed_orders(batch.order_totals()))
     assert rows(batch.mixed_orders().where("_several").select("order_id")) == rows(reconcile.several_stores(batch.order_totals()))
-    for df in (batch.mixed_orders(), batch.orders_not_matching()):
+    for df in (batch.mixed_orders(), batch.unmatched_orders()):
         assert "Exchange" not in plan(df)
-    assert rows(batch.orders_not_matching()) == rows(reconcile.orders_not_matching(batch.cust_order_totals(), batch.order_payment_totals()))
+    assert rows(batch.unmatched_orders()) == rows(reconcile.orders_not_matching(batch.cust_order_totals(), batch.order_payment_totals()))

@@ -108,8 +108,11 @@ class CleaningBatch:
         return reconcile.matched_orders(self.cust_order_totals(), self.order_payment_totals())
 
     def orders_not_matching(self) -> DataFrame:
-        """C4, written: C5 reads it, and the summary of checks."""
-        return self.keeper("remaining_orders", ())("orders_not_matching", reconcile.orders_not_matching(self.cust_order_totals(), self.order_payment_totals()))
+        return reconcile.orders_not_matching(self.cust_order_totals(), self.order_payment_totals())
+
+    def unmatched_orders(self) -> DataFrame:
+        """C4 as C5 has written it, for the summary of checks."""
+        return self.keeper("remaining_orders", ())("orders_not_matching", self.orders_not_matching())
 
     def mixed_orders(self) -> DataFrame:
         """The orders that are ``MIXED``, and which of them have several stores: the one grouping of C1 by order."""

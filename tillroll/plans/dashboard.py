@@ -124,7 +124,7 @@ def data_quality_summary(p, period: tuple[str, str]) -> DataFrame:
         .alias("missing_attribute_categories"))
     seen = list(p.seen_while_writing().items())
     checks = [
-        _check("orders_not_matching", p.orders_not_matching()),
+        _check("orders_not_matching", p.unmatched_orders()),
         _check("exact_duplicates", quality.exact_duplicates(finalised, p.keeper("exact_duplicates"))),
         _check("cumulative_lines", quality.cumulative_lines(p.store_fixed(), keep=p.keeper("cumulative_lines"))),
         _check("out_of_period", quality.out_of_period(p.fact_by_month(), *period)),
