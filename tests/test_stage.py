@@ -37,3 +37,32 @@ def test_scratch_scope(spark):
             write_stage(numbered, out)
         assert _exists(spark, inner)
     assert n == 50 and spark.read.parquet(out).count() == 50 and not _exists(spark, inner)
+
+
+def test_a_write_leaves_no_shuffle_files(spark):
+    import time
+
+    from pyspark.sql import functions as F
+    from tillroll.sources.stage import scratch_path, write_stage
+    setting = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+    def shuffles():
+        blocks = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllBlocks()
+        return {blocks.apply(i).name() for i in range(blocks.size()) if blocks.apply(i).isShuffle()}
+
+    def left(write):
+        before = shuffles()
+        write(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count().repartition(3, "count"))
+        until = time.time() + 20
+        while shuffles() - before and time.time() < until:
+            time.sleep(0.2)
+        return shuffles() - before
+
+    own = spark.conf.get(setting)
+    assert not left(lambda df: write_stage(df, scratch_path(spark, "shuffled")))
+    assert not left(lambda df: StageStore(spark, "test-shuffles").stage("shuffled", lambda: df))
+    assert spark.conf.get(setting) == own
+    spark.conf.set(setting, "true")
+    write_stage(spark.range(3), scratch_path(spark, "small"))
+    assert spark.conf.get(setting) == "true"
+    spark.conf.set(setting, own)

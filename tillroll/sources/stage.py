@@ -36,6 +36,34 @@ def _lock(path: str) -> threading.RLock:
         return _LOCKS.setdefault(path, threading.RLock())
 
 
+#: Spark's setting by which an execution drops its shuffle files at its end.
+_DROP_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_WRITERS: dict[str, tuple[int, str | None]] = {}
+
+
+@contextlib.contextmanager
+def shuffles_dropped(spark: SparkSession):
+    """Executions that end inside drop their shuffle files then, not when the driver's collector finds the plan. A written table
+    is read back from its files, so no one asks for the shuffles of its write again; kept, those of all stages would lie on
+    disk together. The session's own setting is put back when the last write that runs at the same time has ended."""
+    session = spark.sparkContext.applicationId
+    with _GUARD:
+        n, own = _WRITERS.get(session) or (0, spark.conf.get(_DROP_SHUFFLES, None))
+        _WRITERS[session] = n + 1, own
+        spark.conf.set(_DROP_SHUFFLES, "true")
+    try:
+        yield
+    finally:
+        with _GUARD:
+            n, own = _WRITERS.pop(session)
+            if n > 1:
+                _WRITERS[session] = n - 1, own
+            elif own is None:
+                spark.conf.unset(_DROP_SHUFFLES)
+            else:
+                spark.conf.set(_DROP_SHUFFLES, own)
+
+
 def checkpoint_root(spark: SparkSession) -> str:
     """The shared checkpoint folder of this session (set one only when none is configured)."""
     root = spark.conf.get("spark.checkpoint.dir", None)
@@ -161,7 +189,8 @@ class StageStore:
                               .option("parquet.bloom.filter.adaptive.enabled", "true"))
                 if partition_by:
                     writer = writer.partitionBy(partition_by)
-                writer.parquet(path)
+                with shuffles_dropped(self.spark):
+                    writer.parquet(path)
                 if watch:
                     drop_path(self.spark, f"{path}.seen.json")
                     write_text(self.spark, f"{path}.seen.json", json.dumps({k: int(v or 0) for k, v in watch.get.items()}))
@@ -179,7 +208,8 @@ class StageStore:
 
 def write_stage(df: DataFrame, path: str) -> DataFrame:
     """One-off stage: write ``df`` to ``path`` as parquet and return the re-read table."""
-    df.write.mode("overwrite").parquet(path)
+    with shuffles_dropped(df.sparkSession):
+        df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.parquet(path)
 
 

@@ -25,7 +25,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
-from tillroll.sources.stage import read_text, write_text
+from tillroll.sources.stage import read_text, shuffles_dropped, write_text
 
 
 class Conflict(RuntimeError):
@@ -102,7 +102,8 @@ class Versions:
             writer = writer.partitionBy(partition_by)
         if bloom:
             writer = writer.option(f"parquet.bloom.filter.enabled#{bloom}", "true").option("parquet.bloom.filter.adaptive.enabled", "true")
-        writer.parquet(f"{self._data(table)}/{folder}")
+        with shuffles_dropped(self.spark):
+            writer.parquet(f"{self._data(table)}/{folder}")
         fs, base = self._path(f"{self._data(table)}/{folder}")
         found, prefix = [], fs.makeQualified(base).toString() + "/"
         listed = fs.listFiles(base, True)
