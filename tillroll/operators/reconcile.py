@@ -23,6 +23,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tillroll.operators.lookup import Lookup, broadcast_by_spark
 from tillroll.operators.perkey import Keep, dealt_by, join_facts, likely_in, likely_with, rows_with, scratch
 from tillroll.sources.tables import CUSTOMER_COLS, ORDER_COLS, STORE_COLS
 
@@ -35,6 +36,18 @@ def _round0(c: Column) -> Column:
     return F.round(c, 0)
 
 
+#: By name of a dimension, what :func:`tillroll.operators.lookup.lookup` has made of it (None: it does not fit).
+Lookups = dict[str, Lookup | None]
+#: The dimensions with attributes in the fact, and the column of the lines that names their rows.
+ATTRIBUTES_BY = {"products": "product_id", "stores": "delivered_storeid", "customers": "customer_id"}
+
+
+def fitting(lookups: Lookups | None, name: str, rows: DataFrame, column: str) -> Lookup | None:
+    """The lookup of dimension ``name``, where there is one and the keys in ``rows`` are whole numbers as well."""
+    found = (lookups or {}).get(name)
+    return found if found and found.fits(rows, column) else None
+
+
 # ---- C1–C5: order totals against payment totals ---------------------------------------------
 
 def cust_order_totals(orders: DataFrame) -> DataFrame:
@@ -71,11 +84,20 @@ def mixed_orders(totals: DataFrame) -> DataFrame:
     ).where("_s").select("order_id")
 
 
-def order_spread(totals: DataFrame) -> DataFrame:
-    """order_id of each order that is ``MIXED``, and ``_several``: whether its lines have several stores."""
+def order_spread(totals: DataFrame, keep: Keep | None = None) -> DataFrame:
+    """order_id of each order that is ``MIXED``, and ``_several``: whether its lines have several stores. With ``keep`` the
+    orders of several customers are written, and only rows likely to be of these are grouped: an order with one row of C1 has all its
+    lines in there."""
     several = _differ("_min_store", "_max_store")
     mixed = several | _differ("_min_date", "_max_date") | _differ("customer_id", "customer_id")
-    return totals.groupBy("order_id").agg(several.alias("_several"), mixed.alias("_s")).where("_s").select("order_id", "_several")
+    grouped = lambda df: df.groupBy("order_id").agg(several.alias("_several"), mixed.alias("_s"))
+    if keep is None:
+        return grouped(totals).where("_s").select("order_id", "_several")
+    shared = keep("orders_of_several_customers", totals.groupBy("order_id").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > 1).select("order_id"))
+    told = likely_in(totals, shared, "order_id")
+    alone = told.where(~F.col("_likely")).select("order_id", *[F.coalesce(F.col(lo) < F.col(hi), F.lit(False)).alias(c) for c, lo, hi in (
+        ("_several", "_min_store", "_max_store"), ("_dates", "_min_date", "_max_date"))]).withColumn("_s", F.col("_several") | F.col("_dates")).drop("_dates")
+    return alone.unionByName(grouped(told.where("_likely"))).where("_s").select("order_id", "_several")
 
 
 def order_payment_totals(payments: DataFrame) -> DataFrame:
@@ -161,15 +183,15 @@ def _apply_plan(orders: DataFrame, plan: DataFrame) -> DataFrame:
 
 def reconciled_integrated(orders: DataFrame, matched: DataFrame, remaining: DataFrame, reviews: DataFrame,
                           products: DataFrame, stores: DataFrame, customers: DataFrame,
-                          order_facts: list[DataFrame] | None = None, keep: Keep | None = None) -> DataFrame:
+                          order_facts: list[DataFrame] | None = None, keep: Keep | None = None, lookups: Lookups | None = None) -> DataFrame:
     """C6 then C7 in one plan: the rows of ``integrated_orders(reconciled_orders(…), …)``, each once
     with ``COPIES`` (:func:`copies` makes them; C11 removes duplicates, so it never needs to).
 
     The mean review (per order) and the customer row (per customer) are joined to the
     per-(customer, order) plan of C6 — a table of order size — so the order lines pick them up
-    in C6's one join; only the product and store joins remain at line grain. They come first, while the lines
-    are narrow, and C6's join leaves an order's lines side by side, which later steps group and compress by. Inner-join
-    semantics are kept: a (customer, order) without a review or customer row drops its lines,
+    in C6's one join; only the product and store joins remain at line grain. Those that shuffle the lines come first, while the lines
+    are narrow; broadcast ones and ``lookups`` (of the customers too) come last, so that C6's join moves no attributes. It leaves an order's
+    lines side by side, which later steps group and compress by. Inner-join semantics are kept: a (customer, order) without a review or customer row drops its lines,
     and a customer listed twice doubles them, as in the reference.
 
     Each of ``order_facts`` (at most one row per ``order_id``) is joined to the plan as well (left) and its
@@ -182,18 +204,28 @@ def reconciled_integrated(orders: DataFrame, matched: DataFrame, remaining: Data
         kept = keep("reconcile_plan", kept)
         orders = likely_with(orders, kept, "order_id")
     extra = [c for df in order_facts for c in df.columns if c != "order_id"]
-    plan = (
-        reduce(lambda a, b: a.join(b, "order_id", "left"), order_facts,
-               kept.join(avg_rating_per_order(reviews), "order_id"))
-        .join(customers.select(*CUSTOMER_COLS), F.col("customer_id") == F.col("custid"))
-        .drop("custid")
-    )
-    prod = products.select("product_id", "category")
-    store = stores.select(*STORE_COLS).distinct()
-    return (
-        _apply_plan(orders.join(prod, "product_id").join(store, F.col("delivered_storeid") == F.col("storeid")), plan)
-        .select(*FACT_COLS, COPIES, *extra)
-    )
+    plan = reduce(lambda a, b: a.join(b, "order_id", "left"), order_facts, kept.join(avg_rating_per_order(reviews), "order_id"))
+    product, store, customer = (fitting(lookups, name, orders, column) for name, column in ATTRIBUTES_BY.items())
+    if not (customer and customer.once):
+        customer = None
+        plan = plan.join(customers.select(*CUSTOMER_COLS), F.col("customer_id") == F.col("custid")).drop("custid")
+    prod, first, last = products.select("product_id", "category"), orders, []
+    if product and product.once:
+        last.append(lambda df: product.attach(df, "product_id"))
+    elif broadcast_by_spark(prod):
+        last.append(lambda df: df.join(prod, "product_id"))
+    else:
+        first = first.join(prod, "product_id")
+    rows = stores.select(*STORE_COLS).distinct()
+    if store:
+        last.append(lambda df: store.attach(df, "delivered_storeid"))
+    elif broadcast_by_spark(rows):
+        last.append(lambda df: df.join(rows, F.col("delivered_storeid") == F.col("storeid")))
+    else:
+        first = first.join(rows, F.col("delivered_storeid") == F.col("storeid"))
+    if customer:
+        last.append(lambda df: customer.attach(df, "customer_id"))
+    return reduce(lambda df, add: add(df), last, _apply_plan(first, plan)).select(*FACT_COLS, COPIES, *extra)
 
 
 # ---- C7: enrichment ---------------------------------------------------------------------------
@@ -269,7 +301,8 @@ def _counted(df: DataFrame, cols: list[str], name: str) -> DataFrame:
 
 
 def multi_store_insert(multi: DataFrame, products: DataFrame, payments: DataFrame, customers: DataFrame,
-                       reviews: DataFrame, stores: DataFrame, keep: Keep | None = None, payment_counts: DataFrame | None = None) -> DataFrame:
+                       reviews: DataFrame, stores: DataFrame, keep: Keep | None = None, payment_counts: DataFrame | None = None,
+                       lookups: Lookups | None = None) -> DataFrame:
     """C9's inserted rows: C8 joined (inner) with products, payments, customers, reviews and
     stores — none deduplicated — then grouped by all 21 columns, summing net_qty and net_amount.
 
@@ -277,21 +310,24 @@ def multi_store_insert(multi: DataFrame, products: DataFrame, payments: DataFram
     the product of the matching row counts on every side. We join each side pre-aggregated to
     (key, attributes, count) and multiply, which gives the same sums without materialising the
     fan-out. ``avg_rating`` here is the raw score of a review row, as in the reference. ``payment_counts``, if
-    given, is a written table of order_id and its payments ``_n2``.
+    given, is a written table of order_id and its payments ``_n2``. Sides with ``lookups`` are not joined.
     """
-    prod = _counted(products, ["product_id", "category"], "_n1")
     # the other sides are grouped by more than their join key, so they are shuffled anew for the join
     pay = (keep or scratch)("payments_per_order", _counted(payments, ["order_id"], "_n2")) if payment_counts is None else payment_counts
-    cust = _counted(customers, CUSTOMER_COLS, "_n3")
     rev = _counted(reviews, ["order_id", "customer_satisfaction_score"], "_n4")
-    store = _counted(stores, STORE_COLS, "_n5")
-    joined = (
-        multi.join(prod, "product_id")
-        .join(cust, F.col("customer_id") == F.col("custid"))
-        .join(pay, "order_id")  # with the next join, one shuffle of the lines
-        .join(rev, "order_id")
-        .join(store, F.col("delivered_storeid") == F.col("storeid"))
-    )
+    sides = {"products": (products, ["product_id", "category"], "_n1"), "customers": (customers, CUSTOMER_COLS, "_n3"), "stores": (stores, STORE_COLS, "_n5")}
+
+    def with_side(df: DataFrame, name: str) -> DataFrame:
+        side, cols, n = sides[name]
+        found = fitting(lookups, name, multi, ATTRIBUTES_BY[name])
+        if found:
+            return found.attach(df, ATTRIBUTES_BY[name], n)
+        return df.join(_counted(side, cols, n).withColumnRenamed(cols[0], "_key"), F.col(ATTRIBUTES_BY[name]) == F.col("_key")).drop("_key")
+
+    shuffled = [name for name in ("products", "customers") if not fitting(lookups, name, multi, ATTRIBUTES_BY[name])]
+    # by order after the products and customers that shuffle the lines, in one shuffle of them
+    joined = reduce(with_side, shuffled, multi).join(pay, "order_id").join(rev, "order_id")
+    joined = reduce(with_side, [name for name in sides if name not in shuffled], joined)
     # decimal(18,8) × decimal(19,0) stays within 38 digits, so Spark keeps all 8 decimals (a bigint
     # factor would make it drop one), and the product holds any hot order's sum.
     mult = reduce(lambda a, b: a * b, [F.col(f"_n{i}") for i in range(1, 6)]).cast("decimal(19,0)")
@@ -490,6 +526,28 @@ def clean_as_is(lines: DataFrame, order_facts: list[str]) -> DataFrame:
     return lines.select(*FACT_COLS, *order_facts, F.col("bill_date_timestamp").alias(BILL_DATE_BEFORE_FIX), F.lit(False).alias(STORE_FIXED))
 
 
+def late_attributes(lines: DataFrame, lookups: Lookups) -> dict[str, Lookup]:
+    """By column of ``lines``, the lookups that give a settled line the attributes that C7 gave it: none whose dimension
+    lists a product or customer twice."""
+    found = {column: (name, fitting(lookups, name, lines, column)) for name, column in ATTRIBUTES_BY.items()}
+    return {column: x for column, (name, x) in found.items() if x and (x.once or name == "stores")}
+
+
+def without_attributes(settled: DataFrame, late: dict[str, Lookup]) -> DataFrame:
+    """Settled lines with nulls in place of the attributes that :func:`with_attributes` gives them, so that a shuffle moves none."""
+    gone = {a for x in late.values() for a in x.attrs}
+    return settled.select(*[F.lit(None).cast(f.dataType).alias(f.name) if f.name in gone else F.col(f.name) for f in settled.schema.fields])
+
+
+def with_attributes(fact: DataFrame, late: dict[str, Lookup]) -> DataFrame:
+    """``fact`` with the attributes of its lines that are not ``MIXED``; the others have theirs."""
+    for column, x in late.items():
+        own = {a: f"_own_{a}" for a in x.attrs}
+        told = x.attach(fact.withColumnsRenamed(own), column, how="left")
+        fact = told.select(*[F.when(F.col(MIXED), F.col(own[c])).otherwise(F.col(c)).alias(c) if c in own else F.col(c) for c in fact.columns])
+    return fact
+
+
 #: Partition column of the stored fact: 100 * year + month of the bill date (null: no date).
 BILL_MONTH = "bill_month"
 

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import copy
 import dataclasses
+import functools
 import threading
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
@@ -20,10 +21,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tillroll.operators import marts, quality, reconcile
+from tillroll.operators.lookup import Lookup, lookup
 from tillroll.operators.perkey import Keep, likely_with
 from tillroll.plans import segments
 from tillroll.sources.stage import StageStore, files_fingerprint, input_fingerprint
-from tillroll.sources.tables import fixture_tables
+from tillroll.sources.tables import CUSTOMER_COLS, STORE_COLS, fixture_tables
 
 
 @dataclass(frozen=True)
@@ -37,7 +39,7 @@ class Options:
     approx: bool = False
 
 
-def side_by_side(spark: SparkSession, *builds: Callable[[], DataFrame]) -> list[DataFrame]:
+def side_by_side(spark: SparkSession, *builds: Callable) -> list:
     """What ``builds`` return, run at the same time: stages that do not need each other share the cluster instead of
     leaving it idle at each one's last tasks."""
     with ThreadPoolExecutor(len(builds)) as pool:
@@ -56,6 +58,8 @@ class CleaningBatch:
     def __init__(self, spark: SparkSession, tables, key: str, inputs: str | None = None, options: Options = Options()):
         self.spark = spark
         self.options = options
+        self._lookups: dict[str, Lookup | None] = {}
+        self._looking = threading.RLock()
         if inputs is None and not callable(tables):
             inputs = input_fingerprint([getattr(tables, f.name) for f in dataclasses.fields(tables)])
         self.store = StageStore(spark, key, inputs or "")
@@ -116,7 +120,7 @@ class CleaningBatch:
 
     def mixed_orders(self) -> DataFrame:
         """The orders that are ``MIXED``, and which of them have several stores: the one grouping of C1 by order."""
-        return self._stage("mixed_orders", lambda: reconcile.order_spread(self.order_totals()), depends=())
+        return self._stage("mixed_orders", lambda: reconcile.order_spread(self.order_totals(), self.keeper("mixed_orders", ())), depends=())
 
     def remaining_orders(self) -> DataFrame:
         return reconcile.remaining_orders(self.orders_not_matching(), self.t.orders, self.keeper("remaining_orders", ()))
@@ -125,6 +129,23 @@ class CleaningBatch:
         # C7's stage computes C6 and C7 together (reconcile.reconciled_integrated)
         return reconcile.reconciled_orders(self.t.orders, self.matched_orders(), self.remaining_orders())
 
+    def lookups(self) -> reconcile.Lookups:
+        """The dimensions whose attributes need no join."""
+        dims = {"products": (self._products(), ["product_id", "category"], ("clean_categories",)),
+                "stores": (self.t.stores, STORE_COLS, ()), "customers": (self.t.customers, CUSTOMER_COLS, ())}
+        at = {name: self._named(name, depends) for name, (_, _, depends) in dims.items()}
+        with self._looking:
+            new = [name for name in dims if at[name] not in self._lookups]
+
+            def made(name: str) -> Lookup | None:
+                dim, (key, *attrs), depends = dims[name]
+                return lookup(dim, key, attrs, name, self.keeper("lookups", depends))
+
+            if new:
+                found = side_by_side(self.spark, *[functools.partial(made, name) for name in new])
+                self._lookups |= {at[name]: x for name, x in zip(new, found)}
+        return {name: self._lookups[at[name]] for name in dims}
+
     # -- C7–C12 ------------------------------------------------------------------------------
     def integrated_orders(self) -> DataFrame:
         return reconcile.copies(self.integrated_lines().select(*reconcile.FACT_COLS, reconcile.COPIES))
@@ -136,7 +157,7 @@ class CleaningBatch:
         def build() -> DataFrame:
             mixed = self.mixed_orders().select("order_id").withColumn(reconcile.MIXED, F.lit(True))
             lines = reconcile.reconciled_integrated(t.orders, self.matched_orders(), self.remaining_orders(), t.reviews, self._products(),
-                                                    t.stores, t.customers, [self.payment_summary(), mixed], self.keeper("integrated_orders", ()))
+                                                    t.stores, t.customers, [self.payment_summary(), mixed], self.keeper("integrated_orders", ()), self.lookups())
             return lines.withColumn(reconcile.MIXED, F.coalesce(reconcile.MIXED, F.lit(False)))
 
         return self._stage("integrated_orders", build, packed=True)
@@ -149,7 +170,7 @@ class CleaningBatch:
         t = self.t
         return self._stage("multi_store_insert", lambda: reconcile.multi_store_insert(
             self.multi_store_lines(), self._products(), t.payments, t.customers, t.reviews, t.stores, self.keeper("multi_store_insert", ()),
-            self.payments_per_order().select("order_id", F.col("_np").alias("_n2"))), packed=True)
+            self.payments_per_order().select("order_id", F.col("_np").alias("_n2")), self.lookups()), packed=True)
 
     def append_multi_store(self) -> DataFrame:
         return reconcile.append_multi_store(self.integrated_orders(), self.multi_store_insert())
@@ -204,10 +225,11 @@ class CleaningBatch:
             keep = lambda name, df: self._stage(f"clean_fact.{name}", lambda: df, depends=self.FACT_OPTIONS, observe=reconcile.ORDER_CHECKS)
             summary = likely_with(self.payment_summary(), self.mixed_orders(), "order_id")
             fact = reconcile.clean_fact(self.finalised_mixed(), summary, True, keep)
-            fact = (reconcile.clean_as_is(self.settled_lines(), marts.SUMMARY_COLS).withColumn(reconcile.MIXED, F.lit(False))
-                    .unionByName(fact.withColumn(reconcile.MIXED, F.lit(True))))
+            settled = reconcile.clean_as_is(self.settled_lines(), marts.SUMMARY_COLS).withColumn(reconcile.MIXED, F.lit(False))
+            late = {} if self.options.refresh_store_attrs else reconcile.late_attributes(settled, self.lookups())
+            fact = reconcile.without_attributes(settled, late).unionByName(fact.withColumn(reconcile.MIXED, F.lit(True)))
             fact = reconcile.refresh_store_attrs(fact, self.t.stores) if self.options.refresh_store_attrs else fact
-            return reconcile.by_month(reconcile.with_month(fact))
+            return reconcile.with_attributes(reconcile.by_month(reconcile.with_month(fact)), late)
 
         return self._stage("clean_fact", build, "order_id", self.FACT_OPTIONS, reconcile.BILL_MONTH, reconcile.FACT_CHECKS, packed=True)
 

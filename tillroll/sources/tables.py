@@ -171,16 +171,18 @@ def _money(cents_expr: Column, precision: int = 12, scale: int = 2) -> Column:
 
 
 def fixture_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # small numbers before the join, which shuffles them
     li = _tpch(spark, sf_dir, "lineitem").select(
-        "l_orderkey", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_shipdate")
+        "l_orderkey", "l_partkey", "l_suppkey",
+        F.col("l_quantity").cast("int").alias("qty"),
+        F.round(F.col("l_extendedprice") * 100).cast("bigint").alias("ext_c"),
+        F.round(F.col("l_discount") * 100).cast("int").alias("pct"),
+        F.when(F.col("l_orderkey") % 50 == 1, F.col("l_shipdate")).alias("l_shipdate"))
     od = _tpch(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority")
     lines = (
         li.join(od, li.l_orderkey == od.o_orderkey)
         # Lowest supplier of each order: the store that normally delivers the whole order. The join has the order's lines together.
         .withColumn("s0", F.min("l_suppkey").over(Window.partitionBy("l_orderkey")))
-        .withColumn("qty", F.col("l_quantity").cast("int"))
-        .withColumn("ext_c", F.round(F.col("l_extendedprice") * 100).cast("bigint"))
-        .withColumn("pct", F.round(F.col("l_discount") * 100).cast("int"))
         .withColumn(
             "disc_c",
             F.when(F.col("o_custkey") % 3 == 0, F.lit(0).cast("bigint"))
