@@ -17,8 +17,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from tillroll.sources.stage import scratch_path, write_stage
 
@@ -45,16 +46,43 @@ def rows_with(rows: DataFrame, facts: DataFrame, keys: list[str], name: str, kee
 FILTER_BITS = 2**27
 
 
+def _flagged(rows: DataFrame, wanted: DataFrame, number: Column, flag: str) -> DataFrame:
+    """``rows`` with ``flag``: whether ``number`` (at least 0, less than ``FILTER_BITS``; null: no) of a row is that of one of ``wanted``."""
+    bits = wanted.select(F.bitmap_bucket_number(number).alias("_bucket"), F.bitmap_bit_position(number).alias("_bit")).repartition("_bucket")
+    bits = bits.groupBy("_bucket").agg(F.bitmap_construct_agg("_bit").alias("_bits"))
+    bit = F.bitmap_bit_position(number)
+    byte = F.conv(F.hex(F.substring("_bits", F.floor(bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    told = byte.bitwiseAND(F.call_function("shiftleft", F.lit(1), (bit % 8).cast("int"))) != 0
+    return (rows.withColumn("_bucket", F.bitmap_bucket_number(number)).join(F.broadcast(bits), "_bucket", "left")
+            .select(*rows.columns, F.coalesce(told, F.lit(False)).alias(flag)))
+
+
 def likely_in(rows: DataFrame, wanted: DataFrame, key: str, flag: str = "_likely") -> DataFrame:
     """``rows`` with a boolean ``flag``: true where ``key`` is in ``wanted``, and for a few others (4 % of them at five million
     wanted keys): a bit of the key's hash is looked up in bitmaps that are broadcast. Rows of one key get one answer."""
-    h = F.pmod(F.xxhash64(key), F.lit(FILTER_BITS))
-    bucket, bit = F.bitmap_bucket_number(h), F.bitmap_bit_position(h)
-    bits = wanted.select(bucket.alias("_bucket"), bit.alias("_bit")).repartition("_bucket").groupBy("_bucket").agg(F.bitmap_construct_agg("_bit").alias("_bits"))
-    byte = F.conv(F.hex(F.substring("_bits", F.floor(bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    told = byte.bitwiseAND(F.expr(f"shiftleft(1, cast(bitmap_bit_position(pmod(xxhash64({key}), {FILTER_BITS}L)) % 8 as int))")) != 0
-    return (rows.withColumn("_bucket", bucket).join(F.broadcast(bits), "_bucket", "left")
-            .select(*rows.columns, F.coalesce(told, F.lit(False)).alias(flag)))
+    return _flagged(rows, wanted, F.pmod(F.xxhash64(key), F.lit(FILTER_BITS)), flag)
+
+
+def marked(rows: DataFrame, wanted: DataFrame, key: str, flag: str = "_in") -> DataFrame | None:
+    """``rows`` with a boolean ``flag``: whether ``key`` is in ``wanted`` (a written table), exactly and without a shuffle of the
+    rows: a bit a key, in bitmaps that are broadcast. None where keys are no whole numbers or span more than ``FILTER_BITS``."""
+    if not all(isinstance(df.schema[key].dataType, IntegralType) for df in (rows, wanted)):
+        return None
+    low, high = wanted.agg(F.min(key), F.max(key)).first()
+    if low is None:
+        return rows.withColumn(flag, F.lit(False))
+    if high - low >= FILTER_BITS:
+        return None
+    k = F.col(key).cast("long")
+    return _flagged(rows, wanted, F.when(k.between(low, high), k - F.lit(low).cast("long")), flag)
+
+
+def members(rows: DataFrame, wanted: DataFrame, key: str, has: bool = True) -> DataFrame:
+    """The ``rows`` whose ``key`` is in ``wanted`` (a written table), or with ``has=False`` the others."""
+    told = marked(rows, wanted, key)
+    if told is None:
+        return rows.join(wanted, key, "left_semi" if has else "left_anti")
+    return told.where(F.col("_in") if has else ~F.col("_in")).select(*rows.columns)
 
 
 def likely_with(rows: DataFrame, wanted: DataFrame, key: str) -> DataFrame:

@@ -222,17 +222,29 @@ class CleaningBatch:
         per-order join, and each line's bill date before D6; the payment-weighted marts and the
         after-D3 checks read it without joins of their own. Only ``MIXED`` orders meet C12's repairs."""
         def build() -> DataFrame:
-            keep = lambda name, df: self._stage(f"clean_fact.{name}", lambda: df, depends=self.FACT_OPTIONS, observe=reconcile.ORDER_CHECKS)
-            summary = likely_with(self.payment_summary(), self.mixed_orders(), "order_id")
-            fact = reconcile.clean_fact(self.finalised_mixed(), summary, True, keep)
-            settled = reconcile.clean_as_is(self.settled_lines(), marts.SUMMARY_COLS).withColumn(reconcile.MIXED, F.lit(False))
+            settled, mixed = self._fact_parts()
             late = {} if self.options.refresh_store_attrs else reconcile.late_attributes(settled, self.lookups())
-            fact = reconcile.without_attributes(settled, late).unionByName(fact.withColumn(reconcile.MIXED, F.lit(True)))
-            fact = reconcile.refresh_store_attrs(fact, self.t.stores) if self.options.refresh_store_attrs else fact
-            return reconcile.with_attributes(reconcile.by_month(reconcile.with_month(fact)), late)
+            fact = self._put_together(reconcile.without_attributes(settled, late), mixed)
+            return reconcile.with_attributes(reconcile.by_month(fact), late)
 
         return self._stage("clean_fact", build, "order_id", self.FACT_OPTIONS, reconcile.BILL_MONTH, reconcile.FACT_CHECKS, packed=True)
 
+    def _fact_parts(self) -> tuple[DataFrame, DataFrame]:
+        """The fact's lines of orders that are not ``MIXED``, and the others."""
+        keep = lambda name, df: self._stage(f"clean_fact.{name}", lambda: df, depends=self.FACT_OPTIONS, observe=reconcile.ORDER_CHECKS)
+        summary = likely_with(self.payment_summary(), self.mixed_orders(), "order_id")
+        mixed = reconcile.clean_fact(self.finalised_mixed(), summary, True, keep)
+        settled = reconcile.clean_as_is(self.settled_lines(), marts.SUMMARY_COLS)
+        return settled.withColumn(reconcile.MIXED, F.lit(False)), mixed.withColumn(reconcile.MIXED, F.lit(True))
+
+    def _put_together(self, settled: DataFrame, mixed: DataFrame) -> DataFrame:
+        fact = settled.unionByName(mixed)
+        return reconcile.with_month(reconcile.refresh_store_attrs(fact, self.t.stores) if self.options.refresh_store_attrs else fact)
+
+    def fact_rows(self) -> DataFrame:
+        """The rows of :meth:`fact_with_payments`, neither laid out by month nor written: for a table of the caller's own."""
+        return self._put_together(*self._fact_parts())
+
     #: The options that the fact depends on.
     FACT_OPTIONS = ("clean_categories", "refresh_store_attrs")
 

@@ -22,13 +22,14 @@ A hot order is one touched order like others. Only lists of files reach the driv
 from __future__ import annotations
 
 import os
-from functools import reduce
+from functools import partial, reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tillroll.operators import reconcile
-from tillroll.plans.batch import CleaningBatch, Options
+from tillroll.operators.perkey import members
+from tillroll.plans.batch import CleaningBatch, Options, side_by_side
 from tillroll.sources.stage import scratch_path, scratch_scope, write_stage
 from tillroll.sources.tables import RetailTables
 from tillroll.sources.versions import Manifest, Versions
@@ -60,20 +61,23 @@ class IncrementalFact:
         if name in old.applied:
             return old.version
         now = Manifest(old.version + 1, [*old.applied, name], dict(old.files), dict(old.schemas))
-        fresh = {}
-        for table, df in new.as_dict().items():
+        tables = new.as_dict()
+        fresh = dict(zip(tables, side_by_side(self.spark, *[partial(self.versions.write, table, df, now.version) for table, df in tables.items()])))
+        for table, df in tables.items():
             now.schemas.setdefault(table, df.schema.jsonValue())
-            fresh[table] = self.versions.write(table, df, now.version)
             now.files[table] = [*old.files.get(table, []), *fresh[table]]
         added = {t: self.versions.read(t, now, f) for t, f in fresh.items()}
         every = {t: self.versions.read(t, now) for t in added}
         with scratch_scope(self.spark):
             keep = lambda name, df: write_stage(df, scratch_path(self.spark, f"increment-{name}"))
-            touched = keep("touched", self._touched(added, every))
-            own = {t: keep(t, every[t].join(touched, "order_id", "left_semi")) for t in PER_ORDER}
+            if any(old.files.get(t) for t in tables):
+                touched = keep("touched", self._touched(added, every))
+                own = dict(zip(PER_ORDER, side_by_side(self.spark, *[partial(keep, t, members(every[t], touched, "order_id")) for t in PER_ORDER])))
+            else:  # every order is new
+                touched, own = None, {t: every[t].where(F.col("order_id").isNotNull()) for t in PER_ORDER}
             batch = CleaningBatch(self.spark, RetailTables(**own, **{t: every[t] for t in DIMENSIONS}), f"increment:{os.urandom(6).hex()}", options=self.options)
             try:
-                rows = batch.fact_with_payments()
+                rows = batch.fact_rows()
                 now.schemas.setdefault(FACT, rows.schema.jsonValue())
                 now.files[FACT] = self._merged(rows, touched, old, now)
             finally:
@@ -91,15 +95,15 @@ class IncrementalFact:
                 found.append(every["orders"].join(keys, column, "left_semi").select("order_id"))
         return reduce(DataFrame.unionByName, found).where(F.col("order_id").isNotNull()).distinct()
 
-    def _merged(self, rows: DataFrame, touched: DataFrame, old: Manifest, now: Manifest) -> list[str]:
+    def _merged(self, rows: DataFrame, touched: DataFrame | None, old: Manifest, now: Manifest) -> list[str]:
         """The files of the fact after ``rows`` have replaced all rows of ``touched`` orders."""
         files, hit = old.files.get(FACT, []), set()
         if files:
             at = self.versions.read(FACT, old).select("order_id", F.col("_metadata.file_path").alias("_file"))
-            held = at.join(touched, "order_id", "left_semi").select("_file").distinct().collect()  # names of files
+            held = members(at, touched, "order_id").select("_file").distinct().collect()  # names of files
             hit = {self.versions.relative(FACT, r._file) for r in held}
         if hit:
-            kept = self.versions.read(FACT, old, sorted(hit)).join(touched, "order_id", "left_anti")
+            kept = members(self.versions.read(FACT, old, sorted(hit)), touched, "order_id", has=False)
             rows = rows.unionByName(kept)
         made = self.versions.write(FACT, reconcile.by_month(rows), now.version, reconcile.BILL_MONTH, "order_id")
         return [*(f for f in files if f not in hit), *made]
